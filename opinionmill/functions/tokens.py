@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from opinionmill import schema as S
+from opinionmill.functions.once import once
 from opinionmill.functions import text as tx
 
 _SEP = "\x1f"  # counts as whitespace, so it never occurs inside a word
@@ -41,18 +42,27 @@ def surviving(tokens: Column, max_len: int = S.MAX_TOKENS) -> Column:
     )
 
 
-def word_labels(tokens: Column, n_words: Column) -> Column:
+def word_labels(tokens: Column) -> Column:
     """Label per word, taken from its first subword; null where truncated."""
-    kept = F.array_sort(tokens, lambda a, b: (a["pos"] - b["pos"]).cast("int"))
-    ids = F.transform(kept, lambda t: t["word_id"])
-    classes = F.transform(kept, lambda t: argmax(t["logits"]))
-    # array_position finds the first, i.e. leading, subword of each word
-    return F.transform(
-        F.when(n_words > 0, F.sequence(F.lit(0), n_words - 1)).otherwise(
-            F.array().cast("array<int>")),
-        lambda w: label_name(F.get(
-            classes, (F.nullif(F.array_position(ids, w), F.lit(0)) - 1).cast("int"))),
-    )
+    by_pos = F.array_sort(F.transform(
+        tokens,
+        lambda t: F.struct(
+            t["pos"], t["word_id"].alias("word"), argmax(t["logits"]).alias("cls"))))
+    flat = F.struct(
+        F.transform(by_pos, lambda t: t["word"]).alias("words"),
+        F.transform(by_pos, lambda t: t["cls"]).alias("classes"))
+
+    def labels(seen: Column) -> Column:
+        # array_position finds the first, i.e. leading, subword of each word
+        return F.transform(
+            F.sequence(F.lit(0), F.array_max(seen["words"])),
+            lambda w: label_name(F.get(
+                seen["classes"],
+                (F.nullif(F.array_position(seen["words"], w), F.lit(0)) - 1).cast("int"))),
+        )
+
+    return once(flat, lambda seen: F.coalesce(
+        labels(seen), F.array().cast("array<string>")))
 
 
 def bio_spans(words: Column, labels: Column) -> Column:
@@ -94,8 +104,9 @@ def dictionary_labels(words: Column, heads: list[str], tails: list[str]) -> Colu
 
 def lexicon_label(words: Column, positive: list[str], negative: list[str]) -> Column:
     """"negative" when negative words outnumber positive ones, else "positive"."""
-    def hits(terms: list[str]) -> Column:
+    def hits(of: Column, terms: list[str]) -> Column:
         bag = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-        return F.size(F.filter(words, lambda w: F.array_contains(bag, F.lower(w))))
+        return F.size(F.filter(of, lambda w: F.array_contains(bag, F.lower(w))))
 
-    return F.when(hits(negative) > hits(positive), "negative").otherwise("positive")
+    return once(words, lambda w: F.when(
+        hits(w, negative) > hits(w, positive), "negative").otherwise("positive"))

@@ -85,8 +85,7 @@ def explode_tokens(df: DataFrame, key: str = "sent_id") -> DataFrame:
 
 def token_labels(text: str = "clean", tokens: str = "tokens") -> tuple[Column, Column]:
     """Words and their labels, as columns, for a frame with model tokens."""
-    words = tk.split_words(F.col(text))
-    return words, tk.word_labels(tk.surviving(F.col(tokens)), F.size(words))
+    return tk.split_words(F.col(text)), tk.word_labels(tk.surviving(F.col(tokens)))
 
 
 def _scorer_udf(model_factory: Callable, batch: int):

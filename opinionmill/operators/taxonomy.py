@@ -11,6 +11,7 @@ from pyspark.sql.functions import arrow_udf
 
 from opinionmill import schema as S
 from opinionmill.functions import text as tx
+from opinionmill.functions.once import computed, once
 from opinionmill.plans.scale import (
     BROADCAST_ROWS,
     INLINE_ROWS,
@@ -53,7 +54,8 @@ def taxonomy_index(taxonomy: DataFrame) -> DataFrame:
 
 def with_clean_aspect(df: DataFrame, raw: str = "aspect_raw") -> DataFrame:
     """Add ``s``: canonical form with a numeric spec tail cut off."""
-    return df.withColumn("s", tx.strip_spec_tail(tx.canonical_aspect(F.col(raw))))
+    clean = once(tx.canonical_aspect(F.col(raw)), tx.strip_spec_tail)
+    return computed(df, "s", clean)
 
 
 def drop_generic(df: DataFrame, blacklist: DataFrame, col: str = "s") -> DataFrame:
@@ -69,7 +71,8 @@ def _first_keyword(rows: list, s: Column) -> Column:
         F.struct(F.lit(r["keyword"]).alias("keyword"), F.lit(r["category"]).alias("category"))
         for r in rows
     ])
-    return F.get(F.filter(ranked, lambda k: F.contains(s, k["keyword"])), F.lit(0))
+    return once(s, lambda hay: F.get(
+        F.filter(ranked, lambda k: F.contains(hay, k["keyword"])), F.lit(0)))
 
 
 def _word_edges(text: Column) -> Column:
@@ -106,7 +109,7 @@ def keyword_match(
             hit = _first_keyword(rows, F.col("s"))
             keyword = F.col("_hit.keyword")
         return (
-            df.withColumn("_hit", hit)
+            computed(df, "_hit", hit)
             .withColumn("keyword", keyword)
             .withColumn("category", F.col("_hit.category"))
             .drop("_hit")
@@ -122,15 +125,16 @@ def keyword_match_by_substring(
     lengths = [r["kw_len"] for r in index.select("kw_len").distinct().collect()]
     hay = _word_edges(F.col("s")) if word_boundary else F.col("s")
     pad = 2 if word_boundary else 0
-    pieces = F.flatten(F.array(*[
-        F.when(
-            F.length(hay) >= n + pad,
-            F.transform(
-                F.sequence(F.lit(1), F.length(hay) - (n + pad) + 1),
-                lambda i, n=n: F.substring(hay, i, F.lit(n + pad))),
+
+    def parts(text: Column, size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+        return F.when(
+            F.length(text) >= size,
+            F.transform(starts, lambda i: F.substring(text, i, F.lit(size))),
         ).otherwise(F.array().cast("array<string>"))
-        for n in lengths
-    ]))
+
+    pieces = once(hay, lambda text: F.flatten(
+        F.array(*[parts(text, n + pad) for n in lengths])))
     probe = (
         terms.select("s").where("s is not null").distinct()
         .select("s", F.explode(F.array_distinct(pieces)).alias("piece"))
@@ -165,8 +169,7 @@ def length_band_candidates(
     keys = index.select("category", "keyword", "kw_len", "rank")
     n = F.length("s")
     lens = (
-        terms.select("s").where("s is not null").distinct()
-        .withColumn("kw_len", F.explode(F.sequence(n - band, n + band)))
+        _spread(terms).withColumn("kw_len", F.explode(F.sequence(n - band, n + band)))
     )
     if within(keys, BROADCAST_ROWS):
         return lens.join(F.broadcast(keys), "kw_len")
@@ -216,6 +219,19 @@ def _bigrams(s: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def _spread(terms: DataFrame) -> DataFrame:
+    """Distinct terms over as many tasks as the session shuffles into.
+
+    Terms are few bytes but each costs many comparisons, so the partition
+    sizes adaptive execution aims at would leave the work to one task.
+    """
+    spark = terms.sparkSession
+    tasks = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        spark.sparkContext.defaultParallelism)
+    return terms.select("s").where("s is not null").distinct().repartition(tasks, "s")
+
+
 def _fuzzy_pairs(
     terms: DataFrame, taxonomy: DataFrame, cutoff: float, band: int
 ) -> DataFrame:
@@ -232,8 +248,7 @@ def _fuzzy_pairs(
         # too many keywords to broadcast: meet on length and a shared bigram
         n = F.length("s")
         left = (
-            terms.select("s").where("s is not null").distinct()
-            .withColumn("_two", F.explode(F.array_distinct(_bigrams(F.col("s")))))
+            _spread(terms).withColumn("_two", F.explode(F.array_distinct(_bigrams(F.col("s")))))
             .withColumn("kw_len", F.explode(F.sequence(n - band, n + band)))
         )
         right = (

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from opinionmill import schema as S
 from opinionmill.functions import text as tx
 from opinionmill.functions import tokens as tk
+from opinionmill.functions.once import once
 from opinionmill.operators import scoring
 from opinionmill.operators.taxonomy import normalize_aspects
 from opinionmill.operators.tokens import build_pairs
@@ -46,20 +47,21 @@ def tag_mentions(clean: DataFrame, models: Models) -> DataFrame:
     tagging and grouping need no shuffle."""
     if models.tagger is None:
         words = tk.split_words(F.col("clean"))
-        tagged = clean.withColumn("words", words).withColumn(
-            "labels", tk.dictionary_labels(
-                F.col("words"), list(models.heads), list(models.tails)))
+        spans = once(words, lambda w: tk.bio_spans(
+            w, tk.dictionary_labels(w, list(models.heads), list(models.tails))))
+        tagged = clean
     else:
         scored = scoring.score_tokens(clean, models.tagger, batch=models.batch)
         words, labels = scoring.token_labels()
-        tagged = scored.withColumn("words", words).withColumn("labels", labels)
-    spans = tagged.select(
+        spans = tk.bio_spans(words, labels)
+        tagged = scored
+    rows = tagged.select(
         "ord", "product", F.col("text").alias("review_text"), "time_text",
         F.col("clean").alias("sentence"),
-        F.posexplode(tk.bio_spans(F.col("words"), F.col("labels"))).alias("i", "span"))
+        F.posexplode(spans).alias("i", "span"))
     packed = F.shiftleft("ord", S.MENTION_BITS) + F.col("i")
     fits = (F.col("ord") < (1 << S.REVIEW_ORD_BITS)) & (F.col("i") < (1 << S.MENTION_BITS))
-    return spans.select(
+    return rows.select(
         F.when(fits, packed).otherwise(
             F.raise_error(F.lit("review position or mention count too large"))).alias("ord"),
         "product", "review_text", "time_text", "sentence",
