@@ -92,17 +92,18 @@ def preprocess_text(text: Column) -> Column:
 
 def parse_days_ago(text: Column) -> Column:
     """Days from prose such as "2 tuần trước"; -1 when there is no such phrase."""
-    lowered = F.lower(text)
-    digits = F.regexp_extract(lowered, AGE_PATTERN, 1)
-    unit = F.regexp_extract(lowered, AGE_PATTERN, 2)
-    days = F.element_at(
-        F.create_map(*[F.lit(x) for kv in S.DAYS_PER_UNIT.items() for x in kv]),
-        F.nullif(unit, F.lit("")),
-    )
+    # ignoring case in the pattern is cheaper than lowering every text
+    pattern = f"(?iu){AGE_PATTERN}"
+    digits = F.regexp_extract(text, pattern, 1)
+    unit = F.lower(F.regexp_extract(text, pattern, 2))
+    per_unit = F.create_map(*[F.lit(x) for kv in S.DAYS_PER_UNIT.items() for x in kv])
     # more digits than a LONG holds only ever mean "long ago"
-    count = F.when(F.length(digits) > 15, F.lit(10**15)).otherwise(
-        digits.try_cast("bigint"))
-    return F.coalesce(count * days, F.lit(-1).cast("bigint"))
+    long_ago = F.lit(10**15)
+    # (the leading 0 spares texts without a match a failing cast)
+    number = F.concat(F.lit("0"), digits).try_cast("bigint")
+    count = F.least(F.coalesce(number, long_ago), long_ago)
+    return F.coalesce(
+        count * F.try_element_at(per_unit, unit), F.lit(-1).cast("bigint"))
 
 
 def polarity_code(label: Column) -> Column:

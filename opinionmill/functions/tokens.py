@@ -18,9 +18,8 @@ _SEP = "\x1f"  # counts as whitespace, so it never occurs inside a word
 
 def split_words(text: Column) -> Column:
     """Whitespace words; an empty array for blank text."""
-    stripped = tx.strip_edges(text)
-    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(
-        F.split(stripped, tx.SPACES_PATTERN))
+    # only leading or trailing space leaves an empty piece behind
+    return F.array_remove(F.split(text, tx.SPACES_PATTERN), "")
 
 
 def argmax(logits: Column) -> Column:
@@ -65,15 +64,33 @@ def word_labels(tokens: Column) -> Column:
         labels(seen), F.array().cast("array<string>")))
 
 
+def mark(words: Column, labels: Column) -> Column:
+    """Words behind the first letter of their label; unlabelled ones are null."""
+    return F.zip_with(words, labels, lambda w, l: F.concat(F.substring(l, 1, 1), w))
+
+
+def dictionary_marks(text: Column, heads: list[str], tails: list[str]) -> Column:
+    """Marked words of ``text`` from a dictionary: B for a keyword's first word,
+    I for its later words, O for all others."""
+    def letter(key: Column) -> Column:
+        return F.when(key.isin(*heads), "B").when(key.isin(*tails), "I").otherwise("O")
+
+    return F.zip_with(
+        split_words(text), split_words(F.lower(text)),
+        lambda w, key: F.concat(letter(key), w))
+
+
 def bio_spans(words: Column, labels: Column) -> Column:
+    return marked_spans(mark(words, labels))
+
+
+def marked_spans(marked: Column) -> Column:
     """Aspect spans as ``array<struct<display, seg>>``.
 
-    A span opens at B and runs over the I's that follow without a gap. Words
-    are joined behind their label letter and one regular expression reads the
-    spans off, which is linear in the sentence and stays in the JVM.
+    A span opens at B and runs over the I's that follow without a gap. The
+    marked words become one line and a regular expression reads the spans off,
+    which is linear in the sentence and stays in the JVM.
     """
-    marked = F.zip_with(
-        words, labels, lambda w, l: F.concat(F.substring(l, 1, 1), w))
     line = F.concat(F.lit(_SEP), F.array_join(marked, _SEP))
     runs = F.regexp_extract_all(
         line, F.lit(f"{_SEP}B([^{_SEP}]*(?:{_SEP}I[^{_SEP}]*)*)"), 1)
@@ -86,27 +103,10 @@ def bio_spans(words: Column, labels: Column) -> Column:
     return F.filter(spans, lambda s: F.length(s["display"]) >= 2)
 
 
-def dictionary_labels(words: Column, heads: list[str], tails: list[str]) -> Column:
-    """Tag words from a dictionary: B for a keyword's first word, I for later ones."""
-    head_set = F.array(*[F.lit(h) for h in heads]).cast("array<string>")
-    tail_set = F.array(*[F.lit(t) for t in tails]).cast("array<string>")
-
-    def tag(w: Column) -> Column:
-        key = F.lower(w)
-        return (
-            F.when(F.array_contains(head_set, key), "B-ASP")
-            .when(F.array_contains(tail_set, key), "I-ASP")
-            .otherwise("O")
-        )
-
-    return F.transform(words, tag)
-
-
-def lexicon_label(words: Column, positive: list[str], negative: list[str]) -> Column:
+def lexicon_label(text: Column, positive: list[str], negative: list[str]) -> Column:
     """"negative" when negative words outnumber positive ones, else "positive"."""
-    def hits(of: Column, terms: list[str]) -> Column:
-        bag = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-        return F.size(F.filter(of, lambda w: F.array_contains(bag, F.lower(w))))
+    def hits(words: Column, terms: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*terms)))
 
-    return once(words, lambda w: F.when(
-        hits(w, negative) > hits(w, positive), "negative").otherwise("positive"))
+    return once(split_words(F.lower(text)), lambda words: F.when(
+        hits(words, negative) > hits(words, positive), "negative").otherwise("positive"))

@@ -47,6 +47,7 @@ def _tagger_udf(model_factory: Callable, batch: int):
 
     # Defined inside so that workers receive the function by value.
     def tag(chunks: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import numpy
         import pyarrow
 
         entry = pyarrow.struct([
@@ -55,18 +56,30 @@ def _tagger_udf(model_factory: Callable, batch: int):
         ])
         model = get_model()
         for chunk in chunks:
-            texts = chunk.to_pylist()
-            out: list = [[] for _ in texts]
-            words = [(t or "").split() for t in texts]
+            words = [(t or "").split() for t in chunk.to_pylist()]
             rows = [i for i, w in enumerate(words) if w]
+            lengths = numpy.zeros(len(words), numpy.int32)
+            ids, logits, positions = [], [], []
             for start in range(0, len(rows), batch):
                 part = rows[start:start + batch]
-                for i, (ids, logits) in zip(part, model([words[i] for i in part])):
-                    out[i] = [
-                        {"pos": p, "word_id": w, "logits": [float(x) for x in v]}
-                        for p, (w, v) in enumerate(zip(ids, logits))
-                    ]
-            yield pyarrow.array(out, pyarrow.list_(entry))
+                for i, (word_ids, scores) in zip(part, model([words[i] for i in part])):
+                    lengths[i] = len(word_ids)
+                    ids.extend(word_ids)
+                    positions.append(numpy.arange(len(word_ids), dtype=numpy.int32))
+                    logits.append(numpy.asarray(scores, numpy.float32))
+            flat = numpy.concatenate(logits) if logits else numpy.zeros((0, 1), numpy.float32)
+            steps = numpy.arange(len(flat) + 1, dtype=numpy.int32) * flat.shape[1]
+            tokens = pyarrow.StructArray.from_arrays(
+                [
+                    pyarrow.array(
+                        numpy.concatenate(positions) if positions else [], pyarrow.int32()),
+                    pyarrow.array(ids, pyarrow.int32()),
+                    pyarrow.ListArray.from_arrays(
+                        pyarrow.array(steps), pyarrow.array(flat.reshape(-1))),
+                ],
+                fields=list(entry))
+            offsets = numpy.concatenate([[0], numpy.cumsum(lengths)]).astype(numpy.int32)
+            yield pyarrow.ListArray.from_arrays(pyarrow.array(offsets), tokens)
 
     return arrow_udf(tag, S.TOKENS)
 
@@ -74,7 +87,10 @@ def _tagger_udf(model_factory: Callable, batch: int):
 def score_tokens(
     df: DataFrame, model_factory: Callable, text: str = "clean", batch: int = 32
 ) -> DataFrame:
-    """Add ``tokens``. Rows keep all their columns; only the text goes to Python."""
+    """Add ``tokens``. Rows keep all their columns; only the text goes to Python.
+
+    ``clean_reviews`` has already spread small inputs over the cores.
+    """
     return df.withColumn("tokens", _tagger_udf(model_factory, batch)(F.col(text)))
 
 
@@ -129,22 +145,21 @@ def dictionary_tagger(heads: list[str], tails: list[str]) -> Callable:
     the label, as a trained tagger would be read.
     """
     def factory():
-        b, i = set(heads), set(tails)
+        import numpy
+
+        classes = {t: 2 for t in tails} | {h: 1 for h in heads}
+        one_hot = numpy.eye(3, dtype=numpy.float32)
 
         def tag(batch):
             out = []
             for words in batch:
-                ids, logits = [None], [[1.0, 0.0, 0.0]]
+                ids, found = [None], [0]
                 for n, w in enumerate(words):
-                    key = w.lower()
-                    cls = 1 if key in b else 2 if key in i else 0
-                    pieces = max(1, -(-len(w) // 4))
-                    ids += [n] * pieces
-                    logits.append([float(c == cls) for c in range(3)])
-                    logits += [[1.0, 0.0, 0.0]] * (pieces - 1)
-                ids.append(None)
-                logits.append([1.0, 0.0, 0.0])
-                out.append((ids, logits))
+                    later = (len(w) - 1) // 4
+                    ids += [n] * (later + 1)
+                    found.append(classes.get(w.lower(), 0))
+                    found += [0] * later
+                out.append(([*ids, None], one_hot[[*found, 0]]))
             return out
 
         return tag

@@ -19,6 +19,7 @@ from opinionmill.plans.scale import (
     lookup_join,
     rank_rows,
     settle,
+    spread,
     within,
 )
 
@@ -136,7 +137,7 @@ def keyword_match_by_substring(
     pieces = once(hay, lambda text: F.flatten(
         F.array(*[parts(text, n + pad) for n in lengths])))
     probe = (
-        terms.select("s").where("s is not null").distinct()
+        _distinct_terms(terms)
         .select("s", F.explode(F.array_distinct(pieces)).alias("piece"))
     )
     keys = index.select(
@@ -169,7 +170,7 @@ def length_band_candidates(
     keys = index.select("category", "keyword", "kw_len", "rank")
     n = F.length("s")
     lens = (
-        _spread(terms).withColumn("kw_len", F.explode(F.sequence(n - band, n + band)))
+        _distinct_terms(terms).withColumn("kw_len", F.explode(F.sequence(n - band, n + band)))
     )
     if within(keys, BROADCAST_ROWS):
         return lens.join(F.broadcast(keys), "kw_len")
@@ -219,17 +220,8 @@ def _bigrams(s: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def _spread(terms: DataFrame) -> DataFrame:
-    """Distinct terms over as many tasks as the session shuffles into.
-
-    Terms are few bytes but each costs many comparisons, so the partition
-    sizes adaptive execution aims at would leave the work to one task.
-    """
-    spark = terms.sparkSession
-    tasks = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-        spark.sparkContext.defaultParallelism)
-    return terms.select("s").where("s is not null").distinct().repartition(tasks, "s")
+def _distinct_terms(terms: DataFrame) -> DataFrame:
+    return spread(terms.select("s").where("s is not null").distinct(), "s")
 
 
 def _fuzzy_pairs(
@@ -248,7 +240,7 @@ def _fuzzy_pairs(
         # too many keywords to broadcast: meet on length and a shared bigram
         n = F.length("s")
         left = (
-            _spread(terms).withColumn("_two", F.explode(F.array_distinct(_bigrams(F.col("s")))))
+            _distinct_terms(terms).withColumn("_two", F.explode(F.array_distinct(_bigrams(F.col("s")))))
             .withColumn("kw_len", F.explode(F.sequence(n - band, n + band)))
         )
         right = (

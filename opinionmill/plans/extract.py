@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from opinionmill import schema as S
 from opinionmill.functions import text as tx
 from opinionmill.functions import tokens as tk
-from opinionmill.functions.once import once
 from opinionmill.operators import scoring
 from opinionmill.operators.taxonomy import normalize_aspects
 from opinionmill.operators.tokens import build_pairs
-from opinionmill.plans.scale import settle
+from opinionmill.plans.scale import settle, spread_small
 from opinionmill.sources.reviews import clean_reviews, non_empty_reviews
 
 
@@ -46,9 +45,8 @@ def tag_mentions(clean: DataFrame, models: Models) -> DataFrame:
     and the span's. A review stays one row until its spans are known, so
     tagging and grouping need no shuffle."""
     if models.tagger is None:
-        words = tk.split_words(F.col("clean"))
-        spans = once(words, lambda w: tk.bio_spans(
-            w, tk.dictionary_labels(w, list(models.heads), list(models.tails))))
+        spans = tk.marked_spans(tk.dictionary_marks(
+            F.col("clean"), list(models.heads), list(models.tails)))
         tagged = clean
     else:
         scored = scoring.score_tokens(clean, models.tagger, batch=models.batch)
@@ -72,7 +70,7 @@ def score_mentions(mentions: DataFrame, models: Models) -> DataFrame:
     """Add ``polarity`` to categorised mentions."""
     if models.scorer is None:
         label = tk.lexicon_label(
-            tk.split_words(F.col("sentence")), list(models.positive), list(models.negative))
+            F.col("sentence"), list(models.positive), list(models.negative))
         scored = mentions.withColumn("label", label)
     else:
         scored = scoring.score_pairs(mentions, models.scorer, batch=models.batch)
@@ -97,7 +95,8 @@ def extract_opinions(
         ready = clean_reviews(reviews)
     else:
         blank = F.coalesce("text", F.lit(""))
-        ready = non_empty_reviews(reviews.withColumn("clean", tx.strip_edges(blank)))
+        ready = non_empty_reviews(
+            spread_small(reviews, "ord").withColumn("clean", tx.strip_edges(blank)))
     mentions = tag_mentions(ready, models)
     if models.tagger is not None and fuzzy:
         mentions = settle(mentions)

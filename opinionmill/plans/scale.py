@@ -43,6 +43,38 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _session_tasks(spark: SparkSession) -> int:
+    return max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over as many tasks as the session shuffles into.
+
+    For rows of few bytes and much work each: the partition sizes adaptive
+    execution aims at would leave that work to one task.
+    """
+    return df.repartition(_session_tasks(df.sparkSession), key)
+
+
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """``spread`` an input so small that its splits leave cores idle.
+
+    An input with at least one full split per core keeps its partitioning and
+    is not shuffled. Streams are left alone.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) >= split * spark.sparkContext.defaultParallelism:
+        return df
+    return spread(df, key)
+
+
 def within(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from opinionmill import schema as S
 from opinionmill.functions import text as tx
 from opinionmill.functions.once import computed
-from opinionmill.plans.scale import lookup_join
+from opinionmill.plans.scale import lookup_join, spread_small
 
 
 @dataclass(frozen=True)
@@ -132,7 +132,7 @@ def bind_roles(
 def clean_reviews(reviews: DataFrame) -> DataFrame:
     """Add ``clean`` and keep the reviews that still have text."""
     return non_empty_reviews(computed(
-        reviews, "clean", tx.preprocess_text(tx.blank_missing(F.col("text")))))
+        spread_small(reviews, "ord"), "clean", tx.preprocess_text(tx.blank_missing(F.col("text")))))
 
 
 def non_empty_reviews(df: DataFrame, col: str = "clean") -> DataFrame:

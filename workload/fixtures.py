@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from opinionmill.functions import tokens as tk
 from opinionmill.operators import taxonomy as tax
 from opinionmill.plans.extract import Models
+from opinionmill.plans.scale import spread_small
 
 TAXONOMY = {
     "Quality": ("worthless", "pathetic", "onble", "thanedble"),
@@ -141,7 +142,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct document words, some turned into spellings that need work."""
     w = (
-        table(spark, sf_dir, "documents")
+        spread_small(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
         .select(F.explode(tk.split_words(F.col("text"))).alias("w")).distinct()
     )
     n = F.length("w")
