@@ -168,7 +168,9 @@ def order_statistics(
         cell = F.lit(None).cast("struct<span:int,cell:bigint>")
         for i, (a, b) in enumerate(spans):
             inside = (x >= F.lit(a)) & (x <= F.lit(b))
-            number = F.expr(f"(`{column}` - {a}L) div {widths[(a, b)]}L")
+            w = widths[(a, b)]
+            # cells start at multiples of w, so no difference can overflow
+            number = F.expr(f"(`{column}` - pmod(`{column}`, {w}L)) div {w}L")
             cell = F.when(
                 inside, F.struct(F.lit(i).alias("span"), number.alias("cell"))
             ).otherwise(cell)
@@ -182,12 +184,12 @@ def order_statistics(
             i, w = spans.index((a, b)), widths[(a, b)]
             for c, n in sorted(hist[i]):
                 if want <= n:
-                    low = a + c * w
+                    low = max(c * w, a)
                     if w == 1:
                         found[rank] = low
                         del open_ranges[rank]
                     else:
-                        open_ranges[rank] = (low, min(low + w - 1, b), want)
+                        open_ranges[rank] = (low, min(c * w + w - 1, b), want)
                     break
                 want -= n
     return [found[r] for r in ranks]

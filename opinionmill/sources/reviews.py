@@ -39,7 +39,7 @@ def _with_ord(df: DataFrame, row_in_file: Column) -> DataFrame:
             "ord", _packed(F.lit(0), 1, F.col("_row"))).drop("_row")
     spark = df.sparkSession
     files = spark.createDataFrame(list(zip(paths, range(len(paths)))), "_path string, _file long")
-    placed = df.select("*", row, F.col("_metadata.file_path").alias("_path"))
+    placed = df.select("*", row, F.input_file_name().alias("_path"))
     joined = lookup_join(placed, files, "_path", spread=F.xxhash64("_row"))
     number = F.coalesce("_file", F.raise_error(F.lit("input file not in the listing")))
     return joined.withColumn("ord", _packed(number, len(paths), F.col("_row"))).drop(
