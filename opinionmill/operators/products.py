@@ -9,7 +9,7 @@ from opinionmill import schema as S
 from opinionmill.functions import text as tx
 from opinionmill.functions.rounding import half_even_pct, satisfaction_score
 from opinionmill.operators.metrics import profile_order, tally
-from opinionmill.plans.scale import global_index
+from opinionmill.plans.scale import global_index, lookup_join, settle
 
 
 def ranking_order() -> list[Column]:
@@ -65,11 +65,19 @@ def top_aspects_scaled(profile: DataFrame, k: int = 10) -> DataFrame:
 def sample_reviews(opinions: DataFrame, k: int = 10) -> DataFrame:
     """Per product the first k mentions as one text block, plus what remains.
 
-    The rank filter is applied per input partition before the shuffle, so a
-    product with a large share of the rows sends at most k rows per task.
+    The first k positions are found on narrow rows, cut to k per product in each
+    input partition before the shuffle; only then are the texts of the chosen
+    positions fetched. No review text is sorted, and a product with a large
+    share of the rows sends at most k of them per task.
     """
     named = opinions.where("product is not null")
     place = F.row_number().over(Window.partitionBy("product").orderBy("ord"))
+    picks = settle(
+        named.select("product", "ord").withColumn("place", place)
+        .where(F.col("place") <= k))
+    texts = opinions.select("ord", "polarity", "category", "review_text")
+    # positions are unique, so there is no key to salt
+    chosen = lookup_join(texts, picks, "ord", "inner", spread=F.lit(0), salts=1)
     line = F.concat(
         tx.display_polarity(F.col("polarity")), F.lit(" | "),
         F.coalesce("category", F.lit("")), F.lit(':\n  "'),
@@ -77,10 +85,7 @@ def sample_reviews(opinions: DataFrame, k: int = 10) -> DataFrame:
         F.lit('"'),
     )
     first = (
-        named.select("product", "ord", "polarity", "category", "review_text")
-        .withColumn("place", place).where(F.col("place") <= k)
-        .select("product", "place", line.alias("line"))
-        .groupBy("product")
+        chosen.select("product", "place", line.alias("line")).groupBy("product")
         .agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("lines"))
     )
     totals = named.groupBy("product").agg(F.count(F.lit(1)).alias("total"))
@@ -116,12 +121,8 @@ def heatmap_rows(opinions: DataFrame, k: int = 10) -> DataFrame:
             lambda x: x["category"],
         ).alias("top")
     ).scalar()
-    counted = tally(opinions, "product", "category").where("product is not null")
-    # one count table feeds both the fold and the columns
-    folded = (
-        counted.withColumn(
-            "category", F.when(F.array_contains(top, F.col("category")), F.col("category")))
-    )
+    folded = opinions.where("product is not null").withColumn(
+        "category", F.when(F.array_contains(top, F.col("category")), F.col("category")))
     cells = tally(folded, "product", "category")
     per_product = cells.groupBy("product").agg(
         F.collect_list(F.struct("category", "total", "pos", "neg")).alias("seen"))

@@ -67,13 +67,21 @@ def drop_generic(df: DataFrame, blacklist: DataFrame, col: str = "s") -> DataFra
 
 
 def _first_keyword(rows: list, s: Column) -> Column:
-    """Best keyword contained in ``s``; ``rows`` are in index order."""
-    ranked = F.array(*[
-        F.struct(F.lit(r["keyword"]).alias("keyword"), F.lit(r["category"]).alias("category"))
-        for r in rows
-    ])
-    return once(s, lambda hay: F.get(
-        F.filter(ranked, lambda k: F.contains(hay, k["keyword"])), F.lit(0)))
+    """Best keyword contained in ``s``; ``rows`` are in index order.
+
+    A term that is itself a keyword contains no longer one, so it is looked up
+    directly; only other terms are searched for every keyword in turn.
+    """
+    def entry(r) -> Column:
+        return F.struct(
+            F.lit(r["keyword"]).alias("keyword"), F.lit(r["category"]).alias("category"))
+
+    first = {r["keyword"]: r for r in reversed(rows)}
+    direct = F.create_map(*[x for k, r in first.items() for x in (F.lit(k), entry(r))])
+    ranked = F.array(*[entry(r) for r in rows])
+    return once(s, lambda hay: F.coalesce(
+        F.try_element_at(direct, hay),
+        F.get(F.filter(ranked, lambda k: F.contains(hay, k["keyword"])), F.lit(0))))
 
 
 def _word_edges(text: Column) -> Column:
