@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from opinionmill import schema as S
 from opinionmill.functions.rounding import half_up_pct
-from opinionmill.plans.scale import TOP_ROWS, global_index, number_few, settle
+from opinionmill.plans.scale import TOP_ROWS, global_index, number_few, settle, spread_small
 
 
 def review_feed(opinions: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def review_feed(opinions: DataFrame) -> DataFrame:
         F.when(F.col("polarity").isin(S.POS, S.NEG), F.col("polarity")).otherwise(S.NEU)
     )
     tags = (
-        opinions.where("review_text is not null")
+        spread_small(opinions, "ord").where("review_text is not null")
         .groupBy(
             F.col("review_text").alias("text"), F.col("category").alias("aspect"),
             pol.alias("polarity"))

@@ -69,8 +69,11 @@ def spread_small(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
         spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) >= split * spark.sparkContext.defaultParallelism:
+    # bytes of the tables read, not the plan's own estimate, which multiplies joins
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(
+        int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size >= split * spark.sparkContext.defaultParallelism:
         return df
     return spread(df, key)
 
@@ -147,14 +150,14 @@ def number_few(df: DataFrame, order_by: list, name: str = "pos") -> DataFrame:
 
 
 def order_statistics(
-    df: DataFrame, column: str, ranks: list[int], fanout: int = 4096
+    df: DataFrame, column: str, ranks: list[int], fanout: int = 1 << 16
 ) -> list[int]:
     """Exact values at the given 1-based ranks of a unique LONG column.
 
     Each pass counts the rows of ``fanout`` equal-width cells inside the range
     still open for every rank and narrows the range to one cell. Passes read a
     single column and shuffle at most ``fanout * len(ranks)`` counts; the value
-    range, not the row count, sets their number (at most six).
+    range, not the row count, sets their number (at most four).
     """
     if not ranks:
         return []
