@@ -58,7 +58,7 @@ def on_text(fn: Callable[[Column], Column], view=fx.reviews) -> Query:
 
 @query
 def read_reviews(spark, sf):
-    """Customers written as CSV, read back as text with positions."""
+    """Documents read as text, numbered by their row in the file."""
     return (
         rv.read_reviews(spark, f"{sf}/documents.parquet", "parquet")
         .select("ord", "doc_id", "source", "n_chars", F.md5("text").alias("text_md5")))
