@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinionmill.llm import line_dedup, mixing, near_dups, pieces, quality_rules
+from opinionmill.llm import line_dedup, mixing, near_dups, pieces, quality_rules, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
 @query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(
@@ -85,3 +90,9 @@ reach as (select doc_id as a, doc_id as b from s
   from reach join link on link.a = reach.b or link.b = reach.b)
 select s.doc_id, len(ss)::bigint as n_shingles, min(b) as component_id, min(b) = s.doc_id as kept
 from s join reach on reach.a = s.doc_id group by s.doc_id, ss"""
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
