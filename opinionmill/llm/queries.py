@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinionmill.llm import line_dedup, mixing, near_dups, pieces, quality_rules, toxicity, url_filter
+from opinionmill.llm import (
+    line_dedup, mixing, near_dups, pieces, pseudo_likelihood, quality_rules, topk_search, toxicity,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -96,3 +99,32 @@ from s join reach on reach.a = s.doc_id group by s.doc_id, ss"""
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return topk_search.search(docs, docs.where("doc_id % 50 = 0"))
+
+
+ORACLE["op2_topk_search"] = f"""with
+w as materialized (select doc_id, unnest(regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^{_BLANK}]+')) as word from documents),
+tf as materialized (select doc_id, word, count(*) as tf from w group by all),
+n as materialized (select count(*)::double as docs, (select count(*) from w) / count(*) as mean from documents),
+df as materialized (select word, ln(1.0 + (any_value(docs) - count(*) + 0.5) / (count(*) + 0.5)) as idf
+  from tf, n group by word),
+len as materialized (select doc_id, sum(tf) as dl from tf group by doc_id),
+asked as materialized (select doc_id as query_id, word, idf from tf join df using (word)
+  where doc_id % 50 = 0 qualify row_number() over (partition by doc_id order by tf * idf desc, word) <= {topk_search.TERMS}),
+hit as (select query_id, tf.doc_id, round(sum(idf * tf * {topk_search.K1 + 1} /
+    (tf + {topk_search.K1} * (1 - {topk_search.B} + {topk_search.B} * dl / mean))), {topk_search.DIGITS}) as score
+  from asked join tf using (word) join len using (doc_id), n group by all)
+select query_id, row_number() over (partition by query_id order by score desc, doc_id)::int as rank, doc_id, score
+from hit qualify rank <= 10"""
+
+
+@query
+def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.score_documents(table(spark, sf_dir, "documents"))
