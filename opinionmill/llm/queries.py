@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinionmill.llm import (
-    line_dedup, mixing, near_dups, pieces, pseudo_likelihood, quality_rules, topk_search, toxicity,
-    url_filter,
+    line_dedup, mixing, near_dups, pieces, pseudo_likelihood, quality_rules, repeats, topk_search,
+    toxicity, url_filter,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,8 @@ from hit qualify rank <= 10"""
 @query
 def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
