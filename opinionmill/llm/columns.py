@@ -32,6 +32,14 @@ def count_chars(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
+def count_rare(text: Column, chars: str) -> Column:
+    """``count_chars`` by plain searches: faster where the characters are rare."""
+    rest = text
+    for c in chars:
+        rest = F.replace(rest, F.lit(c), F.lit(""))
+    return F.length(text) - F.length(rest)
+
+
 def word_count(text: Column) -> Column:
     """Number of words without building them: separators squeezed, then counted."""
     squeezed = F.trim(F.regexp_replace(whole_text(text), BLANK_CLASS + "+", " "))

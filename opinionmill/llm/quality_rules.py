@@ -30,7 +30,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinionmill.llm.columns import BLANK_CLASS, BLANKS, count_chars, let, whole_text, words_of
+from opinionmill.llm.columns import BLANK_CLASS, count_chars, count_rare, let, whole_text, words_of
 
 SYMBOLS = "#*$%&|<>"
 KEEP_AT = 0.5
@@ -46,20 +46,20 @@ RULES: dict[str, tuple[int, str]] = {
     "repetition": (-1, "100 * n_repeat_words > 30 * n_words"),
     "short_words": (-1, "word_chars < 2 * n_words"),
     "long_words": (-1, "word_chars > 14 * n_words"),
-    "capitals": (-1, "n_upper > n_lower"),
+    "capitals": (-1, "5 * n_upper > 2 * word_chars"),
     "shouting": (-1, "10 * n_bangs > n_words"),
     "repeated_lines": (-1, "2 * n_dup_lines > n_lines"),
     "no_stops": (-1, "60 * n_stops < n_words"),
     "prose": (1, "word_chars >= 3 * n_words and word_chars <= 10 * n_words"
                  " and 20 * n_symbols <= n_words and 5 * n_repeat_words <= n_words"
-                 " and 2 * n_upper <= n_lower and 20 * n_bangs <= n_words"),
+                 " and 4 * n_upper <= word_chars and 20 * n_bangs <= n_words"),
     "sentences": (1, "25 * n_stops >= n_words and 2 * n_stops <= n_words"
-                     " and 20 * n_symbols <= n_words and 2 * n_upper <= n_lower"
+                     " and 20 * n_symbols <= n_words and 4 * n_upper <= word_chars"
                      " and 20 * n_bangs <= n_words and 10 * n_repeat_words <= 3 * n_words"),
 }
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
-            "n_upper", "n_lower", "n_bangs", "n_stops")
+            "n_upper", "n_bangs", "n_stops")
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -67,7 +67,7 @@ def _repeat_words(words: Column) -> Column:
     """Words inside a 3-word window that occurs twice or more in the text."""
     def covered(keys: Column) -> Column:
         # equal windows stand side by side once sorted; then back to their places
-        placed = F.array_sort(F.transform(
+        placed = F.sort_array(F.transform(
             keys, lambda k, i: F.struct(k.alias("key"), i.alias("at"))))
         return let(placed, lambda s: let(F.size(s), lambda n: F.size(F.array_distinct(F.flatten(
             F.transform(
@@ -92,15 +92,14 @@ def measures(text: Column) -> Column:
         lines = F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit("[^" + BLANK_CLASS[1:])))
         return let(lines, lambda ls: let(words_of(t), lambda w: F.struct(
             F.size(w).cast("bigint").alias("n_words"),
-            (F.length(t) - count_chars(t, BLANKS)).cast("bigint").alias("word_chars"),
-            count_chars(t, SYMBOLS).cast("bigint").alias("n_symbols"),
+            F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
+            count_rare(t, SYMBOLS).cast("bigint").alias("n_symbols"),
             F.size(ls).cast("bigint").alias("n_lines"),
             (F.size(ls) - F.size(F.array_distinct(ls))).cast("bigint").alias("n_dup_lines"),
             _repeat_words(w).cast("bigint").alias("n_repeat_words"),
             count_chars(t, _UPPER).cast("bigint").alias("n_upper"),
-            count_chars(t, _UPPER.lower()).cast("bigint").alias("n_lower"),
-            count_chars(t, "!").cast("bigint").alias("n_bangs"),
-            count_chars(t, ".,;:?").cast("bigint").alias("n_stops"))))
+            count_rare(t, "!").cast("bigint").alias("n_bangs"),
+            count_rare(t, ".,").cast("bigint").alias("n_stops"))))
 
     return let(whole_text(text), of)
 
@@ -165,15 +164,17 @@ def p_good(cast: Column, weights: list[float]) -> Column:
 
 def fit(judged: DataFrame) -> list[float]:
     """Estimate from a frame with the column ``_votes``: one small aggregate."""
-    rows = judged.groupBy("_votes").count().collect()  # at most 2 ** len(RULES) rows
-    return estimate({tuple(r["_votes"]): r["count"] for r in rows})
+    rows = judged.groupBy("_votes").count().collect()  # at most 2 ** len(RULES) + 1 rows
+    return estimate({tuple(r["_votes"]): r["count"] for r in rows if r["_votes"] is not None})
 
 
 def vote_patterns(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Only ``_votes`` of each document that passes the base rules."""
-    judged = docs.select(let(measures(F.col(text)), lambda m: F.when(
+    """Only ``_votes`` of each document, null where the base rules fail.
+
+    Not filtered here: a filter would be pushed below and measure every text twice.
+    """
+    return docs.select(let(measures(F.col(text)), lambda m: F.when(
         ~base_failed(m), votes(m))).alias("_votes"))
-    return judged.where("_votes is not null")
 
 
 def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -236,9 +237,8 @@ m as (select src.rid, doc_id, coalesce(n_words, 0) as n_words,
   coalesce(n_lines, 0) as n_lines, coalesce(n_dup_lines, 0) as n_dup_lines,
   coalesce(n_repeat_words, 0) as n_repeat_words,
   length(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g')) as n_upper,
-  length(regexp_replace(coalesce(text, ''), '[^a-z]', '', 'g')) as n_lower,
   length(regexp_replace(coalesce(text, ''), '[^!]', '', 'g')) as n_bangs,
-  length(regexp_replace(coalesce(text, ''), '[^.,;:?]', '', 'g')) as n_stops
+  length(regexp_replace(coalesce(text, ''), '[^.,]', '', 'g')) as n_stops
   from src left join cnt using (rid) left join rep using (rid) left join line using (rid)),
 voted as materialized (select *, {BASE_FAILED} as base_failed, {', '.join(
         case(j, r) for j, r in enumerate(RULES.values()))} from m),
