@@ -17,7 +17,10 @@ Groups of any size are handled without forming their pairs:
 
 A pair at the threshold is missed by all bands with probability
 ``(1 - 0.8 ** ROWS) ** BANDS``, about 5e-8. The sketch drops a pair only ``SLACK``
-below the threshold, over five deviations.
+below the threshold, over five deviations. A second bitmap holds the parity of the
+whole set: its XOR never counts more than the sets' symmetric difference, so what it
+drops is below the threshold for certain, and for sets of up to some thousand
+shingles hardly any other pair is left to confirm.
 
 Defined results: null and empty texts have no set, stay alone and are kept; rows
 sharing an id are one node; null ids are kept and have no component; an empty
@@ -77,14 +80,14 @@ def odd_sketch(low: np.ndarray) -> np.ndarray:
     return np.packbits(parity).view(np.int64)
 
 
-def similarity_of(differing: np.ndarray | Column):
-    """Estimated similarity from the number of differing bits (numpy)."""
-    share = np.minimum(2 * differing / BITS, 0.999)
-    return 1 + BITS / 2 * np.log(1 - share) / (2 * SAMPLES)
+def set_parity(keys: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a whole set."""
+    bit = (keys >> np.uint64(32)).astype(np.int64) % BITS
+    return np.packbits((np.bincount(bit, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
 _SKETCHED = ("doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, "
-             "sketch array<bigint>")
+             "sketch array<bigint>, parity array<bigint>")
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -99,6 +102,7 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             d = np.zeros((n, 2), np.uint64)
             bands = np.zeros((n, BANDS), np.int64)
             odd = np.zeros((n, BITS // 64), np.int64)
+            parity = np.zeros((n, BITS // 64), np.int64)
             with np.errstate(over="ignore"):
                 for i, keys in enumerate(shingle_sets(batch.column(1), width)):
                     sizes[i] = len(keys)
@@ -108,6 +112,7 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     d[i, 1] = np.bitwise_xor.reduce(mix(keys + np.uint64(1)))
                     low = minima(keys, factors)
                     odd[i] = odd_sketch(low)
+                    parity[i] = set_parity(keys)
                     key = tags.copy()
                     for j in range(ROWS):
                         key = mix(key + low[j: BANDS * ROWS: ROWS])
@@ -118,7 +123,8 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 "doc_id": batch.column(0), "n": pa.array(sizes),
                 "d1": pa.array(d[:, 0].copy().view(np.int64)),
                 "d2": pa.array(d[:, 1].copy().view(np.int64)),
-                "bands": fixed(bands), "sketch": fixed(odd)})
+                "bands": fixed(bands), "sketch": fixed(odd),
+                "parity": fixed(parity)})
 
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")
                        ).mapInArrow(run, _SKETCHED)
@@ -135,6 +141,15 @@ def _most_bits(percent: int) -> int:
     return int(BITS / 2 * (1 - np.exp(-2 * allowed / BITS)))
 
 
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Pairs that size, whole-set parity and odd sketch leave open."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return _sizes_fit(na, nb, percent) & (
+        _differing(F.col(f"{a}.parity"), F.col(f"{b}.parity")) * (100 + percent)
+        <= (na + nb) * (100 - percent)) & (
+        _differing(F.col(f"{a}.sketch"), F.col(f"{b}.sketch")) <= _most_bits(percent))
+
+
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
@@ -173,15 +188,15 @@ def _apart(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int
     bands = per.groupBy("key").agg(
         F.max_by("component", F.struct("c", "component")).alias("main"),
         F.sum("c").alias("size"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    rows = placed.join(bands, "key").join(nodes.select("node", "n", "sketch"), "node")
+    rows = placed.join(bands, "key").join(nodes.select("node", "n", "sketch", "parity"), "node")
     rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     asks = rows.where("component != main").withColumn("other", F.explode(every)).select(
-        "key", "block", "other", F.lit(True).alias("asks"), "node", "component", "n", "sketch")
+        "key", "block", "other", F.lit(True).alias("asks"), "node", "component", "n", "sketch", "parity")
     gives = rows.withColumn("ask", F.explode(every)).select(
         "key", F.col("ask").alias("block"), F.col("block").alias("other"),
-        F.lit(False).alias("asks"), "node", "component", "n", "sketch")
+        F.lit(False).alias("asks"), "node", "component", "n", "sketch", "parity")
     both = asks.union(gives).withColumn(
         "slot", F.pmod(F.xxhash64("key", "block", "other"), F.lit(1 << 12)))
     most = _most_bits(percent)
@@ -192,7 +207,7 @@ def _apart(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int
         cut = np.flatnonzero(np.any(ids[1:] != ids[:-1], axis=1)) + 1
         asking = frame["asks"].to_numpy()
         node, comp, size = (frame[c].to_numpy() for c in ("node", "component", "n"))
-        sketch = np.stack(frame["sketch"].to_numpy()).view(np.uint64)
+        sketch, parity = (np.stack(frame[c].to_numpy()).view(np.uint64) for c in ("sketch", "parity"))
         found = []
         for lo, hi in zip(np.append(0, cut), np.append(cut, len(frame)), strict=True):
             a, b = lo + np.flatnonzero(asking[lo:hi]), lo + np.flatnonzero(~asking[lo:hi])
@@ -201,6 +216,8 @@ def _apart(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int
             bits = np.bitwise_count(sketch[a][:, None, :] ^ sketch[b][None, :, :]).sum(axis=2)
             fit = np.minimum(size[a][:, None], size[b][None, :]) * 100 >= np.maximum(
                 size[a][:, None], size[b][None, :]) * percent
+            apart = np.bitwise_count(parity[a][:, None, :] ^ parity[b][None, :, :]).sum(axis=2, dtype=np.int64)
+            fit &= apart * (100 + percent) <= (size[a][:, None] + size[b][None, :]) * (100 - percent)
             fit &= (comp[a][:, None] != comp[b][None, :]) & (bits <= most)
             if best is not None:
                 bits = np.where(fit, bits, BITS + 1)
@@ -224,7 +241,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"))
     sets = written(sets, "sets")
     nodes = full.join(sets, ["n", "d1", "d2"]).where("doc_id = node").select(
-        "node", "n", "bands", "sketch")
+        "node", "n", "bands", "sketch", "parity")
     banded = nodes.select("node", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(
         F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").drop("last")
@@ -234,12 +251,12 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     source = docs.select(F.col(doc_id).cast("bigint").alias("node"), F.col(text).alias("text"))
     texts = written(source.join(wanted, "node"), "candidate-texts")
 
-    centre = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    facts = F.struct("n", "sketch", "parity")
     first = members.where("node != centre").select(
         F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    first = first.join(nodes.select(F.col("node").alias("a"), "n", "sketch"), "a").join(centre, "b")
-    tried = written(first.where(_sizes_fit(F.col("n"), F.col("nb"), percent)).where(
-        _differing(F.col("sketch"), F.col("sb")) <= _most_bits(percent)).select("a", "b").distinct(), "pairs")
+    first = first.join(nodes.select(F.col("node").alias("a"), facts.alias("of_a")), "a").join(
+        nodes.select(F.col("node").alias("b"), facts.alias("of_b")), "b")
+    tried = written(first.where(_may_link("of_a", "of_b", percent)).select("a", "b").distinct(), "pairs")
     links = written(confirm(tried, texts, percent, width), "links")
     for best in (BEST, None):
         labels = written(components(links), "labels")
