@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -90,6 +92,11 @@ def preprocess_text(text: Column) -> Column:
     return F.coalesce(cleaned, F.lit(""))
 
 
+# decimal digits of all scripts and their ASCII form
+_DIGITS = "".join(c for c in map(chr, range(128, 0x10000)) if unicodedata.category(c) == "Nd")
+_DIGIT_VALUES = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
+
+
 def parse_days_ago(text: Column) -> Column:
     """Days from prose such as "2 tuần trước"; -1 when there is no such phrase."""
     # ignoring case in the pattern is cheaper than lowering every text
@@ -100,7 +107,8 @@ def parse_days_ago(text: Column) -> Column:
     # more digits than a LONG holds only ever mean "long ago"
     long_ago = F.lit(10**15)
     # (the leading 0 spares texts without a match a failing cast)
-    number = F.concat(F.lit("0"), digits).try_cast("bigint")
+    plain = F.translate(digits, _DIGITS, _DIGIT_VALUES)
+    number = F.concat(F.lit("0"), plain).try_cast("bigint")
     count = F.least(F.coalesce(number, long_ago), long_ago)
     return F.coalesce(
         count * F.try_element_at(per_unit, unit), F.lit(-1).cast("bigint"))

@@ -119,6 +119,11 @@ class OpinionStore:
             if not valid_key(cache_key):
                 raise ValueError("cache key may hold letters, digits, _ and - only")
             opinions = opinions.withColumn("cache_key", F.lit(cache_key))
+        else:
+            key = F.col("cache_key")
+            opinions = opinions.withColumn("cache_key", F.when(
+                key.rlike("^[A-Za-z0-9_-]+$"), key).otherwise(F.raise_error(F.lit(
+                    "cache key may hold letters, digits, _ and - only"))))
         cols = [f.name for f in S.OPINIONS.fields]
         (
             opinions.select(*cols, "cache_key")
@@ -128,7 +133,13 @@ class OpinionStore:
     def all(self) -> DataFrame:
         ddl = ", ".join(
             f"{f.name} {f.dataType.simpleString()}" for f in S.OPINIONS.fields)
-        return self.spark.read.schema(f"{ddl}, cache_key string").parquet(self.opinions_path)
+        ddl = f"{ddl}, cache_key string"
+        try:
+            return self.spark.read.schema(ddl).parquet(self.opinions_path)
+        except Exception as err:  # nothing stored yet
+            if "PATH_NOT_FOUND" not in str(err):
+                raise
+            return self.spark.createDataFrame([], ddl)
 
     def read(self, cache_key: str) -> DataFrame:
         """One stored result; the filter prunes all other partitions."""
@@ -152,6 +163,9 @@ class OpinionStore:
         entry = (
             self.history().where(F.col("hash") == cache_key)
             .orderBy(F.desc("seq")).limit(1))
+        if entry.isEmpty():  # stored without a ledger row: point to it all the same
+            entry = self.spark.createDataFrame(
+                [(0, cache_key, "", opinions.count(), cache_key)], S.HISTORY)
         self._append(entry.withColumn(
             "seq", F.lit(self._last_seq() + 1).cast("bigint")))
         return opinions
@@ -186,12 +200,14 @@ class OpinionStore:
             .where("not valid").select("cache_key"))
 
     def purge_stale(self, taxonomy: DataFrame) -> list[str]:
-        """Remove the partitions of stale results; returns their keys."""
+        """Remove the partitions of stale results; returns the keys that are gone."""
         keys = [r["cache_key"] for r in self.stale_keys(taxonomy).toLocalIterator()]
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        gone = []
         for key in keys:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.opinions_path}/cache_key={key}")
-            path.getFileSystem(conf).delete(path, True)
+            if path.getFileSystem(conf).delete(path, True):
+                gone.append(key)
         self.spark.catalog.refreshByPath(self.opinions_path)
-        return keys
+        return gone

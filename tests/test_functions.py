@@ -77,6 +77,7 @@ def test_blank_missing(spark):
 
 def test_parse_days_ago(spark):
     cases = {
+        "٣ ngày trước": 3, "１２ tuần trước": 84,
         "2 Tuần trước": 14, "1 tháng 5 ngày": 30, "5ngày": -1, "hôm nay": -1,
         "12/05/2024": -1, "3\u00a0năm": 1095, "0 ngày": 0, "cách đây 10  NGÀY": 10,
         "9" * 30 + " ngày": 10**15, "": -1, None: -1,

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tools.check import TABLES, canon
+from workload.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 # No SQL: string similarity, Python models, and the JSON document. They are
@@ -28,15 +29,16 @@ def con():
 
 
 def test_coverage():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(entry.oracle_sql()) == ROWS_ONLY
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 25
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]

@@ -218,3 +218,16 @@ def test_dashboard(spark, tmp_path, make_opinions):
     dashboard.export_dashboard(ops, str(tmp_path / "out"))
     feed = spark.read.json(str(tmp_path / "out" / "section=feed"))
     assert feed.count() == 3
+
+
+def test_empty_store_and_unledgered_load(spark, make_opinions, tmp_path):
+    store = st.OpinionStore(spark, str(tmp_path / "fresh"))
+    taxonomy = spark.createDataFrame([("Pin", "pin", 0)], "category string, keyword string, kw_ord int")
+    assert store.latest().isEmpty()
+    with pytest.raises(ValueError):
+        store.load("k1", taxonomy)
+    store.write(make_opinions([("p", "t", "Pin", "pos")]), "k1")
+    assert store.load("k1", taxonomy).count() == 1
+    assert store.latest().count() == 1
+    with pytest.raises(Exception, match="cache key"):
+        store.write(make_opinions([("p", "t", "Pin", "pos")]).withColumn("cache_key", F.lit("a:b=c")))
