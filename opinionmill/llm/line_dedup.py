@@ -86,6 +86,28 @@ def _near(a: Column, b: Column) -> Column:
         F.size(b) + 1 == F.size(a), longer(b, a)).otherwise(F.lit(False))
 
 
+def _variant_keys(w: Column) -> Column:
+    """The line's own key (``p`` 0) and one for each word ``p`` left out.
+
+    A key is the XOR of its words hashed with their places. Running XORs, of words in
+    place and of words moved up by one, give every variant without building it.
+    """
+    def running(shift: int) -> Column:
+        hashed = F.transform(w, lambda x, i: F.xxhash64(x, i - F.lit(shift)))
+        return F.aggregate(hashed, F.array(F.lit(0).cast("bigint")), lambda acc, x: F.concat(
+            acc, F.array(F.element_at(acc, -1).bitwiseXOR(x))))
+
+    def key(v: Column, size: Column, p: Column) -> Column:
+        return F.struct(v.alias("v"), size.alias("n"), p.alias("p"))
+
+    n = F.size(w)
+    return let(F.struct(running(0).alias("own"), running(1).alias("moved")), lambda r: F.concat(
+        F.array(key(F.element_at(r["own"], -1), n, F.lit(0))),
+        F.transform(F.sequence(F.lit(1), n), lambda p: key(
+            F.get(r["own"], p - 1).bitwiseXOR(F.get(r["moved"], p)).bitwiseXOR(
+                F.element_at(r["moved"], -1)), n - 1, p))))
+
+
 def _near_earlier(docs: DataFrame, distinct: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Hashes ``h`` of the distinct lines that have a near line earlier."""
     halves = distinct.select("h", F.explode("halves").alias("key"))
@@ -106,12 +128,7 @@ def _near_earlier(docs: DataFrame, distinct: DataFrame, doc_id: str, text: str)
     # rows that share an id can hold different texts: keep what the hash names
     candidates = written(candidates.where(F.xxhash64("w") == F.col("h")), "line-candidates")
 
-    w, n = F.col("w"), F.size("w")
-    variants = F.transform(F.sequence(F.lit(1), n), lambda p: F.struct(
-        F.xxhash64(F.concat(F.slice(w, F.lit(1), p - 1), F.slice(w, p + 1, n))).alias("v"),
-        (n - 1).alias("n"), p.alias("p")))
-    own = F.array(F.struct(F.col("h").alias("v"), n.alias("n"), F.lit(0).alias("p")))
-    keys = candidates.select("h", "first", F.explode(F.concat(own, variants)).alias("k")).select(
+    keys = candidates.select("h", "first", F.explode(_variant_keys(F.col("w"))).alias("k")).select(
         "h", "first", "k.*")
     keys = written(keys, "line-variants")
     per_place = keys.where("p > 0").groupBy("v", "n", "p").agg(
