@@ -197,14 +197,16 @@ def _apart(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int
     gives = rows.withColumn("ask", F.explode(every)).select(
         "key", F.col("ask").alias("block"), F.col("block").alias("other"),
         F.lit(False).alias("asks"), "node", "component", "n", "sketch", "parity")
-    both = asks.union(gives).withColumn(
-        "slot", F.pmod(F.xxhash64("key", "block", "other"), F.lit(1 << 12)))
+    met = ["key", "block", "other"]
+    both = asks.union(gives).repartition(*met).sortWithinPartitions(*met)
     most = _most_bits(percent)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["key", "block", "other"], kind="stable")
-        ids = frame[["key", "block", "other"]].to_numpy()
-        cut = np.flatnonzero(np.any(ids[1:] != ids[:-1], axis=1)) + 1
+    def starts(frame: pd.DataFrame) -> np.ndarray:
+        ids = frame[met].to_numpy()
+        return np.flatnonzero(np.any(ids[1:] != ids[:-1], axis=1)) + 1
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        cut = starts(frame)
         asking = frame["asks"].to_numpy()
         node, comp, size = (frame[c].to_numpy() for c in ("node", "component", "n"))
         sketch, parity = (np.stack(frame[c].to_numpy()).view(np.uint64) for c in ("sketch", "parity"))
@@ -230,7 +232,20 @@ def _apart(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int
         pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return pd.DataFrame({"a": pairs.max(axis=0), "b": pairs.min(axis=0)})
 
-    return both.groupBy("slot").applyInPandas(run, "a bigint, b bigint").distinct()
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # only the last two blocks that meet, about 2 * BLOCK rows, wait for the next batch
+        rest = None
+        for frame in frames:
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            cut = starts(frame)
+            last = int(cut[-1]) if len(cut) else 0
+            rest = frame.iloc[last:].reset_index(drop=True)
+            if last:
+                yield compare(frame.iloc[:last])
+        if rest is not None and len(rest):
+            yield compare(rest)
+
+    return both.mapInPandas(run, "a bigint, b bigint").distinct()
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
