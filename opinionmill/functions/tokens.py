@@ -32,38 +32,6 @@ def label_name(index: Column, labels=S.TAG_LABELS) -> Column:
     return F.get(names, index)
 
 
-def surviving(tokens: Column, max_len: int = S.MAX_TOKENS) -> Column:
-    """Tokens left after truncation, sentence markers removed."""
-    return F.filter(
-        tokens,
-        lambda t: (t["pos"] >= 1) & (t["pos"] <= max_len - 2)
-        & t["word_id"].isNotNull(),
-    )
-
-
-def word_labels(tokens: Column) -> Column:
-    """Label per word, taken from its first subword; null where truncated."""
-    by_pos = F.array_sort(F.transform(
-        tokens,
-        lambda t: F.struct(
-            t["pos"], t["word_id"].alias("word"), argmax(t["logits"]).alias("cls"))))
-    flat = F.struct(
-        F.transform(by_pos, lambda t: t["word"]).alias("words"),
-        F.transform(by_pos, lambda t: t["cls"]).alias("classes"))
-
-    def labels(seen: Column) -> Column:
-        # array_position finds the first, i.e. leading, subword of each word
-        return F.transform(
-            F.sequence(F.lit(0), F.array_max(seen["words"])),
-            lambda w: label_name(F.get(
-                seen["classes"],
-                (F.nullif(F.array_position(seen["words"], w), F.lit(0)) - 1).cast("int"))),
-        )
-
-    return once(flat, lambda seen: F.coalesce(
-        labels(seen), F.array().cast("array<string>")))
-
-
 def mark(words: Column, labels: Column) -> Column:
     """Words behind the first letter of their label; unlabelled ones are null."""
     return F.zip_with(words, labels, lambda w, l: F.concat(F.substring(l, 1, 1), w))

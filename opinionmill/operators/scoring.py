@@ -99,9 +99,55 @@ def explode_tokens(df: DataFrame, key: str = "sent_id") -> DataFrame:
     return df.select(key, F.inline("tokens"))
 
 
-def token_labels(text: str = "clean", tokens: str = "tokens") -> tuple[Column, Column]:
-    """Words and their labels, as columns, for a frame with model tokens."""
-    return tk.split_words(F.col(text)), tk.word_labels(tk.surviving(F.col(tokens)))
+def _word_scores_udf(model_factory: Callable, batch: int, max_len: int):
+    get_model = _per_process(model_factory)
+    room = max_len - 2  # without the two sentence markers
+
+    def tag(chunks: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from collections import deque
+
+        import numpy
+        import pyarrow
+
+        kind = pyarrow.list_(pyarrow.list_(pyarrow.float32()))
+        model = get_model()
+        for chunk in chunks:
+            words = [(t or "").split() for t in chunk.to_pylist()]
+            found = [[None] * len(w) for w in words]
+            todo = deque((i, 0) for i, w in enumerate(words) if w)
+            while todo:
+                part = [todo.popleft() for _ in range(min(batch, len(todo)))]
+                scored = model([words[i][at:at + room] for i, at in part])
+                for (i, at), (word_ids, scores) in zip(part, scored):
+                    after = at + 1
+                    for pos, w in enumerate(word_ids[:room + 1]):
+                        if w is not None and found[i][at + w] is None:
+                            found[i][at + w] = numpy.asarray(scores[pos], numpy.float32)
+                            after = max(after, at + w + 1)
+                    if after < len(words[i]):
+                        todo.append((i, after))
+            yield pyarrow.array(found, kind)
+
+    return arrow_udf(tag, "array<array<float>>")
+
+
+def score_words(
+    df: DataFrame, model_factory: Callable, text: str = "clean", batch: int = 32,
+    max_len: int = S.MAX_TOKENS
+) -> DataFrame:
+    """Add ``word_logits``: the scores of each word's first subword, for all words.
+
+    A text longer than ``max_len`` subwords is tagged in consecutive segments; the
+    next one starts at the first word that the one before had no room for.
+    """
+    return df.withColumn(
+        "word_logits", _word_scores_udf(model_factory, batch, max_len)(F.col(text)))
+
+
+def token_labels(text: str = "clean", logits: str = "word_logits") -> tuple[Column, Column]:
+    """Words and their labels, as columns, for a frame from ``score_words``."""
+    labels = F.transform(F.col(logits), lambda x: tk.label_name(tk.argmax(x)))
+    return tk.split_words(F.col(text)), labels
 
 
 def _scorer_udf(model_factory: Callable, batch: int):

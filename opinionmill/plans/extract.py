@@ -49,7 +49,7 @@ def tag_mentions(clean: DataFrame, models: Models) -> DataFrame:
             F.col("clean"), list(models.heads), list(models.tails)))
         tagged = clean
     else:
-        scored = scoring.score_tokens(clean, models.tagger, batch=models.batch)
+        scored = scoring.score_words(clean, models.tagger, batch=models.batch)
         words, labels = scoring.token_labels()
         spans = tk.bio_spans(words, labels)
         tagged = scored

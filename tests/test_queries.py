@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 # checked against brute force in the other test files.
 ROWS_ONLY = {
     "similarity", "fuzzy_match", "normalize_aspects", "extract_opinions_fuzzy",
-    "extract_opinions_models", "score_one", "dashboard_json",
+    "score_one", "dashboard_json",
 }
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")

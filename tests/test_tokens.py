@@ -89,11 +89,12 @@ def test_argmax_first_on_ties(spark):
 
 def test_model_route_matches_dictionary(spark):
     """The Python tagger, read through first-subword labels, tags what the
-    built-in expression tags; words past the token limit stay unlabelled."""
+    built-in expression tags, also past the token limit."""
     heads, tails = ["pin", "camera"], ["sau"]
-    texts = ["Pin tốt camera sau đẹp", "không có gì", "a " * 140 + "pin", "camera_sau sau pin"]
+    texts = ["Pin tốt camera sau đẹp", "không có gì", "a " * 140 + "pin", "camera_sau sau pin",
+             "camera " * 125 + "abcde" * 200 + " sau camera " + "sau " * 300 + "pin"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, clean string")
-    scored = scoring.score_tokens(df, scoring.dictionary_tagger(heads, tails), batch=2)
+    scored = scoring.score_words(df, scoring.dictionary_tagger(heads, tails), batch=2)
     words, labels = scoring.token_labels()
     by_model = {
         r["i"]: [s["seg"] for s in r["s"]]
@@ -102,8 +103,10 @@ def test_model_route_matches_dictionary(spark):
         r["i"]: [s["seg"] for s in r["s"]]
         for r in df.select("i", tk.marked_spans(
             tk.dictionary_marks(F.col("clean"), heads, tails)).alias("s")).collect()}
+    long = by_dict.pop(4)
+    assert long == ["camera"] * 125 + ["camera" + " sau" * 300, "pin"]
     assert by_dict == {0: ["Pin", "camera sau"], 1: [], 2: ["pin"], 3: ["pin"]}
-    assert by_model == {**by_dict, 2: []}
+    assert by_model == {**by_dict, 4: long}
 
 
 def test_long_form_labels(spark):

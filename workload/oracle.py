@@ -129,7 +129,7 @@ LABEL = "case cls when 0 then 'O' when 1 then 'B-ASP' when 2 then 'I-ASP' end"
 KEPT = f"""kept as (select * from tokens where pos <= {S.MAX_TOKENS - 2} or word_id is null)"""
 FIRST = f"""first_label as (
 select sent_id, word_id, {LABEL} as label
-from kept where word_id is not null
+from tokens where word_id is not null
 qualify row_number() over (partition by sent_id, word_id order by pos) = 1)"""
 
 
@@ -417,9 +417,9 @@ ORACLE: dict[str, str] = {
     + f"select sent_id, pos, word_id, {LABEL} as label from tokens",
     "truncate_subwords": with_(SENTENCES, WORDS, TOKENS, KEPT)
     + "select sent_id, pos, word_id from kept",
-    "first_subword_label": with_(SENTENCES, WORDS, TOKENS, KEPT, FIRST)
+    "first_subword_label": with_(SENTENCES, WORDS, TOKENS, FIRST)
     + "select * from first_label",
-    "align_words_labels": with_(SENTENCES, WORDS, TOKENS, KEPT, FIRST)
+    "align_words_labels": with_(SENTENCES, WORDS, TOKENS, FIRST)
     + "select * from words join first_label using (sent_id, word_id)",
     "bio_spans": with_(SENTENCES, WORDS, LABELLED, spans("labelled", "sent_id"))
     + "select sent_id, start, display, seg from spans",
@@ -598,3 +598,5 @@ ORACLE: dict[str, str] = {
         case when seq % 3 = 0 then '' else 'b' || hash || 'b' end as key,
         seq % 3 <> 0 as can_open from ledger""",
 }
+# both model slots filled from the same word lists give the same opinions
+ORACLE["extract_opinions_models"] = ORACLE["extract_opinions"]

@@ -162,12 +162,12 @@ def truncate_subwords(spark, sf):
 
 @query
 def first_subword_label(spark, sf):
-    return tok.first_subword_label(tok.truncate_subwords(fx.tokens(spark, sf)))
+    return tok.first_subword_label(fx.tokens(spark, sf))
 
 
 @query
 def align_words_labels(spark, sf):
-    labels = tok.first_subword_label(tok.truncate_subwords(fx.tokens(spark, sf)))
+    labels = tok.first_subword_label(fx.tokens(spark, sf))
     return tok.align_words_labels(fx.words(spark, sf), labels)
 
 
@@ -247,7 +247,7 @@ def extract_opinions_models(spark, sf):
         tagger=scoring.dictionary_tagger(list(fx.MODELS.heads), list(fx.MODELS.tails)),
         scorer=scoring.lexicon_scorer(list(fx.MODELS.positive), list(fx.MODELS.negative)))
     return extract.extract_opinions(
-        fx.reviews(spark, sf), fx.taxonomy(spark), fx.blacklist(spark), models)
+        fx.reviews(spark, sf), fx.taxonomy(spark), fx.blacklist(spark), models, fuzzy=False)
 
 
 @query
