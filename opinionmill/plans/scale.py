@@ -22,11 +22,17 @@ SALTS = 64
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the session."""
+    """The folder every executor can reach, as named by the session.
+
+    Without a name only a local session, whose tasks run on the same machine, gets a
+    temporary one; on a cluster that would be a folder executors cannot see.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         root = spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="opinionmill-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
