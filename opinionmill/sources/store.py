@@ -31,27 +31,39 @@ def content_key(spark: SparkSession, path: str, roles: Roles) -> DataFrame:
         .select("path", F.md5(F.concat("content", *names)).alias("cache_key")))
 
 
-def _digest_part(digest: Column, start: int) -> Column:
-    return F.conv(F.substring(digest, start, 12), 16, 10).cast("decimal(38,0)")
+def _digest_part(digest: Column, start: int, size: int = 12) -> Column:
+    return F.conv(F.substring(digest, start, size), 16, 10).cast("decimal(38,0)")
+
+
+def _row_digest(columns: list[str]) -> Column:
+    """MD5 of all values, each led by its length so that values cannot run together;
+    a null differs from every value."""
+    def told(name: str) -> Column:
+        value = F.col(f"`{name}`").cast("string")
+        return F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+    return F.md5(F.concat(*[told(c) for c in columns]))
 
 
 def table_key(rows: DataFrame, by: str, roles: Roles) -> DataFrame:
     """``(by, rows, cache_key)`` for inputs held as rows of one large table.
 
     Row digests are summed instead of strung together: the sum combines on the
-    map side and does not depend on partitioning. Positions are part of each
-    row's digest, so row order still matters.
+    map side and does not depend on partitioning. Every column but ``by`` is part of
+    each row's digest, the position ``ord`` too, so row order still matters.
     """
-    digest = F.md5(F.concat_ws("|", F.col("ord").cast("string"), F.col("text")))
+    columns = sorted(c for c in rows.columns if c != by)
+    digest = _row_digest(columns)
     sums = (
         rows.select(by, digest.alias("d"))
         .groupBy(by).agg(
             F.count(F.lit(1)).alias("rows"),
             F.sum(_digest_part(F.col("d"), 1)).alias("a"),
-            F.sum(_digest_part(F.col("d"), 13)).alias("b"))
+            F.sum(_digest_part(F.col("d"), 13)).alias("b"),
+            F.sum(_digest_part(F.col("d"), 25, 8)).alias("c"))
     )
-    parts = [F.col(c).cast("string") for c in ("rows", "a", "b")]
-    names = [F.lit(n) for n in _role_names(roles)]
+    parts = [F.col(c).cast("string") for c in ("rows", "a", "b", "c")]
+    names = [F.lit(n) for n in (*columns, *_role_names(roles))]
     return sums.select(
         by, "rows", F.md5(F.concat_ws("|", *parts, *names)).alias("cache_key"))
 

@@ -149,6 +149,13 @@ def test_table_key_sees_order_and_content(spark):
     assert key(base)["a"] != key([("a", 0, "y"), ("a", 1, "x"), ("b", 0, "x")])["a"]
     assert key(base)["b"] != key([("b", 0, "x2")])["b"]
 
+    def with_product(product):
+        df = spark.createDataFrame(
+            [("a", 0, "x", product)], "src string, ord long, text string, sp string")
+        return st.table_key(df, "src", rv.Roles("text", "sp")).first()["cache_key"]
+
+    assert len({with_product(p) for p in ("p", "q", "", None)}) == 4
+
 
 def upload(spark, batch, key):
     return spark.createDataFrame(

@@ -352,15 +352,21 @@ from (select * from counted order by total desc, seen limit 10)"""
 # ------------------------------------------------------------------------- ledger
 
 
-def hex_sum(start: int) -> str:
-    return f"sum(cast('0x' || substr(d, {start}, 12) as bigint))::varchar"
+def hex_sum(start: int, size: int = 12) -> str:
+    return f"sum(cast('0x' || substr(d, {start}, {size}) as bigint))::varchar"
+
+
+# the digested columns in the order of their names, doc_id being called ord
+DIGESTED = {"lang": "lang", "n_chars": "n_chars", "ord": "doc_id", "text": "text"}
+DIGEST = " || ".join(
+    f"coalesce(length({c}::varchar) || ':' || {c}::varchar, '-')" for c in DIGESTED.values())
 
 
 CONTENT_KEY = f"""keys as (
 select source, count(*) as rows,
-  md5(concat_ws('|', count(*), {hex_sum(1)}, {hex_sum(13)},
-    {', '.join(quoted(n) for n in _role_names(DOC_ROLES))})) as cache_key
-from (select source, md5(doc_id || '|' || text) as d from documents) group by source),
+  md5(concat_ws('|', count(*), {hex_sum(1)}, {hex_sum(13)}, {hex_sum(25, 8)},
+    {', '.join(quoted(n) for n in (*DIGESTED, *_role_names(DOC_ROLES)))})) as cache_key
+from (select source, md5({DIGEST}) as d from documents) group by source),
 uploads as (
 select cast(substr(source, 4) as bigint) as batch, source || '.csv' as name,
   rows, cache_key as hash from keys),

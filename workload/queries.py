@@ -506,7 +506,7 @@ def stale_keys(spark, sf):
 
 @query
 def content_key(spark, sf):
-    rows = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "source", "text")
+    rows = fx.table(spark, sf, "documents").withColumnRenamed("doc_id", "ord")
     return st.table_key(rows, "source", DOC_ROLES)
 
 
