@@ -46,7 +46,7 @@ def first_subword_label(tokens: DataFrame) -> DataFrame:
 
 
 def align_words_labels(words: DataFrame, labels: DataFrame) -> DataFrame:
-    """Words with their labels; words past the truncation point drop out."""
+    """Words with their labels; words without one (as past a truncation) drop out."""
     return words.join(labels, ["sent_id", "word_id"])
 
 

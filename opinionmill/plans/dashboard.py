@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from opinionmill.operators import feed as fd
 from opinionmill.operators import metrics as m
 from opinionmill.operators import products as p
-from opinionmill.plans.scale import number_few, rank_rows, settle, within
+from opinionmill.plans.scale import number_few, rank_rows, settle
 
 SECTIONS = (
     "metrics", "trend", "drivers", "aspects", "worst_aspects", "products",
     "best_products", "heatmap_columns", "heatmap", "feed",
 )
-DOCUMENT_ITEMS = 20_000
+#: Sections whose number of rows does not grow with the opinions.
+BOUNDED = ("metrics", "trend", "drivers", "worst_aspects", "best_products", "heatmap_columns")
 
 
 def dashboard_sections(
@@ -76,16 +77,13 @@ def export_dashboard(opinions: DataFrame, path: str, history: DataFrame | None =
         .write.mode("overwrite").partitionBy("section").json(path))
 
 
-def dashboard_document(sections: DataFrame, max_items: int = DOCUMENT_ITEMS) -> DataFrame:
-    """One row with the whole dashboard as a single JSON object.
+def dashboard_document(sections: DataFrame) -> DataFrame:
+    """One row with the ``BOUNDED`` sections as a single JSON object.
 
-    A single object passes through one task, so this is for small tables; more
-    than ``max_items`` items raise and belong in ``export_dashboard``.
+    A single object passes through one task; the other sections (aspects, products,
+    heatmap, feed, history) grow with the input and stay rows, see ``export_dashboard``.
     """
-    if not within(sections, max_items):
-        raise ValueError(
-            f"more than {max_items} dashboard items; use export_dashboard")
-    one = sections.groupBy("section").agg(
+    one = sections.where(F.col("section").isin(*BOUNDED)).groupBy("section").agg(
         F.array_sort(F.collect_list(F.struct("place", "key", "json"))).alias("items"))
     body = F.concat(
         F.lit('"'), F.col("section"), F.lit('":['),

@@ -20,22 +20,6 @@ UNKNOWN_PRODUCT = "Sản phẩm chưa rõ"
 NO_PRODUCT_COLUMN = "(Không có cột Sản phẩm)"
 NO_DATE_COLUMN = "(Không có cột Ngày tháng)"
 
-CATEGORIES = (
-    "Pin & Sạc",
-    "Âm thanh",
-    "Nhân viên & Dịch vụ",
-    "Kết nối",
-    "Màn hình",
-    "Camera & Chụp ảnh",
-    "Bảo hành & Đổi trả",
-    "Giá cả",
-    "Thiết kế & Ngoại hình",
-    "Nghe gọi",
-    "Hiệu năng & Cấu hình",
-    "Bàn phím & Nút bấm",
-    "Giao hàng & Cửa hàng",
-)
-
 GENERIC_TERMS = (
     "sản phẩm", "sảm phẩm", "sp", "máy", "laptop", "đt", "điện thoại",
     "di động", "thiết bị", "hàng", "vỏ", "hộp",
