@@ -10,7 +10,7 @@ Steps, all of them DataFrame operations:
 1. Every line becomes a row of hashes; equal lines meet in one aggregate.
 2. Near lines agree in their first or in their last half. Only distinct lines that
    share such a half with another go on (an exact filter, four keys a line).
-3. Those emit every one-word deletion as a hashed key. Lines replaced in the same
+3. Those emit every one-word deletion outside the shared half as a hashed key. Lines replaced in the same
    place share ``(variant, place)``; a line and its lengthened form share the
    shorter line itself. An aggregate per key finds the earliest member, so a key
    of any size gives one row per line and never pairs.
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinionmill.llm.columns import let, words_of
+from opinionmill.llm.columns import let
 from opinionmill.llm.tables import written
 
 MIN_WORDS = 5
@@ -48,27 +48,38 @@ def _place(key: Column, line: Column) -> Column:
             + line.cast("decimal(10,0)")).cast("decimal(31,0)")
 
 
-def _half_keys(w: Column, n: Column) -> Column:
-    """First and last half, as a line of its length and as one a word shorter."""
+def _squeezed(text: Column) -> Column:
+    """Each run of blanks inside a line as one space; line breaks stay."""
+    odd = F.contains(text, F.lit("  "))
+    for blank in "\t\x0b\f\r":
+        odd = odd | F.contains(text, F.lit(blank))
+    return F.when(odd, F.regexp_replace(text, r"[ \t\x0B\f\r]+", " ")).otherwise(text)
+
+
+def _half_keys(t: Column, n: Column) -> list[Column]:
+    """First and last half of a squeezed line, as a line of its length and of one word less."""
+    def words(count: Column) -> Column:
+        return F.call_function("substring_index", t, F.lit(" "), count)
+
     def of(length: Column) -> list[Column]:
         half = F.floor(length / 2).cast("int")
-        return [
-            F.xxhash64(F.lit("head"), length, F.slice(w, F.lit(1), half)),
-            F.xxhash64(F.lit("tail"), length, F.slice(w, n - (length - half) + 1, length - half)),
-        ]
-    return F.array(*of(n), *of(n - 1))
+        return [F.xxhash64(F.lit("head"), length, words(half)),
+                F.xxhash64(F.lit("tail"), length, words(half - length))]
+    return [*of(n), *of(n - 1)]
+
+
+_HALVES = ["k1", "k2", "k3", "k4"]
 
 
 def _line_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``dk, line, n, h, halves`` of every line that can be removed."""
+    """``dk, line, h`` and the half keys of every line that can be removed."""
     lines = docs.where(F.col(text).isNotNull()).select(
         _doc_key(F.col(doc_id)).alias("dk"),
-        F.posexplode(F.split(F.col(text), "\n")).alias("line", "_t"))
-    found = lines.select("dk", "line", let(words_of(F.col("_t")), lambda w: F.when(
-        F.size(w) >= MIN_WORDS, F.struct(
-            F.size(w).alias("n"), F.xxhash64(w).alias("h"),
-            _half_keys(w, F.size(w)).alias("halves")))).alias("f"))
-    return found.where("f is not null").select("dk", "line", "f.*")
+        F.posexplode(F.split(_squeezed(F.col(text)), "\n")).alias("line", "_l"))
+    lines = lines.select("dk", "line", F.trim("_l").alias("t")).withColumn(
+        "n", (F.octet_length("t") - F.octet_length(F.replace("t", F.lit(" "), F.lit(""))) + 1).cast("int"))
+    return lines.where(F.col("n") >= MIN_WORDS).select("dk", "line", F.xxhash64("t").alias("h"), *(
+        k.alias(name) for k, name in zip(_half_keys(F.col("t"), F.col("n")), _HALVES, strict=True)))
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -86,9 +97,12 @@ def _near(a: Column, b: Column) -> Column:
         F.size(b) + 1 == F.size(a), longer(b, a)).otherwise(F.lit(False))
 
 
-def _variant_keys(w: Column) -> Column:
+def _variant_keys(w: Column, head: Column, tail: Column) -> Column:
     """The line's own key (``p`` 0) and one for each word ``p`` left out.
 
+    A line whose first half alone is shared can only differ after it, one whose last
+    half alone is shared only before it: words left out elsewhere could meet nothing.
+
     A key is the XOR of its words hashed with their places. Running XORs, of words in
     place and of words moved up by one, give every variant without building it.
     """
@@ -101,46 +115,54 @@ def _variant_keys(w: Column) -> Column:
         return F.struct(v.alias("v"), size.alias("n"), p.alias("p"))
 
     n = F.size(w)
+    half = F.floor((n - 1) / 2).cast("int")
     return let(F.struct(running(0).alias("own"), running(1).alias("moved")), lambda r: F.concat(
         F.array(key(F.element_at(r["own"], -1), n, F.lit(0))),
-        F.transform(F.sequence(F.lit(1), n), lambda p: key(
+        F.transform(F.sequence(F.when(tail, F.lit(1)).otherwise(half + 1),
+                               F.when(head, n).otherwise(half + 1)), lambda p: key(
             F.get(r["own"], p - 1).bitwiseXOR(F.get(r["moved"], p)).bitwiseXOR(
                 F.element_at(r["moved"], -1)), n - 1, p))))
 
 
 def _near_earlier(docs: DataFrame, distinct: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Hashes ``h`` of the distinct lines that have a near line earlier."""
-    halves = distinct.select("h", F.explode("halves").alias("key"))
-    shared = halves.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    wanted = halves.join(shared, "key").select("h").distinct()
+    halves = distinct.select("h", F.posexplode(F.array(*_HALVES)).alias("pos", "key"))
+    own = F.count(F.when(F.col("pos") < 2, F.lit(1)))
+    shared = halves.groupBy("key").agg(F.count("*").alias("c"), own.alias("own")).where(
+        "c > 1 and own > 0").select("key")
+    wanted = halves.join(shared, "key").groupBy("h").agg(
+        F.max(F.col("pos") % 2 == 0).alias("head"), F.max(F.col("pos") % 2 == 1).alias("tail"))
     # first occurrence of each wanted line, by document
-    spots = distinct.join(wanted, "h").select("h", "first").select(
-        "h", "first", F.floor(F.col("first") / _SHIFT).cast("bigint").alias("dk"),
+    spots = distinct.join(wanted, "h").select(
+        "h", "first", "head", "tail", F.floor(F.col("first") / _SHIFT).cast("bigint").alias("dk"),
         (F.col("first") % _SHIFT).cast("int").alias("line"))
-    by_doc = spots.groupBy("dk").agg(F.collect_list(F.struct("line", "h", "first")).alias("spots"))
+    by_doc = spots.groupBy("dk").agg(F.collect_list(
+        F.struct("line", "h", "first", "head", "tail")).alias("spots"))
     source = docs.where(F.col(text).isNotNull()).select(
         _doc_key(F.col(doc_id)).alias("dk"), F.col(text).alias("_text"))
     lines = source.join(by_doc, "dk").select(let(F.split(F.col("_text"), "\n"), lambda ls: F.transform(
         F.col("spots"), lambda s: F.struct(
-            s["h"].alias("h"), s["first"].alias("first"),
-            words_of(F.get(ls, s["line"])).alias("w")))).alias("found"))
+            *(s[c].alias(c) for c in ("h", "first", "head", "tail")),
+            F.trim(_squeezed(F.get(ls, s["line"]))).alias("t")))).alias("found"))
     candidates = lines.select(F.explode("found").alias("f")).select("f.*")
     # rows that share an id can hold different texts: keep what the hash names
-    candidates = written(candidates.where(F.xxhash64("w") == F.col("h")), "line-candidates")
+    candidates = written(candidates.where(F.xxhash64("t") == F.col("h")).select(
+        "h", "first", "head", "tail", F.split("t", " ").alias("w")), "line-candidates")
 
-    keys = candidates.select("h", "first", F.explode(_variant_keys(F.col("w"))).alias("k")).select(
+    keys = candidates.select("h", "first", F.explode(
+        _variant_keys(F.col("w"), F.col("head"), F.col("tail"))).alias("k")).select(
         "h", "first", "k.*")
     keys = written(keys, "line-variants")
     per_place = keys.where("p > 0").groupBy("v", "n", "p").agg(
         F.min("first").alias("best"), F.max("first").alias("worst")).where("best < worst")
-    per_line = keys.groupBy("v", "n").agg(
-        F.min(F.when(F.col("p") > 0, F.col("first"))).alias("longer"),
-        F.min(F.when(F.col("p") == 0, F.col("first"))).alias("shorter")).where(
-        "longer is not null and shorter is not null")
     replaced = keys.join(per_place, ["v", "n", "p"]).where("best < first").select("h", "first", "best")
-    edited = keys.join(per_line, ["v", "n"]).select(
-        "h", "first", F.when(F.col("p") > 0, F.col("shorter")).otherwise(F.col("longer")).alias("best")
-    ).where("best < first")
+    # distinct lines have distinct own keys, so a variant meets at most one shorter line
+    shorter = keys.where("p = 0").select("v", "n", F.col("h").alias("sh"), F.col("first").alias("sf"))
+    met = keys.where("p > 0").join(shorter, ["v", "n"]).select(
+        F.when(F.col("sf") < F.col("first"), F.struct("h", "first", F.col("sf").alias("best")))
+        .otherwise(F.struct(F.col("sh").alias("h"), F.col("sf").alias("first"), F.col("first").alias("best")))
+        .alias("m"))
+    edited = met.select("m.*")
     pairs = replaced.union(edited).groupBy("h").agg(
         F.min("first").alias("first"), F.min("best").alias("best"))
     words = candidates.select(F.col("first").alias("at"), "w").dropDuplicates(["at"])
@@ -155,7 +177,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     lines = written(_line_rows(docs, doc_id, text), "lines")
     lines = lines.withColumn("at", _place(F.col("dk"), F.col("line")))
     distinct = lines.groupBy("h").agg(
-        F.min("at").alias("first"), F.max("at").alias("last"), F.first("halves").alias("halves"))
+        F.min("at").alias("first"), F.max("at").alias("last"), *(F.first(k).alias(k) for k in _HALVES))
     distinct = written(distinct, "distinct-lines")
     near = _near_earlier(docs, distinct, doc_id, text).withColumn("near", F.lit(True))
     judged = distinct.select("h", "first", "last").join(near, "h", "left").where(
