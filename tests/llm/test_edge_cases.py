@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing names."""
 
+import random
+
 import hashlib
 
 import numpy as np
@@ -204,3 +206,22 @@ def test_pipeline_on_odd_rows(spark, docs, none):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, out, "")
         assert out.where("not round_trip").isEmpty()
+
+
+def test_line_edits_by_definition(spark):
+    """Lines of few different words, where one edit can be read in several places."""
+    draw = random.Random(7)
+    rows = [(i, " ".join(draw.choice("ab") for _ in range(draw.randint(5, 12)))) for i in range(120)]
+
+    def near(x, y):
+        if len(x) < len(y):
+            x, y = y, x
+        if len(x) == len(y):
+            return sum(p != q for p, q in zip(x, y, strict=True)) <= 1
+        return len(x) == len(y) + 1 and any(x[:p] + x[p + 1:] == y for p in range(len(x)))
+
+    words = [t.split() for _, t in rows]
+    want = {i for i in range(len(rows)) if any(near(words[i], words[j]) for j in range(i))}
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), count_as="gone")
+    assert {r["doc_id"] for r in out.collect() if r["gone"]} == want
+    assert 0 < len(want) < len(rows)
