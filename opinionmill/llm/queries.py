@@ -1,4 +1,4 @@
-"""The ten operators' queries over whole tables, and their DuckDB forms."""
+"""The operators' queries over whole tables, and their DuckDB forms."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinionmill.llm import (
-    line_dedup, mixing, near_dups, pieces, pseudo_likelihood, quality_rules, repeats, topk_search,
+    filter_audit, line_dedup, mixing, near_dups, pieces, pseudo_likelihood, quality_rules, repeats, topk_search,
     toxicity, url_filter,
 )
 
@@ -133,3 +133,12 @@ def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op11_filter_audit"] = filter_audit.duck_audit()
