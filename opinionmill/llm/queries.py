@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinionmill.llm import (
-    filter_audit, line_dedup, mixing, near_dups, pieces, pseudo_likelihood, quality_rules, repeats, topk_search,
-    toxicity, url_filter,
+    filter_audit, line_dedup, max_sketch, mixing, near_dups, pieces, pseudo_likelihood,
+    quality_rules, repeats, topk_search, toxicity, url_filter,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op11_filter_audit"] = filter_audit.duck_audit()
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_sketch.ranked_search(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op12_ranked_search"] = max_sketch.duck_ranked()
