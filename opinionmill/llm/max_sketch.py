@@ -41,7 +41,7 @@ K = 20
 WIDTH = 2048
 #: Documents of one sketch, bytes of the texts of a shard, documents scored at a time.
 BLOCK = 2048
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 STEP = 32
 BATCH_PAIRS = 200_000
 #: Sketches hold impacts in units of this size, rounded up.
@@ -54,7 +54,7 @@ for _a, _b in (("0", "9"), ("A", "Z"), ("a", "z")):
     _TERM[ord(_a): ord(_b) + 1] = True
 
 _SHARD = ("ids array<bigint>, n_docs bigint, n_terms bigint, lengths binary, vocabulary binary, "
-          "df binary, names binary, name_ends binary, bounds binary, terms binary, counts binary")
+          "df binary, names binary, bounds binary, terms binary, counts binary")
 _SHARD_FIELDS = pa.schema([
     (name, {"array<bigint>": pa.list_(pa.int64()), "bigint": pa.int64(), "binary": pa.binary()}[kind])
     for name, kind in (field.split(" ") for field in _SHARD.split(", "))])
@@ -126,10 +126,11 @@ def shard_row(chunk: Chunk, ids: pa.Array) -> dict:
     return {
         "ids": ids, "n_docs": int((lengths > 0).sum()), "n_terms": len(starts),
         "lengths": lengths.astype(np.int64).tobytes(), "vocabulary": hashes.tobytes(),
-        "df": np.bincount(term, minlength=len(names)).astype(np.int64).tobytes(),
-        "names": b"".join(names), "name_ends": np.cumsum([0, *map(len, names)]).astype(np.int64).tobytes(),
-        "bounds": np.searchsorted(doc, np.arange(chunk.rows + 1)).astype(np.int64).tobytes(),
-        "terms": term.astype(np.int32).tobytes(), "counts": counts.astype(np.int64).tobytes(),
+        # all below 2 ** 31, as a text has fewer bytes
+        "df": np.bincount(term, minlength=len(names)).astype(np.int32).tobytes(),
+        "names": b" ".join(names),
+        "bounds": np.searchsorted(doc, np.arange(chunk.rows + 1)).astype(np.int32).tobytes(),
+        "terms": term.astype(np.int32).tobytes(), "counts": counts.astype(np.int32).tobytes(),
     }
 
 
@@ -180,14 +181,15 @@ class Batch:
     def numbers(self, row: dict) -> np.ndarray:
         """The shard's number of each term, -1 where the shard lacks it."""
         hashes = np.frombuffer(row["vocabulary"], np.uint64)
-        ends = np.frombuffer(row["name_ends"], np.int64)
         names = row["names"]
+        ends = np.append(np.flatnonzero(np.frombuffer(names, np.uint8) == 0x20), len(names))
+        starts = np.append(0, ends[:-1] + 1)
         out = np.full(len(self.names), -1, np.int64)
         first = np.searchsorted(hashes, self.hashes)
         last = np.searchsorted(hashes, self.hashes, side="right")
         for i in np.flatnonzero(first < last).tolist():
             for j in range(int(first[i]), int(last[i])):
-                if names[ends[j]: ends[j + 1]] == self.names[i]:
+                if names[starts[j]: ends[j]] == self.names[i]:
                     out[i] = j
         return out
 
@@ -221,11 +223,11 @@ def document_frequencies(shards: DataFrame, batch: Batch) -> np.ndarray:
             for row in part.to_pylist():
                 at = batch.numbers(row)
                 here = at >= 0
-                total[here] += np.frombuffer(row["df"], np.int64)[at[here]]
+                total[here] += np.frombuffer(row["df"], np.int32)[at[here]]
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "df"])
 
-    rows = shards.select("vocabulary", "df", "names", "name_ends").mapInArrow(
+    rows = shards.select("vocabulary", "df", "names").mapInArrow(
         count, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect()
     out = np.zeros(len(batch.names), np.int64)
     for r in rows:
@@ -277,9 +279,9 @@ class Shard:
         self.null = np.array([x is None for x in row["ids"]], bool)
         self.m = length_factors(np.frombuffer(row["lengths"], np.int64), n_docs, n_terms)
         self.hashes = np.frombuffer(row["vocabulary"], np.uint64)
-        self.bounds = np.frombuffer(row["bounds"], np.int64)
+        self.bounds = np.frombuffer(row["bounds"], np.int32).astype(np.int64)
         self.terms = np.frombuffer(row["terms"], np.int32).astype(np.int64)
-        self.counts = np.frombuffer(row["counts"], np.int64)
+        self.counts = np.frombuffer(row["counts"], np.int32).astype(np.int64)
         docs = np.repeat(np.arange(len(self.ids)), np.diff(self.bounds))
         self.key = docs * max(len(self.hashes), 1) + self.terms
         self.impact = impacts(self.counts, self.m[docs])
