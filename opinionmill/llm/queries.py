@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinionmill.llm import (
     filter_audit, line_dedup, max_sketch, mixing, near_dups, pieces, pseudo_likelihood,
-    quality_rules, repeats, topk_search, toxicity, url_filter,
+    quality_rules, repeats, token_files, topk_search, toxicity, url_filter,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +152,9 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op12_ranked_search"] = max_sketch.duck_ranked()
+
+
+@query
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digest(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
