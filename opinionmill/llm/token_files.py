@@ -20,12 +20,14 @@ an id that a third of all rows share, or null, is still dealt to many tasks.
 
 Defined results: a null text is the empty one and has the end id alone; null ids come last;
 rows that repeat an id stay rows of their own, ordered by a hash of their texts; an empty
-table gives no file. A text is encoded whole. Further columns are not read.
+table gives no file. A text is encoded whole, in memory of about twenty times its size.
+Further columns are not read.
 """
 
 from __future__ import annotations
 
 import os
+import struct
 import uuid
 import zlib
 from array import array
@@ -34,6 +36,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -43,9 +46,11 @@ from opinionmill.llm.tables import written
 from opinionmill.plans.scale import shared_path
 
 LENGTH = 1024
-#: Sequences of a record batch, bytes of texts encoded in one call.
+#: Sequences of a record batch, bytes of texts and words encoded at a time, words remembered.
 BATCH = 256
-CALL_BYTES = 1 << 20
+CALL_BYTES = 4 << 20
+CALL_WORDS = 1 << 14
+KNOWN_WORDS = 1 << 20
 END_ID = 2
 
 _MANIFEST = "part int, file string, index string, n_docs bigint, n_tokens bigint, n_sequences bigint"
@@ -103,20 +108,18 @@ class SequenceWriter:
         self._file = pa.ipc.new_file(self._out, self.schema)
         self._index = pa.ipc.new_file(self._index_out, INDEX)
 
-    def add(self, doc_ids: pa.Array, ids: list[list[int]]) -> None:
-        """Documents with their ids, the end id included."""
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        ends = np.cumsum(n)
-        flat = np.fromiter((x for one in ids for x in one), self.kind, int(ends[-1]))
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Documents by their ids one after another, the end ids included."""
+        ends = np.cumsum(sizes)
         here = self.written + self.held
         self._index.write_batch(pa.RecordBatch.from_arrays(
-            [doc_ids.cast(pa.int64()), pa.array(here + ends - n), pa.array(n)], schema=INDEX))
-        last = np.zeros(len(flat), bool)
+            [doc_ids.cast(pa.int64()), pa.array(here + ends - sizes), pa.array(sizes)], schema=INDEX))
+        last = np.zeros(len(ids), bool)
         last[ends - 1] = True
-        self.pending.append(flat)
+        self.pending.append(ids.astype(self.kind))
         self.ends.append(last)
-        self.held += len(flat)
-        self.docs += len(ids)
+        self.held += len(ids)
+        self.docs += len(sizes)
         full = self.length * BATCH
         if self.held >= full:
             ids_, last_ = np.concatenate(self.pending), np.concatenate(self.ends)
@@ -146,16 +149,77 @@ class SequenceWriter:
                 "n_sequences": -(-self.written // self.length)}
 
 
-def _calls(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``CALL_BYTES`` characters; a longer text is one of its own."""
-    first = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > CALL_BYTES:
-            yield first, i
-            first, size = i, 0
-        size += len(text)
-    if texts:
-        yield first, len(texts)
+#: Ids of words by tokenizer file, kept between the tasks of a worker.
+_KNOWN: dict[str, dict[str, bytes]] = {}
+
+
+class WordCoder:
+    """Encodes whole texts, each distinct word of a call once.
+
+    For tokenizers that take words apart from one another: their normaliser and
+    pre-tokeniser drop white space and let nothing reach across it, so that the ids of a
+    text are those of its words (between ASCII white space) one after another. Up to
+    ``KNOWN_WORDS`` words are remembered between calls; that changes no result.
+    """
+
+    def __init__(self, tokenizer: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.coder = Tokenizer.from_file(tokenizer)
+        self.known = _KNOWN.setdefault(tokenizer, {})
+        self.end_id = end_id
+        self.wide = max(self.coder.get_vocab_size(with_added_tokens=True), end_id + 1) > 1 << 16
+        self.code, self.kind = ("I", np.dtype("<u4")) if self.wide else ("H", np.dtype("<u2"))
+
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as little-endian integers."""
+        known = self.known
+        out = list(map(known.get, words))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        for a in range(0, len(new), CALL_WORDS):
+            part = new[a: a + CALL_WORDS]
+            coded = self.coder.encode_batch_fast([words[i] for i in part], add_special_tokens=False)
+            for i, one in zip(part, coded, strict=True):
+                ids = one.ids
+                out[i] = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        for i in new[: max(0, KNOWN_WORDS - len(known))]:
+            known[words[i]] = out[i]
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has; end ids included."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = self.word_ids(coded.dictionary.to_pylist())
+        words.append(struct.pack(f"<{self.code}", self.end_id))
+        size = np.fromiter(map(len, words), np.int64, len(words)) // self.kind.itemsize
+        ids = np.frombuffer(b"".join(words), self.kind)
+        # a text's words, then the end id as one word more
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        stops = bounds[1:] + np.arange(len(texts))
+        place = np.full(len(coded) + len(texts), len(words) - 1, np.int32)
+        inside = np.ones(len(place), bool)
+        inside[stops] = False
+        place[inside] = coded.indices.to_numpy()
+        n = size[place]
+        ends = np.cumsum(n)
+        kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+        shift = ((np.cumsum(size) - size)[place] - (ends - n)).astype(kind)
+        at = np.repeat(shift, n)
+        at += np.arange(len(at), dtype=kind)
+        return ids[at], np.diff(ends[stops], prepend=0)
+
+
+def _calls(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``CALL_BYTES``; a longer text is one of its own."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    first, n = 0, len(texts)
+    while first < n:
+        base = ends[first - 1] if first else 0
+        last = max(int(np.searchsorted(ends, base + CALL_BYTES, side="right")), first + 1)
+        yield first, last
+        first = last
 
 
 def write_sequences(
@@ -164,8 +228,8 @@ def write_sequences(
 ) -> DataFrame:
     """Write all documents in ascending id order; the manifest, one row a file.
 
-    ``tokenizer`` is a file of the tokenizers library that every executor can read at that
-    path. ``files`` is about how many files come out, the session's number of shuffle
+    ``tokenizer`` is a file of the tokenizers library, of the kind that ``WordCoder`` takes,
+    that every executor can read at that path. ``files`` is about how many files come out, the session's number of shuffle
     partitions by default.
     """
     spark = docs.sparkSession
@@ -174,19 +238,14 @@ def write_sequences(
                          spark.sparkContext.defaultParallelism)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        coder = Tokenizer.from_file(tokenizer)
+        coder = WordCoder(tokenizer, end_id)
         part = TaskContext.get().partitionId()
-        wide = max(coder.get_vocab_size(with_added_tokens=True), end_id + 1) > 1 << 16
         out = None
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
+            texts = pc.fill_null(batch.column(1), "")
             for a, b in _calls(texts):
-                out = out or SequenceWriter(folder, f"{part:06d}-{uuid.uuid4().hex}", length, wide)
-                coded = coder.encode_batch_fast(texts[a:b], add_special_tokens=False)
-                out.add(batch.column(0).slice(a, b - a), [[*x.ids, end_id] for x in coded])
+                out = out or SequenceWriter(folder, f"{part:06d}-{uuid.uuid4().hex}", length, coder.wide)
+                out.add(batch.column(0).slice(a, b - a), *coder.encode(texts.slice(a, b - a)))
         if out:
             yield pa.RecordBatch.from_pylist([{"part": part} | out.close()], pa.schema([
                 ("part", pa.int32()), ("file", pa.string()), ("index", pa.string()),
