@@ -12,9 +12,9 @@ from pyspark.sql.functions import arrow_udf
 from opinionmill import schema as S
 from opinionmill.functions import text as tx
 from opinionmill.functions.once import computed, once
+from opinionmill.operators.grams import alike, containing, marked_words, pieces
 from opinionmill.plans.scale import (
     BROADCAST_ROWS,
-    INLINE_ROWS,
     bounded_rows,
     lookup_join,
     rank_rows,
@@ -23,6 +23,9 @@ from opinionmill.plans.scale import (
     within,
 )
 
+#: Keywords up to which each term is compared with all of its length band.
+BAND_ROWS = 256
+
 
 def taxonomy_from_map(
     spark: SparkSession, categories: Mapping[str, tuple[str, ...]]
@@ -67,28 +70,20 @@ def drop_generic(df: DataFrame, blacklist: DataFrame, col: str = "s") -> DataFra
 
 
 def _first_keyword(rows: list, s: Column) -> Column:
-    """Best keyword contained in ``s``; ``rows`` are in index order.
+    """Best keyword whose ``piece`` is contained in ``s``; ``rows`` are in index order.
 
     A term that is itself a keyword contains no longer one, so it is looked up
     directly; only other terms are searched for every keyword in turn.
     """
     def entry(r) -> Column:
-        return F.struct(
-            F.lit(r["keyword"]).alias("keyword"), F.lit(r["category"]).alias("category"))
+        return F.struct(*[F.lit(r[c]).alias(c) for c in ("piece", "keyword", "category")])
 
-    first = {r["keyword"]: r for r in reversed(rows)}
+    first = {r["piece"]: r for r in reversed(rows)}
     direct = F.create_map(*[x for k, r in first.items() for x in (F.lit(k), entry(r))])
     ranked = F.array(*[entry(r) for r in rows])
     return once(s, lambda hay: F.coalesce(
         F.try_element_at(direct, hay),
-        F.get(F.filter(ranked, lambda k: F.contains(hay, k["keyword"])), F.lit(0))))
-
-
-def _word_edges(text: Column) -> Column:
-    """``text`` with every run of non-word characters turned into one space and
-    padded, so that a space-padded keyword only matches whole words."""
-    inner = F.regexp_replace(text, rf"[^{tx.WORD}]+", " ")
-    return F.concat(F.lit(" "), F.trim(inner), F.lit(" "))
+        F.get(F.filter(ranked, lambda k: F.contains(hay, k["piece"])), F.lit(0))))
 
 
 def keyword_match(
@@ -96,67 +91,45 @@ def keyword_match(
 ) -> DataFrame:
     """Add ``keyword`` and ``category`` of the best keyword contained in ``s``.
 
-    The match is on substrings ("ai" is found in "hai") unless
-    ``word_boundary`` is set. Dictionaries of up to ``INLINE_ROWS`` keywords
-    become part of the expression: no join, no shuffle. Larger ones are probed
-    by the distinct terms' substrings of each keyword length with an
-    equi-join, never with a nested loop.
+    The match is on substrings ("ai" is found in "hai") unless ``word_boundary`` is
+    set: then the keyword's words must be whole words of ``s`` with the same between
+    them ("wi-fi" is found in "wi-fi 6", not in "wi fi"). Dictionaries of up to
+    ``INLINE_ROWS`` keywords become part of the expression: no join, no shuffle. Larger
+    ones go through ``keyword_match_by_anchor``.
     """
     index = taxonomy_index(taxonomy)
-    rows = bounded_rows(index)
+    piece = marked_words if word_boundary else (lambda x: x)
+    rows = bounded_rows(index.withColumn("piece", piece(F.col("keyword"))))
     if rows is not None:
         rows = sorted(rows, key=lambda r: r["rank"])
         if not rows:
             null = F.lit(None).cast("string")
             return df.withColumn("keyword", null).withColumn("category", null)
-        if word_boundary:
-            edged = [
-                {"keyword": f" {r['keyword']} ", "category": r["category"]} for r in rows]
-            hit = _first_keyword(edged, _word_edges(F.col("s")))
-            keyword = F.trim(F.col("_hit.keyword"))
-        else:
-            hit = _first_keyword(rows, F.col("s"))
-            keyword = F.col("_hit.keyword")
         return (
-            computed(df, "_hit", hit)
-            .withColumn("keyword", keyword)
+            computed(df, "_hit", _first_keyword(rows, piece(F.col("s"))))
+            .withColumn("keyword", F.col("_hit.keyword"))
             .withColumn("category", F.col("_hit.category"))
             .drop("_hit")
         )
-    found = settle(keyword_match_by_substring(df.select("s"), index, word_boundary))
+    found = settle(keyword_match_by_anchor(df.select("s"), index, word_boundary))
     return lookup_join(df, found, "s")
 
 
-def keyword_match_by_substring(
+def keyword_match_by_anchor(
     terms: DataFrame, index: DataFrame, word_boundary: bool = False
 ) -> DataFrame:
-    """``(s, keyword, category)`` for each distinct term holding a keyword."""
-    lengths = [r["kw_len"] for r in index.select("kw_len").distinct().collect()]
-    hay = _word_edges(F.col("s")) if word_boundary else F.col("s")
-    pad = 2 if word_boundary else 0
-
-    def parts(text: Column, size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(text) - size + 1)
-        return F.when(
-            F.length(text) >= size,
-            F.transform(starts, lambda i: F.substring(text, i, F.lit(size))),
-        ).otherwise(F.array().cast("array<string>"))
-
-    pieces = once(hay, lambda text: F.flatten(
-        F.array(*[parts(text, n + pad) for n in lengths])))
-    probe = (
-        _distinct_terms(terms)
-        .select("s", F.explode(F.array_distinct(pieces)).alias("piece"))
-    )
-    keys = index.select(
-        (F.concat(F.lit(" "), "keyword", F.lit(" ")) if word_boundary
-         else F.col("keyword")).alias("piece"),
-        "keyword", "category", "rank")
+    """``(s, keyword, category)`` for each distinct term holding a keyword.
+
+    Keywords are filed under their rarest gram, see ``grams.containing``: a term brings
+    its grams of a few lengths, however many lengths the keywords have.
+    """
+    piece = marked_words if word_boundary else (lambda x: x)
     # one row per keyword: the copy that wins in index order
-    keys = keys.groupBy("piece").agg(
+    keys = index.groupBy(piece(F.col("keyword")).alias("piece")).agg(
         F.min_by(F.struct("keyword", "category", "rank"), "rank").alias("k"))
+    hays = _distinct_terms(terms).select("s", piece(F.col("s")).alias("hay"))
     return (
-        probe.join(keys, "piece")
+        containing(settle(hays), settle(keys))
         .groupBy("s").agg(F.min_by("k", "k.rank").alias("k"))
         .select("s", "k.keyword", "k.category")
     )
@@ -221,11 +194,7 @@ def similarity(s: Column, keyword: Column, cutoff: float = 0.0) -> Column:
 
 
 def _bigrams(s: Column) -> Column:
-    return F.when(
-        F.length(s) >= 2,
-        F.transform(F.sequence(F.lit(1), F.length(s) - 1),
-                    lambda i: F.substring(s, i, F.lit(2))),
-    ).otherwise(F.array().cast("array<string>"))
+    return pieces(s, 2)
 
 
 def _distinct_terms(terms: DataFrame) -> DataFrame:
@@ -241,24 +210,14 @@ def _fuzzy_pairs(
     blocks are separated by unmatched characters, so above 0.8 at least one
     block has two characters: both filters drop only pairs below the cutoff.
     """
+    if cutoff > 0 and not within(taxonomy, BAND_ROWS):
+        index = settle(taxonomy_index(taxonomy))
+        keys = index.groupBy("keyword").agg(
+            F.min_by(F.struct("category", "rank"), "rank").alias("k"))
+        pairs = alike(_distinct_terms(terms), keys.select("keyword"), cutoff, band)
+        return pairs.join(keys, "keyword").select("s", "keyword", "k.category", "k.rank")
     total = F.length("s") + F.length("keyword")
     reach = 2 * F.least(F.length("s"), F.length("keyword")) >= total * cutoff
-    index = taxonomy_index(taxonomy)
-    if cutoff > 0.8 and not within(index, BROADCAST_ROWS):
-        # too many keywords to broadcast: meet on length and a shared bigram
-        n = F.length("s")
-        left = (
-            _distinct_terms(terms).withColumn("_two", F.explode(F.array_distinct(_bigrams(F.col("s")))))
-            .withColumn("kw_len", F.explode(F.sequence(n - band, n + band)))
-        )
-        right = (
-            index.select("category", "keyword", "kw_len", "rank")
-            .withColumn("_two", F.explode(F.array_distinct(_bigrams(F.col("keyword")))))
-        )
-        return (
-            left.join(right, ["kw_len", "_two"]).where(reach).drop("_two")
-            .dropDuplicates(["s", "rank"])
-        )
     pairs = length_band_candidates(terms, taxonomy, band).where(reach)
     if cutoff > 0.8:
         pairs = pairs.where(

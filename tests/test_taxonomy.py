@@ -1,10 +1,12 @@
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from opinionmill import schema as S
+from opinionmill.operators import grams
 from opinionmill.operators import taxonomy as tax
 from opinionmill.plans import scale
 
@@ -54,6 +56,20 @@ def test_substring_not_word(spark, taxonomy):
     assert strict == {"hai": None, "ai, nhé": "AI", "pin": "Pin"}
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_whole_words_with_signs(spark, monkeypatch, large):
+    """Keywords that hold other characters than letters are whole words too."""
+    if large:
+        monkeypatch.setattr(tax, "bounded_rows", lambda *a: None)
+    signs = tax.taxonomy_from_map(spark, {"Net": ("wi-fi", "wi-fi 6e"), "Lang": ("c++",), "Price": ("5%",)})
+    got = as_map(tax.keyword_match(terms(spark, [
+        "wi-fi", "the wi-fi, ok", "wi fi", "awi-fi", "wi-fix", "my wi-fi 6e!", "c++", "c", "abc++", "15%", "for 5% off"]),
+        signs, word_boundary=True), value="keyword")
+    assert got == {"wi-fi": "wi-fi", "the wi-fi, ok": "wi-fi", "wi fi": None, "awi-fi": None, "wi-fix": None,
+                   "my wi-fi 6e!": "wi-fi 6e", "c++": "c++", "c": None, "abc++": None, "15%": None,
+                   "for 5% off": "5%"}
+
+
 def test_both_match_routes_agree(spark, taxonomy, monkeypatch):
     rng = random.Random(7)
     letters = "aipnmcer sạ"
@@ -65,7 +81,7 @@ def test_both_match_routes_agree(spark, taxonomy, monkeypatch):
         ((k, c) for c, ks in DICT.items() for k in ks), key=lambda x: (-len(x[0]), x[1]))
     brute = {v: next((c for k, c in ranked if k in v), None) for v in values}
     assert inline == brute
-    joined = as_map(tax.keyword_match_by_substring(df, tax.taxonomy_index(taxonomy)))
+    joined = as_map(tax.keyword_match_by_anchor(df, tax.taxonomy_index(taxonomy)))
     assert joined == {k: v for k, v in brute.items() if v is not None}
     monkeypatch.setattr(tax, "bounded_rows", lambda *a: None)
     assert as_map(tax.keyword_match(df, taxonomy)) == brute
@@ -90,6 +106,58 @@ def brute_fuzzy(value, ranked, cutoff=S.FUZZY_CUTOFF):
     return category if ratio >= cutoff and value not in keyword else None
 
 
+def test_anchor_is_the_rarest_gram(spark):
+    keys = spark.createDataFrame([("abcdefg",), ("abcdefh",), ("xyzxyzx",), ("ab",)], "piece string")
+    seen = spark.createDataFrame(
+        [("t1", "abcdef"), ("t2", "abcdef"), ("t1", "bcdefg"), ("t1", "ab"), ("t3", "xyzxyz")], "s string, gram string")
+    # one keyword has a gram that no term has; so has the one with x's
+    assert as_map(grams.anchors(keys, seen), "piece", "gram") == {"abcdefg": "bcdefg", "ab": "ab"}
+
+
+def test_large_dictionary_against_inlined(spark, monkeypatch):
+    """Long and short keywords over sentences, both routes, and few needless candidates."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("aeioumnrst") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    kws = {" ".join(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(1500)}
+    dictionary = spark.createDataFrame(
+        [(f"c{i % 7}", k, i) for i, k in enumerate(sorted(kws))], S.TAXONOMY)
+    df = terms(spark, [" ".join(rng.choice(words) for _ in range(12)) for _ in range(300)] + ["", "x"])
+    for whole in (False, True):
+        inlined = as_map(tax.keyword_match(df, dictionary, whole), value="keyword")
+        index = tax.taxonomy_index(dictionary)
+        anchored = as_map(tax.keyword_match_by_anchor(df, index, whole), value="keyword")
+        assert anchored == {k: v for k, v in inlined.items() if v is not None} and len(anchored) > 100
+    keys = index.select(F.col("keyword").alias("piece"))
+    hays = df.withColumn("hay", F.col("s"))
+    seen = hays.select("s", "hay", F.explode(F.array_distinct(F.flatten(F.array(
+        *[grams.pieces(F.col("hay"), n) for n in range(2, grams.GRAM + 1)])))).alias("gram"))
+    met = grams.candidates(seen, grams.anchors(keys, seen))
+    hits = met.where(F.contains("hay", F.col("piece"))).count()
+    assert hits == grams.containing(hays, keys).count() > 1000 and met.count() < 2 * hits
+
+
+def test_least_matched():
+    for total in range(1, 80):
+        m = grams.least_matched(total, S.FUZZY_CUTOFF)
+        assert 2.0 * m / total >= S.FUZZY_CUTOFF > 2.0 * (m - 1) / total
+
+
+@pytest.mark.parametrize(("heavy", "cutoff"), [(grams.HEAVY, S.FUZZY_CUTOFF), (3, S.FUZZY_CUTOFF), (3, 0.6)])
+def test_similarity_join_by_definition(spark, heavy, cutoff, monkeypatch):
+    """All pairs of many strings over few letters, with and without salted segments."""
+    monkeypatch.setattr(grams, "HEAVY", heavy)
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 9))) for _ in range(1200)})
+    kws = rng.sample(words, 500)
+    pairs = grams.alike(
+        terms(spark, words), spark.createDataFrame([(k,) for k in kws], "keyword string"), cutoff, 3)
+    got = [tuple(r) for r in pairs.collect()]
+    want = {(a, b) for a in words for b in kws
+            if abs(len(a) - len(b)) <= 3 and SequenceMatcher(None, a, b).ratio() >= cutoff}
+    assert len(got) == len(set(got)) and want <= set(got)
+    assert len(got) < (0.02 if cutoff > 0.8 else 0.5) * len(words) * len(kws)
+
+
 @pytest.mark.parametrize("large", [False, True])
 def test_fuzzy_against_brute_force(spark, taxonomy, monkeypatch, large):
     """Every keyword with one or two edits, through both candidate routes."""

@@ -315,7 +315,7 @@ def keyword_match_words(spark, sf):
 @query
 def keyword_match_join(spark, sf):
     """The route for dictionaries too large to inline."""
-    return tax.keyword_match_by_substring(
+    return tax.keyword_match_by_anchor(
         _terms(spark, sf), tax.taxonomy_index(fx.taxonomy(spark)))
 
 
