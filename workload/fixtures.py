@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from opinionmill.functions import tokens as tk
 from opinionmill.operators import taxonomy as tax
 from opinionmill.plans.extract import Models
-from opinionmill.plans.scale import spread_small
+from opinionmill.plans.scale import rank_rows, spread_small
 
 TAXONOMY = {
     "Quality": ("worthless", "pathetic", "onble", "thanedble"),
@@ -26,6 +26,10 @@ MODELS = Models(
     positive=("the", "des", "und", "is"),
     negative=("of", "la", "der", "on"),
 )
+# Heads that no keyword is contained in, but that are spelled like one.
+NEAR_MODELS = Models(
+    heads=("thatin", "retion", "antion", "hetion", "ention", "edtion", "thonea", "einer", "thtion"),
+    tails=("the", "of", "and"), positive=MODELS.positive, negative=MODELS.negative)
 # A day on which every ledger entry of the fixtures was made.
 CLOCK = "2026-01-02 03:04:00"
 
@@ -161,6 +165,15 @@ def taxonomy(spark: SparkSession) -> DataFrame:
     return tax.taxonomy_from_map(spark, TAXONOMY)
 
 
+def word_taxonomy(texts: DataFrame) -> DataFrame:
+    """A large dictionary: the distinct words of ``text`` with four letters or more."""
+    word = F.explode(tk.split_words(F.lower("text")))
+    words = texts.select(word.alias("keyword")).where("length(keyword) >= 4").distinct()
+    return rank_rows(words, ["keyword"], "kw_ord").select(
+        F.concat(F.lit("C"), (F.length("keyword") % 7).cast("string")).alias("category"),
+        "keyword", F.col("kw_ord").cast("int").alias("kw_ord"))
+
+
 def blacklist(spark: SparkSession) -> DataFrame:
     return tax.blacklist_from_terms(spark, BLACKLIST)
 

@@ -32,7 +32,7 @@ def half_up(part: str, whole: str) -> str:
 
 
 def with_(*ctes: str) -> str:
-    return "with " + ",\n".join(ctes) + "\n"
+    return "with recursive " + ",\n".join(ctes) + "\n"
 
 
 N = "count(*)"
@@ -192,15 +192,76 @@ qualify row_number() over (
   partition by {key} order by length(keyword) desc, category, kw_ord) = 1)"""
 
 
-MENTIONS = (
+def word_taxonomy(table: str) -> str:
+    return f"""taxonomy as (
+select 'C' || (length(keyword) % 7) as category, keyword,
+  row_number() over (order by keyword) - 1 as kw_ord
+from (select distinct unnest({split('lower(text)')}) as keyword from {table})
+where length(keyword) >= 4)"""
+
+
+def ratios(pairs: str) -> tuple[str, ...]:
+    """``ratios(s, keyword, category, kw_ord, ratio)`` for rows of ``pairs``.
+
+    The longest common block, the first in s and then in the keyword, splits both
+    strings; the same is done left and right of it until nothing is common.
+    """
+    return (f"""pairs as materialized (select *, row_number() over () as p from {pairs})""",
+    """spots as materialized (
+select p, i, j, max(i) over (partition by p, i - j, run) - i + 1 as more
+from (select *, i - row_number() over (partition by p, i - j order by i) as run
+  from (select p, i, s[i + 1] as x, keyword, unnest(range(length(keyword))) as j
+        from (select *, unnest(range(length(s))) as i from pairs))
+  where x = keyword[j + 1]))""",
+    """blocks as (
+select p, 0::bigint as a, length(s) as b, 0::bigint as c, length(keyword) as d, 0::bigint as got from pairs
+union all
+select p, case side when 0 then a when 1 then mid.i + mid.k else 0 end,
+  case side when 0 then mid.i when 1 then b else 0 end,
+  case side when 0 then c when 1 then mid.j + mid.k else 0 end,
+  case side when 0 then mid.j when 1 then d else 0 end,
+  case side when 2 then mid.k else 0 end
+from (select blocks.p, a, b, c, d, arg_max({'i': i, 'j': j, 'k': least(more, b - i, d - j)},
+        least(more, b - i, d - j) * 1000000 - i * 1000 - j) as mid
+      from blocks join spots on spots.p = blocks.p and i >= a and i < b and j >= c and j < d
+      group by blocks.p, a, b, c, d), (select unnest([0, 1, 2]) as side))""",
+    """ratios as (
+select s, keyword, category, kw_ord, 2.0::double * got / (length(s) + length(keyword)) as ratio
+from pairs join (select p, sum(got) as got from blocks group by p) using (p))""")
+
+
+def fuzzy(terms: str) -> tuple[str, ...]:
+    """``best(s, keyword, category, ratio)`` for the distinct terms of ``terms``.
+
+    Only pairs that as many edits as letters may stay unmatched can turn into each other
+    are rated; the others cannot reach the cutoff. (That function edits bytes, so all
+    letters beyond ASCII are made one; this brings no pair further apart.)
+    """
+    total = "(length(s) + length(keyword))"
+    plain = "regexp_replace({}, '[^\\x00-\\x7F]', '#', 'g') as {}"
+    near = f"""(select s, keyword, category, kw_ord
+  from (select s, {plain.format('s', 'a')} from {terms})
+  join (select *, {plain.format('keyword', 'b')} from taxonomy)
+  on abs(length(s) - length(keyword)) <= {S.LENGTH_BAND}
+  and 2 * least(length(s), length(keyword)) >= {S.FUZZY_CUTOFF} * {total}
+  and levenshtein(a, b) <= {total} - 2 * ceil({S.FUZZY_CUTOFF} * {total} / 2))"""
+    return (*ratios(near), f"""best as (
+select * from (select s, keyword, category, ratio from ratios where ratio >= {S.FUZZY_CUTOFF}
+  qualify row_number() over (partition by s
+    order by ratio desc, length(keyword) desc, category, kw_ord) = 1)
+where not contains(keyword, s))""")
+
+
+def mentions(models, near: bool = False) -> tuple[str, ...]:
+    return (
     f"""review_words as (
 select ord, product, time_text, text, clean, (i - 1) as word_id, w[i] as word
 from (select *, unnest(range(1, len(w) + 1)) as i
       from (select *, {split('clean')} as w from clean where length(clean) > 0))),
 tagged as (
 select ord, word_id, word, case
-  when lower(word) in {strings(fx.MODELS.heads)} then 'B-ASP'
-  when lower(word) in {strings(fx.MODELS.tails)} then 'I-ASP' else 'O' end as label
+  when lower(word) in {strings(models.heads)} then 'B-ASP'
+  when lower(word) in {strings(models.tails)} then 'I-ASP' else 'O' end as label
 from review_words)""",
     spans("tagged", "ord"),
     """mentions as (
@@ -212,16 +273,23 @@ from spans s join clean c on s.ord = c.ord)""",
     f"(select *, {canonical('aspect_raw')} as c from mentions))",
     f"wanted as (select * from mention_terms where s not in {strings(fx.BLACKLIST)})",
     matched("wanted", "s"),
+    *(fuzzy("(select distinct s from wanted where s not in (select s from hits))") if near else ()),
     f"""polarities as (
 select ord, case when
-    count(*) filter (where lower(word) in {strings(fx.MODELS.negative)})
-  > count(*) filter (where lower(word) in {strings(fx.MODELS.positive)})
+    count(*) filter (where lower(word) in {strings(models.negative)})
+  > count(*) filter (where lower(word) in {strings(models.positive)})
   then 'neg' else 'pos' end as polarity from review_words group by ord)""",
     """extracted as (
-select w.ord, product, review_text, category, aspect_raw, polarity, time_text,
+select w.ord, product, review_text, h.category, aspect_raw, polarity, time_text,
   sentence, term
 from wanted w join hits h on w.s = h.s join polarities p on w.ord // 1048576 = p.ord)""",
-)
+    *(("""near as (
+select w.ord, product, review_text, n.category, aspect_raw, polarity, time_text
+from wanted w join best n on w.s = n.s join polarities p on w.ord // 1048576 = p.ord)""",)
+      if near else ()))
+
+
+MENTIONS = mentions(fx.MODELS)
 
 # ------------------------------------------------------------------------- counts
 
@@ -457,6 +525,9 @@ ORACLE: dict[str, str] = {
     "extract_opinions": with_(REVIEWS, CLEAN, TAXONOMY, *MENTIONS)
     + """select ord, product, review_text, category, aspect_raw, polarity, time_text
         from extracted""",
+    "extract_opinions_fuzzy": with_(REVIEWS, CLEAN, TAXONOMY, *mentions(fx.NEAR_MODELS, near=True))
+    + """select ord, product, review_text, category, aspect_raw, polarity, time_text
+        from extracted union all select * from near""",
     "score_stream": with_(
         """reviews as (select doc_id as ord, source as product, text, '' as time_text
         from documents)""", CLEAN, TAXONOMY, *MENTIONS)
@@ -476,6 +547,29 @@ ORACLE: dict[str, str] = {
           order by length(keyword) desc nulls last, category, kw_ord) = 1""",
     "keyword_match_join": with_(RAW_ASPECTS, CLEAN_ASPECTS, TERMS, TAXONOMY, matched("terms", "s"))
     + "select s, keyword, category from hits",
+    "keyword_match_large": with_(
+        RAW_ASPECTS, CLEAN_ASPECTS, TERMS, word_taxonomy("conversations"),
+        """parts as (select distinct s, substr(s, i, n) as part from (
+          select s, n, unnest(range(1, length(s) - n + 2)) as i from (
+            select s, unnest(range(4, length(s) + 1)) as n from terms)))""")
+    + """select s, keyword, category from parts join taxonomy on part = keyword
+        qualify row_number() over (
+          partition by s order by length(keyword) desc, category, kw_ord) = 1""",
+    "similarity": with_(
+        RAW_ASPECTS, CLEAN_ASPECTS, TERMS, TAXONOMY, *ratios("""(select s, keyword, category, kw_ord
+        from terms join taxonomy on abs(length(s) - length(keyword)) <= 3)"""))
+    + "select s, keyword, ratio from ratios",
+    "fuzzy_match": with_(RAW_ASPECTS, CLEAN_ASPECTS, TERMS, TAXONOMY, *fuzzy("terms"))
+    + "select * from best",
+    "fuzzy_match_large": with_(
+        RAW_ASPECTS, CLEAN_ASPECTS, TERMS, word_taxonomy("benchmark"), *fuzzy("terms"))
+    + "select * from best",
+    "normalize_aspects": with_(
+        RAW_ASPECTS, CLEAN_ASPECTS, TERMS, TAXONOMY, matched("terms", "s"),
+        *fuzzy("(select s from terms where s not in (select s from hits))"))
+    + """select aspect_raw, coalesce(h.category, n.category) as category from clean_aspects c
+        left join hits h on c.s = h.s left join best n on c.s = n.s
+        where coalesce(h.category, n.category) is not null""",
     "length_band_candidates": with_(RAW_ASPECTS, CLEAN_ASPECTS, TERMS, TAXONOMY)
     + """select s, category, keyword from terms join taxonomy
         on abs(length(s) - length(keyword)) <= 3""",

@@ -236,8 +236,9 @@ def extract_opinions(spark, sf):
 
 @query
 def extract_opinions_fuzzy(spark, sf):
+    """Heads of which most are only spelled like a keyword."""
     return extract.extract_opinions(
-        fx.reviews(spark, sf), fx.taxonomy(spark), fx.blacklist(spark), fx.MODELS)
+        fx.reviews(spark, sf), fx.taxonomy(spark), fx.blacklist(spark), fx.NEAR_MODELS)
 
 
 @query
@@ -319,6 +320,19 @@ def keyword_match_join(spark, sf):
         _terms(spark, sf), tax.taxonomy_index(fx.taxonomy(spark)))
 
 
+@query
+def keyword_match_large(spark, sf):
+    """Thousands of keywords: every word of the conversations."""
+    index = tax.taxonomy_index(fx.word_taxonomy(fx.table(spark, sf, "conversations")))
+    return tax.keyword_match_by_anchor(_terms(spark, sf), index)
+
+
+@query
+def fuzzy_match_large(spark, sf):
+    """Keywords beyond the band comparison: every word of the benchmark."""
+    return tax.fuzzy_match(_terms(spark, sf), fx.word_taxonomy(fx.table(spark, sf, "benchmark")))
+
+
 @query
 def length_band_candidates(spark, sf):
     return tax.length_band_candidates(_terms(spark, sf), fx.taxonomy(spark)).select(
