@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from opinionmill import schema as S
 from opinionmill.functions import text as tx
 from opinionmill.functions.once import computed
-from opinionmill.plans.scale import lookup_join, spread_small
+from opinionmill.plans.scale import lookup_join, rank_rows, spread_small
+from opinionmill.sources.lines import quoted_records
 
 
 @dataclass(frozen=True)
@@ -46,6 +47,21 @@ def _with_ord(df: DataFrame, row_in_file: Column) -> DataFrame:
         "_row", "_path", "_file")
 
 
+def _read_csv(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """The files as Spark's reader names their columns, and their numbered rows."""
+    options = {"escape": '"', "multiLine": "true"}
+    raw = spark.read.option("header", True).options(**options).csv(path)
+    names = raw.columns
+    records = quoted_records(spark, path)
+    files = rank_rows(records.select("path").distinct(), ["path"], "_file")
+    cells = F.from_csv("text", ", ".join(f"c{i} string" for i in range(len(names))), options)
+    rows = lookup_join(records.where("record > 0"), files, "path", "inner", spread=F.col("record"))
+    placed = rows.select(cells.alias("cells"), _packed(
+        F.col("_file"), len(raw.inputFiles()), F.col("record") - 1).alias("ord"))
+    return raw, placed.select(
+        *[F.col(f"cells.c{i}").alias(name) for i, name in enumerate(names)], "ord")
+
+
 def read_reviews(
     spark: SparkSession,
     path: str | list[str],
@@ -54,16 +70,13 @@ def read_reviews(
 ) -> DataFrame:
     """All columns as text, missing-value tokens as null, plus ``ord``.
 
-    CSV allows line breaks inside quotes, so a file is one task: split large
-    inputs into several files, or convert them to Parquet. JSON Lines are
+    A CSV file of any size is read by many tasks, line breaks inside quotes included,
+    and its rows are numbered in file order, see ``lines.quoted_records``. JSON Lines are
     numbered in split order rather than line order.
     """
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     if fmt == "csv":
-        raw = (
-            spark.read.option("header", True).option("multiLine", True)
-            .option("escape", '"').csv(path))
-        placed = _with_ord(raw, local)
+        raw, placed = _read_csv(spark, path)
     elif fmt == "parquet":
         raw = spark.read.parquet(*([path] if isinstance(path, str) else path))
         placed = _with_ord(raw, F.col("_metadata.row_index"))
