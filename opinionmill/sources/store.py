@@ -1,8 +1,9 @@
-"""Stored opinion tables, one partition per input, and the ledger of inputs."""
+"""Stored opinion tables, one per input, and the ledger of inputs."""
 
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from opinionmill import schema as S
 from opinionmill.operators.taxonomy import validate_categories
 from opinionmill.plans.scale import lookup_join
+from opinionmill.sources.commits import CommitLog, read_or_empty
+from opinionmill.sources.lines import numbered_lines
 from opinionmill.sources.reviews import Roles
 
 KEY_PATTERN = re.compile(r"[\w-]+")
@@ -24,7 +27,11 @@ def _role_names(roles: Roles) -> tuple[str, str, str]:
 
 
 def content_key(spark: SparkSession, path: str, roles: Roles) -> DataFrame:
-    """``(path, cache_key)``: MD5 of each file's bytes followed by the role names."""
+    """``(path, cache_key)``: MD5 of each file's bytes followed by the role names.
+
+    Each file passes through one cell, so this is for files below 2 GB; ``file_key`` takes
+    files of any size.
+    """
     names = [F.encode(F.lit(n), "UTF-8") for n in _role_names(roles)]
     return (
         spark.read.format("binaryFile").load(path)
@@ -68,6 +75,16 @@ def table_key(rows: DataFrame, by: str, roles: Roles) -> DataFrame:
         by, "rows", F.md5(F.concat_ws("|", *parts, *names)).alias("cache_key"))
 
 
+def file_key(spark: SparkSession, path: str | list[str], roles: Roles) -> DataFrame:
+    """``(path, rows, cache_key)`` for text files of any size: ``table_key`` of their lines.
+
+    A file is digested in byte ranges by many tasks. Lines keep their number and all their
+    bytes; only whether the last one ends in a line feed makes no difference.
+    """
+    lines = numbered_lines(spark, path).withColumnRenamed("line", "ord")
+    return table_key(lines, "path", roles)
+
+
 def valid_key(key: str) -> bool:
     return bool(KEY_PATTERN.fullmatch(key))
 
@@ -75,14 +92,18 @@ def valid_key(key: str) -> bool:
 # ----------------------------------------------------------------------- ledger
 
 
+def _ledger_columns() -> list[Column]:
+    return [
+        F.col("name"), F.date_format("ts", "dd/MM/yyyy HH:mm").alias("date"),
+        F.col("rows").cast("bigint").alias("rows"), F.col("hash")]
+
+
 def new_entries(uploads: DataFrame, history: DataFrame) -> DataFrame:
     """Ledger rows for ``uploads`` (batch, name, ts, rows, hash), numbered after
     the rows already there; ``batch`` is a unique LONG from 0."""
     last = history.agg(F.coalesce(F.max("seq"), F.lit(0))).scalar()
     return uploads.select(
-        (last + F.col("batch") + 1).cast("bigint").alias("seq"), "name",
-        F.date_format("ts", "dd/MM/yyyy HH:mm").alias("date"),
-        F.col("rows").cast("bigint").alias("rows"), "hash")
+        (last + F.col("batch") + 1).cast("bigint").alias("seq"), *_ledger_columns())
 
 
 def skip_processed(batch: DataFrame, history: DataFrame) -> DataFrame:
@@ -106,9 +127,18 @@ def latest_key(history: DataFrame) -> DataFrame:
     return history.agg(F.max_by("hash", "seq").alias("hash"))
 
 
+def _ddl(schema, **more: str) -> str:
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in schema.fields]
+    return ", ".join([*fields, *(f"{k} {v}" for k, v in more.items())])
+
+
 class OpinionStore:
-    """Opinion tables under one folder, partitioned by ``cache_key``.
+    """Opinion tables under one folder, each under its ``cache_key``.
 
+    Every change writes files of its own first and then becomes one entry of a commit
+    log, at a number that no other entry has. Readers only look at what the log names, so
+    they see a change whole or not at all, and see tables that are being replaced as they
+    were. The order of the log also numbers the ledger, whoever writes at the same time.
     The latest result is a row of the ledger, not a second copy of the data.
     """
 
@@ -116,16 +146,17 @@ class OpinionStore:
         self.spark = spark
         self.root = root.rstrip("/")
         self.opinions_path = f"{self.root}/opinions"
+        self.keys_path = f"{self.root}/keys"
         self.history_path = f"{self.root}/history"
+        self.log = CommitLog(spark, f"{self.root}/log")
 
     # opinions
 
     def write(self, opinions: DataFrame, cache_key: str | None = None) -> None:
         """Store opinions; with ``cache_key`` None the frame brings the column.
 
-        Only the partitions written are replaced, so a rerun after a failure
-        leaves the same result. Rows stay where they were computed: one large
-        input is written by many tasks.
+        Tables of the same keys are replaced, by an empty one too if ``cache_key`` names
+        it. Rows stay where they were computed: one large input is written by many tasks.
         """
         if cache_key is not None:
             if not valid_key(cache_key):
@@ -136,31 +167,54 @@ class OpinionStore:
             opinions = opinions.withColumn("cache_key", F.when(
                 key.rlike("^[A-Za-z0-9_-]+$"), key).otherwise(F.raise_error(F.lit(
                     "cache key may hold letters, digits, _ and - only"))))
+        commit = uuid.uuid4().hex
         cols = [f.name for f in S.OPINIONS.fields]
         (
             opinions.select(*cols, "cache_key")
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("cache_key").parquet(self.opinions_path))
+            .write.partitionBy("cache_key").parquet(f"{self.opinions_path}/commit={commit}"))
+        keys = self._stored().where(F.col("commit") == commit).groupBy("cache_key").agg(
+            F.count(F.lit(1)).alias("rows"))
+        if cache_key is not None:
+            named = self.spark.createDataFrame([(cache_key,)], "cache_key string")
+            keys = named.join(keys, "cache_key", "left").fillna(0, "rows")
+        keys.write.parquet(f"{self.keys_path}/commit={commit}")
+        self.log.append(commit, "write", 0)
+
+    def _stored(self) -> DataFrame:
+        """Rows of all commits, those under way and replaced ones too."""
+        return read_or_empty(self.spark, self.opinions_path, _ddl(
+            S.OPINIONS, commit="string", cache_key="string"))
+
+    def keys(self) -> DataFrame:
+        """``(cache_key, rows, commit)`` of the tables that stand."""
+        said = read_or_empty(
+            self.spark, self.keys_path, "cache_key string, rows bigint, commit string")
+        # each key has a row per commit that wrote or removed it
+        said = lookup_join(said, self.log.entries().select("commit", "seq", "kind"), "commit", "inner")
+        last = said.groupBy("cache_key").agg(
+            F.max_by(F.struct("rows", "commit", "kind"), "seq").alias("last"))
+        return last.where("last.kind = 'write'").select("cache_key", "last.rows", "last.commit")
 
     def all(self) -> DataFrame:
-        ddl = ", ".join(
-            f"{f.name} {f.dataType.simpleString()}" for f in S.OPINIONS.fields)
-        ddl = f"{ddl}, cache_key string"
-        try:
-            return self.spark.read.schema(ddl).parquet(self.opinions_path)
-        except Exception as err:  # nothing stored yet
-            if "PATH_NOT_FOUND" not in str(err):
-                raise
-            return self.spark.createDataFrame([], ddl)
+        current = self.keys().select(F.struct("commit", "cache_key").alias("_at"))
+        rows = self._stored().withColumn("_at", F.struct("commit", "cache_key"))
+        return lookup_join(rows, current, "_at", "inner").drop("_at", "commit")
 
     def read(self, cache_key: str) -> DataFrame:
-        """One stored result; the filter prunes all other partitions."""
-        return self.all().where(F.col("cache_key") == cache_key).drop("cache_key")
+        """One stored result, from its own folder; without rows if there is none."""
+        at = self.keys().where(F.col("cache_key") == cache_key).first()
+        if at is None:
+            return self.spark.createDataFrame([], S.OPINIONS)
+        return read_or_empty(
+            self.spark, f"{self.opinions_path}/commit={at['commit']}/cache_key={cache_key}", _ddl(S.OPINIONS))
+
+    def holds(self, cache_key: str) -> bool:
+        return not self.keys().where(F.col("cache_key") == cache_key).isEmpty()
 
     def latest(self) -> DataFrame:
         """The result of the newest ledger entry."""
-        row = latest_key(self.history()).first()
-        return self.read(row["hash"] if row and row["hash"] else "")
+        row = self._entries().agg(F.max_by("hash", F.struct("commit_seq", "seq")).alias("hash")).first()
+        return self.read(row["hash"] or "")
 
     def load(self, cache_key: str, taxonomy: DataFrame) -> DataFrame:
         """Reopen a stored result after checking its key and its categories.
@@ -174,34 +228,44 @@ class OpinionStore:
             raise ValueError("stored result is missing or uses unknown categories")
         entry = (
             self.history().where(F.col("hash") == cache_key)
-            .orderBy(F.desc("seq")).limit(1))
+            .orderBy(F.desc("seq")).limit(1).drop("seq"))
         if entry.isEmpty():  # stored without a ledger row: point to it all the same
             entry = self.spark.createDataFrame(
-                [(0, cache_key, "", opinions.count(), cache_key)], S.HISTORY)
-        self._append(entry.withColumn(
-            "seq", F.lit(self._last_seq() + 1).cast("bigint")))
+                [(0, cache_key, "", opinions.count(), cache_key)], S.HISTORY).drop("seq")
+        self._append(entry.withColumn("place", F.lit(0).cast("bigint")))
         return opinions
 
+    def forget_latest(self) -> None:
+        """Until the next entry or ``load`` there is no latest result."""
+        self._append(self.spark.createDataFrame(
+            [("", "", 0, None, 0)], "name string, date string, rows bigint, hash string, place bigint"),
+            "reset")
+
     # ledger
 
     def history(self) -> DataFrame:
-        ddl = ", ".join(
-            f"{f.name} {f.dataType.simpleString()}" for f in S.HISTORY.fields)
-        try:
-            return self.spark.read.schema(ddl).parquet(self.history_path)
-        except Exception as err:  # nothing recorded yet
-            if "PATH_NOT_FOUND" not in str(err):
-                raise
-            return self.spark.createDataFrame([], S.HISTORY)
+        """The ledger; entries are numbered in the order of the commits."""
+        return self._entries().where("kind = 'history'").select(*[f.name for f in S.HISTORY.fields])
 
-    def append_history(self, uploads: DataFrame) -> None:
-        self._append(new_entries(uploads, self.history()))
-
-    def _last_seq(self) -> int:
-        return self.history().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    def _entries(self) -> DataFrame:
+        rows = read_or_empty(self.spark, self.history_path, _ddl(
+            S.HISTORY, place="bigint", commit="string")).drop("seq")
+        return lookup_join(rows, self.log.entries().select(
+            "commit", "kind", "before", F.col("seq").alias("commit_seq")), "commit", "inner").withColumn(
+                "seq", F.col("before") + F.col("place") + 1)
 
-    def _append(self, entries: DataFrame) -> None:
-        entries.write.mode("append").parquet(self.history_path)
+    def append_history(self, uploads: DataFrame) -> None:
+        """Ledger rows for ``uploads`` (batch, name, ts, rows, hash); ``batch`` is a unique
+        LONG from 0."""
+        self._append(uploads.select(*_ledger_columns(), F.col("batch").cast("bigint").alias("place")))
+
+    def _append(self, entries: DataFrame, kind: str = "history") -> None:
+        commit = uuid.uuid4().hex
+        path = f"{self.history_path}/commit={commit}"
+        entries.write.parquet(path)
+        n = self.spark.read.schema("place bigint").parquet(path).agg(F.max("place")).first()[0]
+        if n is not None:
+            self.log.append(commit, kind, n + 1 if kind == "history" else 0)
 
     # upkeep
 
@@ -212,14 +276,25 @@ class OpinionStore:
             .where("not valid").select("cache_key"))
 
     def purge_stale(self, taxonomy: DataFrame) -> list[str]:
-        """Remove the partitions of stale results; returns the keys that are gone."""
-        keys = [r["cache_key"] for r in self.stale_keys(taxonomy).toLocalIterator()]
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        gone = []
-        for key in keys:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.opinions_path}/cache_key={key}")
-            if path.getFileSystem(conf).delete(path, True):
-                gone.append(key)
+        """Remove stale results, all in one commit; returns the keys that are gone."""
+        commit = uuid.uuid4().hex
+        path = f"{self.keys_path}/commit={commit}"
+        self.stale_keys(taxonomy).withColumn("rows", F.lit(0).cast("bigint")).write.parquet(path)
+        gone = self.spark.read.schema("cache_key string").parquet(path)
+        keys = [r["cache_key"] for r in gone.toLocalIterator()]
+        if keys:
+            self.log.append(commit, "remove", 0)
+        return keys
+
+    def vacuum(self) -> int:
+        """Delete the files of commits of which no table stands any more; their number.
+
+        For times without readers of older states.
+        """
+        live = self.keys().select("commit").distinct()
+        old = self.log.entries().where("kind = 'write'").select("commit").join(live, "commit", "left_anti")
+        n = 0
+        for row in old.toLocalIterator():
+            n += self.log.delete(f"{self.opinions_path}/commit={row['commit']}")
         self.spark.catalog.refreshByPath(self.opinions_path)
-        return gone
+        return n

@@ -459,7 +459,8 @@ ORACLE: dict[str, str] = {
     "read_reviews": """select row_number() over (order by doc_id) - 1 as ord,
         doc_id::varchar as doc_id, source, n_chars::varchar as n_chars,
         md5(text) as text_md5 from documents""",
-    "read_reviews_csv": "select doc_id::varchar as doc_id, source, text from documents",
+    "read_reviews_csv": """select row_number() over (order by doc_id) - 1 as ord,
+        doc_id::varchar as doc_id, text, lang, source, n_chars::varchar as n_chars from documents""",
     "bind_roles": """select row_number() over (order by doc_id) - 1 as ord,
         source as product, text, '' as time_text from documents""",
     "bind_roles_defaults": f"""select row_number() over (order by doc_id) - 1 as ord,
@@ -679,6 +680,23 @@ ORACLE: dict[str, str] = {
     "write_opinions": with_(OPINIONS)
     + """select aspect_raw as cache_key, polarity, count(*) as n
         from opinions group by aspect_raw, polarity""",
+    "write_nothing": with_(OPINIONS) + """select aspect_raw as cache_key, count(*) as n
+        from opinions where aspect_raw <> 'promo' group by aspect_raw""",
+    "analyse_upload": with_(
+        """reviews as (select doc_id as ord, source as product, text, '' as time_text
+        from documents)""", CLEAN, TAXONOMY, *MENTIONS)
+    + "select product, review_text, category, aspect_raw, polarity from extracted",
+    "file_key": f"""with texts as (
+        select doc_id // 1000 as block, doc_id, string_split(text, chr(10)) as parts from documents),
+        lines as (select block, doc_id, i, parts[i] as value
+          from (select *, unnest(range(1, len(parts) + 1)) as i from texts)),
+        placed as (select block, value,
+          (row_number() over (partition by block order by doc_id, i) - 1)::varchar as ord from lines)
+        select block, count(*) as rows, md5(concat_ws('|', count(*), {hex_sum(1)}, {hex_sum(13)},
+          {hex_sum(25, 8)}, 'ord', 'value',
+          {', '.join(quoted(n) for n in _role_names(DOC_ROLES))})) as cache_key
+        from (select block, md5(length(ord) || ':' || ord || length(value) || ':' || value) as d
+          from placed) group by block""",
     "read_opinions": with_(OPINIONS) + "select * from opinions where aspect_raw = 'medium'",
     "latest_opinions": with_(OPINIONS) + """select * from opinions where aspect_raw = (
         select lower(p_type) from part

@@ -17,7 +17,8 @@ from opinionmill.operators import scoring
 from opinionmill.operators import taxonomy as tax
 from opinionmill.operators import tokens as tok
 from opinionmill.plans import dashboard, extract
-from opinionmill.plans.scale import shared_path
+from opinionmill.plans.scale import global_index, rank_rows, shared_path
+from opinionmill.plans.uploads import analyse_upload as analyse
 from opinionmill.sources import reviews as rv
 from opinionmill.sources import store as st
 from opinionmill.streaming.live import score_stream
@@ -64,12 +65,19 @@ def read_reviews(spark, sf):
         .select("ord", "doc_id", "source", "n_chars", F.md5("text").alias("text_md5")))
 
 
-@query
-def read_reviews_csv(spark, sf):
+def _as_csv(spark, sf) -> str:
+    """The documents as CSV files whose names follow the ids."""
     path = shared_path(spark, "csv")
-    (fx.table(spark, sf, "documents").select("doc_id", "source", "text")
+    (fx.table(spark, sf, "documents").orderBy("doc_id")
      .write.option("header", True).option("escape", '"').csv(path))
-    return rv.read_reviews(spark, path, "csv").select("doc_id", "source", "text")
+    return path
+
+
+@query
+def read_reviews_csv(spark, sf):
+    """All columns of files in id order; their rows numbered throughout."""
+    rows = rv.read_reviews(spark, _as_csv(spark, sf), "csv")
+    return global_index(rows.withColumnRenamed("ord", "place"), ["place"], "ord").drop("place")
 
 
 @query
@@ -478,7 +486,8 @@ def _history(spark, sf):
 def _store(spark, sf) -> st.OpinionStore:
     store = st.OpinionStore(spark, shared_path(spark, "store"))
     store.write(_keyed(spark, sf))
-    _history(spark, sf).write.parquet(store.history_path)
+    store.append_history(rank_rows(_history(spark, sf), ["seq"], "batch").withColumn(
+        "ts", F.lit(fx.CLOCK).cast("timestamp")))
     return store
 
 
@@ -490,6 +499,26 @@ def write_opinions(spark, sf):
     return store.all().groupBy("cache_key", "polarity").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def write_nothing(spark, sf):
+    """An empty result replaces the rows stored under its key."""
+    store = _store(spark, sf)
+    store.write(_keyed(spark, sf).where("false"), "promo")
+    return store.all().groupBy("cache_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def analyse_upload(spark, sf):
+    """The documents as an upload, analysed and then found again."""
+    path, store = _as_csv(spark, sf), st.OpinionStore(spark, shared_path(spark, "store"))
+    for reused in (False, True):
+        found = analyse(
+            spark, path, rv.Roles("text", "source"), fx.taxonomy(spark), fx.blacklist(spark),
+            fx.MODELS, store, fuzzy=False)
+        assert found.reused is reused
+    return store.latest().drop("ord", "time_text")
+
+
 @query
 def read_opinions(spark, sf):
     return _store(spark, sf).read("medium")
@@ -524,6 +553,19 @@ def content_key(spark, sf):
     return st.table_key(rows, "source", DOC_ROLES)
 
 
+@query
+def file_key(spark, sf):
+    """Documents in text files of a thousand ids each, many lines a document."""
+    path = shared_path(spark, "texts")
+    block = F.floor(F.col("doc_id") / 1000).alias("block")
+    (fx.table(spark, sf, "documents").select(block, "doc_id", "text")
+     .repartition("block").sortWithinPartitions("block", "doc_id")
+     .select("block", "text").write.partitionBy("block").text(path))
+    return st.file_key(spark, path, DOC_ROLES).select(
+        F.regexp_extract("path", "block=([0-9]+)", 1).cast("bigint").alias("block"),
+        "rows", "cache_key")
+
+
 def _uploads(spark, sf):
     """The document sources as uploaded files."""
     return content_key(spark, sf).select(
