@@ -7,13 +7,13 @@ dashboard reads the opinion table a single time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinionmill import schema as S
 from opinionmill.functions import text as tx
 from opinionmill.functions.rounding import half_even_pct
-from opinionmill.plans.scale import number_few, order_statistics
+from opinionmill.plans.scale import order_statistics_near
 
 COUNTS = ("total", "pos", "neg", "first_ord")
 
@@ -87,11 +87,11 @@ def aspect_profile(opinions: DataFrame) -> DataFrame:
 
     ``first_ord`` is kept as the tie-break of every ordering built on top.
     """
-    per_category = tally(opinions, "category").where("category is not null")
-    # missing categories still count in the grand total
-    grand = tally(opinions, "category").agg(F.sum("total")).scalar()
-    total = F.col("total")
-    return per_category.select(
+    # missing categories still count in the grand total; a row for each category
+    grand = F.sum("total").over(Window.partitionBy())
+    per_category = tally(opinions, "category").withColumn("grand", grand)
+    total, grand = F.col("total"), F.col("grand")
+    return per_category.where("category is not null").select(
         "category", "total", "pos", "neg",
         half_even_pct(F.col("pos"), total).alias("pos_rate"),
         half_even_pct(F.col("neg"), total).alias("neg_rate"),
@@ -112,23 +112,24 @@ def worst_aspects(opinions: DataFrame, k: int = 8) -> DataFrame:
 
 
 def pos_drivers(opinions: DataFrame, k: int = 2) -> DataFrame:
-    order = [F.desc("impact"), *profile_order()]
-    best = aspect_profile(opinions).where("impact > 0").orderBy(*order).limit(k)
-    return number_few(best, order, "place").select(
-        "category", F.col("impact").alias("rate"), "place")
+    return drivers(opinions, k).where("side = 'pos'").drop("side")
 
 
 def neg_drivers(opinions: DataFrame, k: int = 2) -> DataFrame:
-    order = [F.asc("impact"), *profile_order()]
-    worst = aspect_profile(opinions).where("impact < 0").orderBy(*order).limit(k)
-    return number_few(worst, order, "place").select(
-        "category", F.abs("impact").alias("rate"), "place")
+    return drivers(opinions, k).where("side = 'neg'").drop("side")
 
 
 def drivers(opinions: DataFrame, k: int = 2) -> DataFrame:
     """The categories that lift and lower the net score most, with their place."""
-    return pos_drivers(opinions, k).select(F.lit("pos").alias("side"), "*").unionByName(
-        neg_drivers(opinions, k).select(F.lit("neg").alias("side"), "*"))
+    size = F.abs("impact")
+    side = F.when(F.col("impact") > 0, S.POS).when(F.col("impact") < 0, S.NEG)
+    # a row for each category
+    place = F.row_number().over(
+        Window.partitionBy("side").orderBy(F.desc("rate"), *profile_order())) - 1
+    return (
+        aspect_profile(opinions).withColumns({"side": side, "rate": size})
+        .where("side is not null").withColumn("place", place.cast("bigint"))
+        .where(F.col("place") < k).select("side", "category", "rate", "place"))
 
 
 # ------------------------------------------------------------------------ trend
@@ -181,10 +182,12 @@ def trend_by_recency(opinions: DataFrame) -> DataFrame:
 
 def trend_by_position(opinions: DataFrame) -> DataFrame:
     """Five slices of ``ceil(n / 5)`` rows in row order, the last ones shorter."""
-    n = opinions.count()
-    size = -(-n // _SLOTS) if n else 1
-    ranks = [size * i for i in range(1, _SLOTS) if size * i <= n]
-    ends = order_statistics(opinions.select("ord"), "ord", ranks)
+    def ranks(n: int) -> list[int]:
+        size = -(-n // _SLOTS) if n else 1
+        return [size * i for i in range(1, _SLOTS) if size * i <= n]
+
+    ends = order_statistics_near(
+        opinions.select("ord"), "ord", [i / _SLOTS for i in range(1, _SLOTS)], ranks)
     slot = F.lit(len(ends))
     for i in reversed(range(len(ends))):
         slot = F.when(F.col("ord") <= F.lit(ends[i]), i).otherwise(slot)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from opinionmill import schema as S
 from opinionmill.functions import text as tx
 from opinionmill.functions.rounding import half_even_pct, satisfaction_score
-from opinionmill.operators.metrics import profile_order, tally
-from opinionmill.plans.scale import global_index, lookup_join, settle
+from opinionmill.operators.metrics import opinion_cube, profile_order, tally
+from opinionmill.plans.scale import global_index, settle
 
 
 def ranking_order() -> list[Column]:
@@ -62,22 +62,20 @@ def top_aspects_scaled(profile: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
-def sample_reviews(opinions: DataFrame, k: int = 10) -> DataFrame:
+def sample_reviews(
+    opinions: DataFrame, k: int = 10, counts: DataFrame | None = None
+) -> DataFrame:
     """Per product the first k mentions as one text block, plus what remains.
 
-    The first k positions are found on narrow rows, cut to k per product in each
-    input partition before the shuffle; only then are the texts of the chosen
-    positions fetched. No review text is sorted, and a product with a large
-    share of the rows sends at most k of them per task.
+    Each task keeps the first k mentions of a product, texts included, and only these
+    are shuffled: one read of the texts, whatever share of the rows a product has. The
+    number of mentions comes from ``counts`` (an ``opinion_cube``) or from the product
+    column alone.
     """
     named = opinions.where("product is not null")
     place = F.row_number().over(Window.partitionBy("product").orderBy("ord"))
-    picks = settle(
-        named.select("product", "ord").withColumn("place", place)
-        .where(F.col("place") <= k))
-    texts = opinions.select("ord", "polarity", "category", "review_text")
-    # positions are unique, so there is no key to salt
-    chosen = lookup_join(texts, picks, "ord", "inner", spread=F.lit(0), salts=1)
+    chosen = named.select("product", "ord", "polarity", "category", "review_text").withColumn(
+        "place", place).where(F.col("place") <= k)
     line = F.concat(
         tx.display_polarity(F.col("polarity")), F.lit(" | "),
         F.coalesce("category", F.lit("")), F.lit(':\n  "'),
@@ -88,7 +86,8 @@ def sample_reviews(opinions: DataFrame, k: int = 10) -> DataFrame:
         chosen.select("product", "place", line.alias("line")).groupBy("product")
         .agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("lines"))
     )
-    totals = named.groupBy("product").agg(F.count(F.lit(1)).alias("total"))
+    totals = named.groupBy("product").agg(F.count(F.lit(1)).alias("total")) if counts is None else (
+        tally(counts, "product").where("product is not null").select("product", "total"))
     shown = F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n")
     more = F.when(
         F.col("total") > k,
@@ -114,6 +113,8 @@ def heatmap_rows(opinions: DataFrame, k: int = 10) -> DataFrame:
     fold into one null cell first, so a product collects at most k + 1 entries
     and no join or cross product is needed.
     """
+    if "ord" in opinions.columns:  # read them once for both steps
+        opinions = settle(opinion_cube(opinions))
     top = top_categories(opinions, k).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -260,11 +260,13 @@ def normalize_aspects(
     fuzzy: bool = True,
     cutoff: float = S.FUZZY_CUTOFF,
     word_boundary: bool = False,
+    matcher: Callable[..., DataFrame] = fuzzy_match,
 ) -> DataFrame:
     """Add ``category``; rows that fit none are dropped.
 
     Exact matching is row-local. Only terms it misses go on, once per distinct
     spelling, to fuzzy matching; the accepted spellings come back as a lookup.
+    ``matcher`` may bring them from elsewhere, see ``TermMemo.categories``.
     """
     clean = drop_generic(
         with_clean_aspect(df, raw).where("s is not null"), blacklist)
@@ -273,7 +275,7 @@ def normalize_aspects(
         return exact.where("category is not null").drop("s")
     misses = exact.where("category is null").select("s")
     near = settle(
-        fuzzy_match(misses, taxonomy, cutoff)
+        matcher(misses, taxonomy, cutoff)
         .select("s", F.col("category").alias("_near")))
     if within(near, BROADCAST_ROWS):
         joined = exact.join(F.broadcast(near), "s", "left")

@@ -36,7 +36,7 @@ def dashboard_sections(
         .withColumn("top_aspect", top.select("top_aspect").scalar())
         .withColumn("top_aspect_count", top.select("top_aspect_count").scalar()))
     profile = m.aspect_profile(cube)
-    tooltips = p.sample_reviews(opinions).select("product", "tooltip")
+    tooltips = p.sample_reviews(opinions, counts=cube).select("product", "tooltip")
     products = (
         p.product_ranking(cube).join(tooltips, "product", "left")
         .withColumn("place", F.col("rank") - 1))

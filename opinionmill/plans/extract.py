@@ -12,9 +12,10 @@ from opinionmill import schema as S
 from opinionmill.functions import text as tx
 from opinionmill.functions import tokens as tk
 from opinionmill.operators import scoring
-from opinionmill.operators.taxonomy import normalize_aspects
+from opinionmill.operators.taxonomy import fuzzy_match, normalize_aspects
 from opinionmill.operators.tokens import build_pairs
 from opinionmill.plans.scale import settle, spread_small
+from opinionmill.sources.memo import TermMemo
 from opinionmill.sources.reviews import clean_reviews, non_empty_reviews
 
 
@@ -84,12 +85,14 @@ def extract_opinions(
     models: Models,
     fuzzy: bool = True,
     clean: bool = True,
+    memo: TermMemo | None = None,
 ) -> DataFrame:
     """The opinion table of ``reviews`` (ord, product, text, time_text).
 
     With ``clean`` False the text is tagged as it is. Uncategorised mentions
     are dropped before scoring. A Python tagger runs once: its mentions are
-    settled, because fuzzy matching reads them twice.
+    settled, because fuzzy matching reads them twice. ``memo`` keeps fuzzy matches for
+    later runs.
     """
     if clean:
         ready = clean_reviews(reviews)
@@ -100,8 +103,9 @@ def extract_opinions(
     mentions = tag_mentions(ready, models)
     if models.tagger is not None and fuzzy:
         mentions = settle(mentions)
-    categorised = build_pairs(
-        normalize_aspects(mentions, taxonomy, blacklist, fuzzy=fuzzy))
+    categorised = build_pairs(normalize_aspects(
+        mentions, taxonomy, blacklist, fuzzy=fuzzy,
+        matcher=memo.categories if memo else fuzzy_match))
     return score_mentions(categorised, models).select(
         *[f.name for f in S.OPINIONS.fields])
 

@@ -2,8 +2,8 @@
 
 ``bounded_rows`` / ``within`` check a size before anything is broadcast or
 inlined; ``lookup_join`` salts instead of broadcasting beyond that size;
-``global_index`` numbers rows of any amount; ``order_statistics`` finds exact
-positions without sorting.
+``global_index`` numbers rows of any amount; ``order_statistics`` and
+``order_statistics_near`` find exact positions without sorting.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -168,37 +169,106 @@ def order_statistics(
     if not ranks:
         return []
     lo, hi = df.agg(F.min(column), F.max(column)).first()
-    open_ranges = {r: (lo, hi, r) for r in ranks}  # rank -> low, high, rank inside
+    return _narrowed(df, column, ranks, {r: (lo, hi, r) for r in ranks}, fanout)
+
+
+def order_statistics_near(
+    df: DataFrame, column: str, fractions: list[float], ranks: Callable[[int], list[int]],
+    accuracy: int = 100_000, fanout: int = 1 << 16,
+) -> list[int]:
+    """Exact values of a unique LONG column at ``ranks(number of rows)``, which lie near
+    the given ``fractions`` of all rows (as many or the first few of them).
+
+    One pass counts the rows and sketches quantiles on both sides of each fraction. A
+    second one counts the rows between these brackets and, in cells, inside them; where
+    cells are one value wide (dense positions up to about 10^9 rows) that settles it. If
+    any rank lies outside its bracket, all values are searched.
+    """
+    slack = 3 / accuracy
+    marks = [min(max(f + d, 0.0), 1.0) for f in fractions for d in (-slack, slack)]
+    n, lo, hi, values = df.agg(
+        F.count(column), F.min(column), F.max(column),
+        F.percentile_approx(column, marks, accuracy)).first()
+    wanted = ranks(n)
+    if not wanted:
+        return []
+    spans: list[tuple[int, int]] = []  # brackets, those that overlap made one
+    for a, b in zip(values[::2], values[1::2], strict=True):
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
+        else:
+            spans.append((a, b))
+    hist = _histogram(df, column, spans, fanout, outside=True)
+    below, found = 0, {}
+    for i, (a, b) in enumerate(spans):
+        below += sum(count for _, count in hist.get(-1 - i, []))
+        inside = sum(count for _, count in hist.get(i, []))
+        for r in wanted:
+            if below < r <= below + inside:
+                found[r] = _cell_of(hist[i], (a, b), r - below, fanout)
+        below += inside
+    if len(found) < len(set(wanted)):  # ranges must not overlap in part
+        found = {r: (lo, hi, r) for r in wanted}
+    return _narrowed(df, column, wanted, found, fanout)
+
+
+def _cell_width(span: tuple[int, int], fanout: int) -> int:
+    return (span[1] - span[0]) // fanout + 1
+
+
+def _histogram(
+    df: DataFrame, column: str, spans: list[tuple[int, int]], fanout: int, outside: bool = False
+) -> dict[int, list[tuple[int, int]]]:
+    """Rows per cell of each span, as ``{span: [(cell, rows)]}``; with ``outside`` also
+    those before span ``i`` and after the one before it, under ``-1 - i``."""
+    x = F.col(column)
+    cell = F.lit(None).cast("struct<span:int,cell:bigint>")
+    if outside:
+        gap = sum((x > F.lit(b)).cast("int") for _, b in spans)
+        cell = F.struct((-1 - gap).cast("int").alias("span"), F.lit(0).cast("bigint").alias("cell"))
+    for i, (a, b) in enumerate(spans):
+        w = _cell_width((a, b), fanout)
+        # cells start at multiples of w, so no difference can overflow
+        number = F.expr(f"(`{column}` - pmod(`{column}`, {w}L)) div {w}L")
+        cell = F.when(
+            (x >= F.lit(a)) & (x <= F.lit(b)),
+            F.struct(F.lit(i).alias("span"), number.alias("cell"))).otherwise(cell)
+    hist: dict[int, list[tuple[int, int]]] = {}
+    for row in (
+        df.select(cell.alias("c")).where("c is not null")
+        .select("c.span", "c.cell").groupBy("span", "cell").count().collect()
+    ):
+        hist.setdefault(row["span"], []).append((row["cell"], row["count"]))
+    return hist
+
+
+def _cell_of(
+    cells: list[tuple[int, int]], span: tuple[int, int], want: int, fanout: int
+) -> tuple[int, int, int]:
+    """Bounds of the cell with the row of rank ``want`` in the span, and its rank there."""
+    w = _cell_width(span, fanout)
+    for c, n in sorted(cells):
+        if want <= n:
+            return max(c * w, span[0]), min(c * w + w - 1, span[1]), want
+        want -= n
+    raise ValueError("fewer rows than the rank asks for")
+
+
+def _narrowed(
+    df: DataFrame, column: str, ranks: list[int],
+    open_ranges: dict[int, tuple[int, int, int]], fanout: int,
+) -> list[int]:
+    """The values at ``ranks`` from a range (low, high, rank inside) that holds each."""
+    open_ranges = dict(open_ranges)
     found: dict[int, int] = {}
-    while open_ranges:
+    while True:
+        for rank, (a, b, _) in list(open_ranges.items()):
+            if a == b:
+                found[rank] = a
+                del open_ranges[rank]
+        if not open_ranges:
+            return [found[r] for r in ranks]
         spans = sorted({(a, b) for a, b, _ in open_ranges.values()})
-        widths = {s: (s[1] - s[0]) // fanout + 1 for s in spans}
-        x = F.col(column)
-        cell = F.lit(None).cast("struct<span:int,cell:bigint>")
-        for i, (a, b) in enumerate(spans):
-            inside = (x >= F.lit(a)) & (x <= F.lit(b))
-            w = widths[(a, b)]
-            # cells start at multiples of w, so no difference can overflow
-            number = F.expr(f"(`{column}` - pmod(`{column}`, {w}L)) div {w}L")
-            cell = F.when(
-                inside, F.struct(F.lit(i).alias("span"), number.alias("cell"))
-            ).otherwise(cell)
-        hist: dict[int, list[tuple[int, int]]] = {}
-        for row in (
-            df.select(cell.alias("c")).where("c is not null")
-            .select("c.span", "c.cell").groupBy("span", "cell").count().collect()
-        ):
-            hist.setdefault(row["span"], []).append((row["cell"], row["count"]))
-        for rank, (a, b, want) in list(open_ranges.items()):
-            i, w = spans.index((a, b)), widths[(a, b)]
-            for c, n in sorted(hist[i]):
-                if want <= n:
-                    low = max(c * w, a)
-                    if w == 1:
-                        found[rank] = low
-                        del open_ranges[rank]
-                    else:
-                        open_ranges[rank] = (low, min(c * w + w - 1, b), want)
-                    break
-                want -= n
-    return [found[r] for r in ranks]
+        hist = _histogram(df, column, spans, fanout)
+        for rank, (a, b, want) in open_ranges.items():
+            open_ranges[rank] = _cell_of(hist[spans.index((a, b))], (a, b), want, fanout)

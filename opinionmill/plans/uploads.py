@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from opinionmill.operators.taxonomy import validate_categories
 from opinionmill.plans.extract import Models, extract_opinions
 from opinionmill.sources import reviews as rv
+from opinionmill.sources.memo import TermMemo
 from opinionmill.sources.store import OpinionStore, file_key
 
 
@@ -23,6 +24,11 @@ class Upload:
     reused: bool
 
 
+def file_keys(spark: SparkSession, paths: list[str], roles: rv.Roles) -> DataFrame:
+    """``(path, cache_key)``: the key that each file has as an upload of its own."""
+    return file_key(spark, paths, roles).select("path", F.md5("cache_key").alias("cache_key"))
+
+
 def upload_key(spark: SparkSession, path: str | list[str], roles: rv.Roles) -> str:
     """One key for all files of an input and the columns chosen from it."""
     keys = file_key(spark, path, roles).agg(F.array_sort(F.collect_list("cache_key")).alias("k"))
@@ -39,6 +45,7 @@ def analyse_upload(
     store: OpinionStore,
     name: str | None = None,
     fuzzy: bool = True,
+    memo: TermMemo | None = None,
     now: datetime | None = None,
 ) -> Upload:
     """Read a CSV input, extract and store its opinions, and enter it in the ledger.
@@ -46,6 +53,7 @@ def analyse_upload(
     An input whose files and roles were analysed before is not read again: its stored
     opinions are reused, unless they hold categories that ``taxonomy`` no longer knows.
     Empty and repeated rows do not count. Either way the input becomes the latest one.
+    With ``memo`` terms that earlier inputs had are not matched anew.
     """
     key = upload_key(spark, path, roles)
     stored = store.read(key)
@@ -57,7 +65,7 @@ def analyse_upload(
     else:
         raw = rv.dedupe_rows(rv.drop_empty_rows(rv.read_reviews(spark, path)))
         store.write(extract_opinions(
-            rv.bind_roles(raw, roles), taxonomy, blacklist, models, fuzzy=fuzzy), key)
+            rv.bind_roles(raw, roles), taxonomy, blacklist, models, fuzzy=fuzzy, memo=memo), key)
         rows, stored = raw.count(), store.read(key)
     label = name or (path if isinstance(path, str) else path[0]).rstrip("/").rpartition("/")[2]
     store.append_history(spark.createDataFrame(

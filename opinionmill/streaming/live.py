@@ -1,11 +1,14 @@
-"""Scoring reviews as they arrive."""
+"""Scoring reviews, or whole uploaded files, as they arrive."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from opinionmill.plans.extract import Models, extract_opinions
+from opinionmill.plans.uploads import analyse_upload, file_keys
+from opinionmill.sources.reviews import Roles
 from opinionmill.sources.store import OpinionStore, valid_key
 
 
@@ -38,3 +41,46 @@ def score_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def score_uploads(
+    spark: SparkSession,
+    folder: str,
+    roles: Roles,
+    taxonomy: DataFrame,
+    blacklist: DataFrame,
+    models: Models,
+    store: OpinionStore,
+    checkpoint: str,
+    files_per_batch: int = 100,
+    fuzzy: bool = True,
+) -> StreamingQuery:
+    """Analyse CSV files that arrive in ``folder``, each as an upload of its own.
+
+    The stream carries the names of new files only. The keys of a micro-batch's files
+    are computed in one job and joined against the store, so that a file whose content
+    was analysed before, in a batch run or under another name, is neither parsed nor
+    stored again; of equal files that arrive together the first in name order is taken.
+    A batch replayed after a failure finds what it has stored already.
+    """
+    arrived = (
+        spark.readStream.format("binaryFile").option("pathGlobFilter", "*.csv")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("maxFilesPerTrigger", files_per_batch).load(folder).select("path"))
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        paths = [r["path"] for r in batch.collect()]  # at most files_per_batch
+        keys = file_keys(batch.sparkSession, paths, roles).join(
+            store.keys().select("cache_key"), "cache_key", "left_anti")
+        new = keys.groupBy("cache_key").agg(F.min("path").alias("path"))
+        for row in sorted(new.collect(), key=lambda r: r["path"]):
+            analyse_upload(
+                batch.sparkSession, row["path"], roles, taxonomy, blacklist, models, store,
+                fuzzy=fuzzy)
+
+    return (
+        arrived.writeStream.foreachBatch(save)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

@@ -13,6 +13,8 @@ from opinionmill.plans.uploads import analyse_upload
 from opinionmill.sources import commits
 from opinionmill.sources import reviews as rv
 from opinionmill.sources import store as st
+from opinionmill.sources.memo import TermMemo
+from opinionmill.streaming.live import score_uploads
 
 
 def upload(spark, *keys):
@@ -170,3 +172,49 @@ def test_file_key_of_ranges(spark, tmp_path):
     assert st.table_key(table, "path", rv.Roles("t")).first()["cache_key"] == whole
     (tmp_path / "a").write_text(body.replace("dòng 5,", "dòng 5;"), encoding="utf-8")
     assert key() != whole
+
+
+def test_terms_are_matched_once(spark, tmp_path, monkeypatch):
+    memo = TermMemo(spark, str(tmp_path))
+    taxonomy = tax.taxonomy_from_map(spark, {"Camera": ("camera",), "Pin": ("sạc nhanh",)})
+    asked = []
+
+    def watched(terms, *args):
+        asked.append(sorted(r["s"] for r in terms.collect()))
+        return tax.fuzzy_match(terms, *args)
+
+    monkeypatch.setattr("opinionmill.sources.memo.fuzzy_match", watched)
+
+    def run(*values, dictionary=taxonomy, cutoff=S.FUZZY_CUTOFF):
+        terms = spark.createDataFrame([(v,) for v in values], "s string")
+        return {r["s"]: r["category"] for r in memo.categories(terms, dictionary, cutoff).collect()}
+
+    assert run("camerra", "zzz", None) == {"camerra": "Camera"}
+    assert run("camerra", "zzz", "sạc nhnh", "zzz") == {"camerra": "Camera", "sạc nhnh": "Pin"}
+    assert asked == [["camerra", "zzz"], ["sạc nhnh"]]
+    assert run("camerra", "zzz") == {"camerra": "Camera"} and len(asked) == 2
+    other = tax.taxonomy_from_map(spark, {"Lens": ("camera",)})
+    assert run("camerra", dictionary=other) == {"camerra": "Lens"}
+    assert run("camerra", cutoff=0.99) == {} and len(asked) == 4
+
+
+def test_stream_skips_what_a_batch_has_stored(spark, tmp_path):
+    taxonomy, blacklist = tax.taxonomy_from_map(spark, {"Pin": ("pin",)}), tax.blacklist_from_terms(spark)
+    models = extract.Models(heads=("pin",), positive=("tốt",), negative=("xấu",))
+    store = st.OpinionStore(spark, str(tmp_path / "store"))
+    (tmp_path / "in").mkdir()
+    for name, text in (("a", "pin tốt"), ("b", "pin xấu"), ("copy of a", "pin tốt")):
+        (tmp_path / "in" / f"{name}.csv").write_text(f"comment\n{text}\n", encoding="utf-8")
+    args = (rv.Roles("comment"), taxonomy, blacklist, models, store)
+
+    def stream():
+        score_uploads(spark, str(tmp_path / "in"), *args, str(tmp_path / "progress")).awaitTermination()
+        return sorted((r["name"]) for r in store.history().collect())
+
+    analyse_upload(spark, str(tmp_path / "in" / "a.csv"), *args)
+    assert stream() == ["a.csv", "b.csv"]
+    assert sorted(r["review_text"] for r in store.all().collect()) == ["pin tốt", "pin xấu"]
+    (tmp_path / "in" / "c.csv").write_text("comment\npin tốt tốt\n", encoding="utf-8")
+    (tmp_path / "in" / "d.csv").write_text("comment\npin xấu\n", encoding="utf-8")
+    assert stream() == ["a.csv", "b.csv", "c.csv"]
+    assert analyse_upload(spark, str(tmp_path / "in" / "d.csv"), *args).reused

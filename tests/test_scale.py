@@ -79,3 +79,27 @@ def test_spread_small(spark):
         assert scale.spread_small(df, "id").rdd.getNumPartitions() == 1
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("accuracy", [4, 50, 100_000])
+@pytest.mark.parametrize("kind", ["dense", "sparse", "few", "none"])
+def test_order_statistics_near(spark, accuracy, kind):
+    """Exact whatever the sketch is worth; ranks and fractions need not agree well."""
+    rng = random.Random(accuracy)
+    values = {"dense": range(3000), "few": [5, -2**63, 2**63 - 1], "none": [],
+              "sparse": [*{rng.randrange(-2**62, 2**62) for _ in range(2000)}, *range(2**62, 2**62 + 500)]}[kind]
+    df = spark.createDataFrame([(v,) for v in values], "v long").repartition(3)
+    ranks = lambda n: [r for r in (-(-n // 5), 2 * -(-n // 5), n - 1, n) if 0 < r <= n]
+    got = scale.order_statistics_near(df, "v", [0.2, 0.4, 0.6, 0.8], ranks, accuracy)
+    assert got == [sorted(values)[r - 1] for r in ranks(len(values))]
+
+
+def test_order_statistics_near_reads_twice(spark):
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("near", "")
+    df = spark.range(200_000).withColumnRenamed("id", "v")
+    before = len(jobs.getJobIdsForGroup("near"))
+    assert scale.order_statistics_near(df, "v", [0.2, 0.8], lambda n: [n // 5, 4 * n // 5]) == [39_999, 159_999]
+    spark.sparkContext.setJobGroup(None, None)
+    # each of the two aggregates is a job for its map side and one for its result
+    assert len(jobs.getJobIdsForGroup("near")) - before <= 4

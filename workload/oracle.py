@@ -716,5 +716,8 @@ ORACLE: dict[str, str] = {
         case when seq % 3 = 0 then '' else 'b' || hash || 'b' end as key,
         seq % 3 <> 0 as can_open from ledger""",
 }
+# the same results, found again or stored by another way
+ORACLE["normalize_aspects_memo"] = ORACLE["normalize_aspects"]
+ORACLE["score_uploads"] = ORACLE["analyse_upload"]
 # both model slots filled from the same word lists give the same opinions
 ORACLE["extract_opinions_models"] = ORACLE["extract_opinions"]

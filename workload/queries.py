@@ -21,7 +21,9 @@ from opinionmill.plans.scale import global_index, rank_rows, shared_path
 from opinionmill.plans.uploads import analyse_upload as analyse
 from opinionmill.sources import reviews as rv
 from opinionmill.sources import store as st
+from opinionmill.sources.memo import TermMemo
 from opinionmill.streaming.live import score_stream
+from opinionmill.streaming.live import score_uploads as score_upload_stream
 from workload import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -365,6 +367,16 @@ def normalize_aspects(spark, sf):
         fx.raw_aspects(spark, sf), fx.taxonomy(spark), fx.blacklist(spark))
 
 
+@query
+def normalize_aspects_memo(spark, sf):
+    """Half of the terms in a first run; the second one matches only the others."""
+    memo, raw = TermMemo(spark, shared_path(spark, "memo")), fx.raw_aspects(spark, sf)
+    run = lambda df: tax.normalize_aspects(
+        df, fx.taxonomy(spark), fx.blacklist(spark), matcher=memo.categories)
+    run(raw.where("length(aspect_raw) % 2 = 0")).count()
+    return run(raw)
+
+
 @query
 def normalize_aspects_exact(spark, sf):
     return tax.normalize_aspects(
@@ -519,6 +531,17 @@ def analyse_upload(spark, sf):
     return store.latest().drop("ord", "time_text")
 
 
+@query
+def score_uploads(spark, sf):
+    """A batch run and a stream over the same files: analysed and stored once."""
+    path, store = _as_csv(spark, sf), st.OpinionStore(spark, shared_path(spark, "store"))
+    args = (rv.Roles("text", "source"), fx.taxonomy(spark), fx.blacklist(spark), fx.MODELS, store)
+    analyse(spark, spark.read.text(path).inputFiles()[0], *args, fuzzy=False)
+    score_upload_stream(
+        spark, path, *args, shared_path(spark, "progress"), fuzzy=False).awaitTermination()
+    return store.all().drop("ord", "time_text", "cache_key")
+
+
 @query
 def read_opinions(spark, sf):
     return _store(spark, sf).read("medium")
