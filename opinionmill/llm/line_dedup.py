@@ -20,9 +20,11 @@ No step gathers a key's rows: aggregates combine before their shuffle, and the
 joins are plain equi-joins that Spark splits where one key is hot.
 
 Defined results: null texts stay null, empty ones empty; a document may lose all
-its lines and then has an empty text; a null id counts as the last document; rows
-sharing an id are one document for the order of lines; other columns are carried
-along, whatever their names.
+its lines and then has an empty text. A null id comes after all others. Rows that share
+an id are documents of their own if their texts differ, in the order of the texts' MD5;
+rows that repeat both are one document, and all of them keep the same lines. Where ids
+repeat, documents are numbered in that order first. An empty table gives an empty result;
+other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinionmill.llm.columns import let
-from opinionmill.llm.tables import written
+from opinionmill.llm.tables import packed, unpacked, written
+from opinionmill.plans.scale import global_index
 
 MIN_WORDS = 5
 _LAST = (1 << 63) - 1
@@ -186,30 +189,50 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return gone.groupBy("dk").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
+def _numbered(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with the number ``dk`` of their document, and each document once.
+
+    Ids that no two rows share are such numbers themselves. Else documents are the
+    distinct pairs of id and text, numbered by a range sort of ids and digests.
+    """
+    rows = packed(docs, dk=_doc_key(F.col(f"`{doc_id}`")), text=F.col(f"`{text}`"))
+    if rows.groupBy("dk").count().where("count > 1").isEmpty():
+        return rows, rows.select("dk", "text")
+    null = F.col(f"`{doc_id}`").isNull()
+    own = F.struct(null.alias("none"), _doc_key(F.col(f"`{doc_id}`")).alias("dk"),
+                   F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("digest"))
+    rows = packed(docs, own=own, text=F.col(f"`{text}`"))
+    each = written(rows.groupBy("own").agg(F.first("text", ignorenulls=True).alias("text")), "line-documents")
+    placed = global_index(each.select("own"), ["own"], "dk")
+    return rows.join(placed, "own").drop("own"), each.join(placed, "own").select("dk", "text")
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 count_as: str | None = None) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``.
 
     ``count_as`` names an extra column with the number of lines taken out.
     """
-    gone = removed_lines(docs, doc_id, text).select(
-        F.col("dk").alias("__dk"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone, _doc_key(F.col(doc_id)) == F.col("__dk"), "left")
+    rows, each = _numbered(docs, doc_id, text)
+    joined = rows.join(removed_lines(each, "dk", "text"), "dk", "left")
     kept = F.array_join(F.filter(
-        F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)
-    columns = [new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+        F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    new = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
+    columns = unpacked(docs, **{text: new})
     if count_as:
-        columns.append(F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias(count_as))
+        # a null text has no lines, whatever a document equal but for it lost
+        lost = F.when(F.col("text").isNotNull(), F.size("gone"))
+        columns.append(F.coalesce(lost, F.lit(0)).cast("bigint").alias(count_as))
     return joined.select(*columns)
 
 
 def duck_lines(docs: str) -> str:
     """DuckDB CTEs over ``docs`` ending in ``line_deduped`` with the column ``new_text``."""
     return f"""
-lsrc as materialized (select *, string_split(text, chr(10)) as ls from {docs}),
-lall as (select doc_id, unnest(ls) as l, unnest(range(len(ls))) as i from lsrc),
-lw as materialized (select doc_id, i, (coalesce(doc_id, {_LAST})::hugeint * {_SHIFT} + i) as place,
+lsrc as materialized (select *, string_split(text, chr(10)) as ls,
+  dense_rank() over (order by doc_id nulls last, md5(text)) as dr from {docs}),
+lall as (select distinct dr, unnest(ls) as l, unnest(range(len(ls))) as i from lsrc),
+lw as materialized (select dr, i, (dr::hugeint * {_SHIFT} + i) as place,
   regexp_extract_all(l, '[^ \\t\\n\\x0B\\f\\r]+') as w from lall),
 ld as materialized (select w, min(place) as first from lw where len(w) >= {MIN_WORDS} group by w),
 lv as materialized (select first, len(w) as n, p, list_concat(w[1:p - 1], w[p + 1:]) as v
@@ -219,10 +242,10 @@ lnear as (
     on a.v = b.v and a.n = b.n and a.p = b.p where best < a.first
   union select lv.first from lv join ld on lv.v = ld.w where ld.first < lv.first
   union select ld.first from lv join ld on lv.v = ld.w where lv.first < ld.first),
-lgone as materialized (select doc_id, i from lw join ld on lw.w = ld.w
+lgone as materialized (select dr, i from lw join ld on lw.w = ld.w
   where place > first or first in (select first from lnear)),
-lper as (select doc_id, list(distinct i) as gone from lgone group by doc_id),
-line_deduped as materialized (select lsrc.*, coalesce(len(gone), 0)::bigint as n_removed,
+lper as (select dr, list(distinct i) as gone from lgone group by dr),
+line_deduped as materialized (select lsrc.* exclude (dr), coalesce(len(gone), 0)::bigint as n_removed,
   case when gone is null then text else array_to_string(list_transform(list_filter(
     list_zip(ls, range(len(ls))), lambda x: not list_contains(gone, x[2])), lambda x: x[1]), chr(10)) end as new_text
-  from lsrc left join lper on lsrc.doc_id is not distinct from lper.doc_id)""".lstrip("\n")
+  from lsrc left join lper on lsrc.dr = lper.dr)""".lstrip("\n")

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinionmill.llm.columns import word_count
+from opinionmill.llm.tables import packed, unpacked
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -90,14 +91,13 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """The mix itself: each document as often as drawn, columns as in ``docs``."""
     sizes = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     t = source_targets(sizes).select(
-        F.col("source").alias("__source"),
+        F.col("source").alias("target_source"),
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
-        .otherwise(0.0).alias("__rate"))
-    joined = docs.join(t, F.col(source).eqNullSafe(F.col("__source")))
-    n = copies(F.col("__rate"), F.col(doc_id), seed)
-    return joined.withColumn("__n", n).where("__n > 0").withColumn(
-        "__n", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[
-            F.col(f"`{c}`") for c in docs.columns])
+        .otherwise(0.0).alias("rate"))
+    rows = packed(docs, source=F.col(f"`{source}`"), doc_id=F.col(f"`{doc_id}`"))
+    joined = rows.join(t, F.col("source").eqNullSafe(F.col("target_source")))
+    return joined.withColumn("n", copies(F.col("rate"), F.col("doc_id"), seed)).where("n > 0").withColumn(
+        "n", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*unpacked(docs))
 
 
 def duck_mix(docs: str, seed: int = SEED) -> str:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinionmill.llm.components import components
-from opinionmill.llm.tables import written
+from opinionmill.llm.tables import packed, unpacked, written
 from opinionmill.llm.wordarrays import chunks, mix, stream, windows
 
 WIDTH = 4
@@ -292,6 +292,6 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def drop_near_dups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                    percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """``docs`` with one document, the smallest id, of each group of near-duplicates."""
-    gone = near_groups(docs, doc_id, text, percent, width).where("not kept").select(
-        F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    gone = near_groups(docs, doc_id, text, percent, width).where("not kept").select("doc_id").distinct()
+    rows = packed(docs, doc_id=F.col(f"`{doc_id}`"))
+    return rows.join(gone, "doc_id", "left_anti").select(*unpacked(docs))

@@ -4,6 +4,7 @@ import random
 
 import hashlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -61,6 +62,37 @@ def test_lines(docs, none, spark):
     assert line_dedup.dedup_lines(none).isEmpty()
 
 
+@pytest.mark.parametrize("ids", [(None, 1, None, 7, 7, 7), (5, 1, 5, 5, None, 2**63 - 1), (3, 3, 3, 3, 3, 3)])
+def test_lines_of_shared_ids(spark, ids):
+    """Null and repeated ids with the same and other texts: only repeated lines go."""
+    line, other = "one two three four five", "a quite unique line of words"
+    texts = [other, line, line, f"{other} more\n{line}\nlast words stay here too", None, line + "\n" + line]
+    rows = [*zip(ids, texts, strict=True), (ids[1], line)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((str(r["doc_id"]), str(r["text"]), r["n"]) for r in
+                 line_dedup.dedup_lines(docs, count_as="n").collect())
+    con = duckdb.connect()
+    con.register("odd", docs.toArrow())
+    want = con.execute(f"with {line_dedup.duck_lines('odd')} select doc_id, new_text, n_removed from line_deduped")
+    assert got == sorted((str(a), str(b), n) for a, b, n in want.fetchall())
+    assert sum("last words stay here too" in t for _, t, _ in got) == 1
+    assert any(other in t for _, t, _ in got) and any(t.startswith(line) for _, t, _ in got)
+
+
+def test_clashing_names(spark):
+    """Columns named like those inside the operators pass through unchanged."""
+    names = ["row", "dk", "gone", "own", "n", "rate", "source_size", "__gone", "__dk", "__n", "__rate",
+             "target_source", "component_id", "kept", "a.b"]
+    schema = "doc_id bigint, text string, source string, " + ", ".join(f"`{c}` string" for c in names)
+    text = "some words that stand in every one of these documents here"
+    docs = spark.createDataFrame([(i, text, "s", *[f"{c}{i}" for c in names]) for i in (1, 2, 2)], schema)
+    for out in (line_dedup.dedup_lines(docs), near_dups.drop_near_dups(docs), mixing.mix_sources(docs)):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in names)
+    assert [r["doc_id"] for r in near_dups.drop_near_dups(docs).collect()] == [1]
+
+
 def test_line_edits(spark):
     base = "one two three four five six"
     rows = [(1, base), (2, base + " seven"), (3, base.replace("three", "x")), (4, "one two four five six"),
