@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinionmill import schema as S
 from opinionmill.functions.rounding import half_up_pct
+from opinionmill.plans.pages import ranked_page, write_ranked
 from opinionmill.plans.scale import TOP_ROWS, global_index, number_few, settle, spread_small
 
 
@@ -149,6 +150,23 @@ def facet_page(feed: DataFrame, page: int = 1, size: int = 20) -> DataFrame:
     return shown.select("page", "pages", "row", "product", "items")
 
 
+def store_feed(feed: DataFrame, path: str) -> None:
+    """Write the feed and its product facet for paging, see ``stored_page``."""
+    write_ranked(feed, [F.asc("text")], f"{path}/feed")
+    write_ranked(product_facet_counts(feed), [F.desc("items"), F.asc("seen")], f"{path}/products")
+
+
+def stored_page(spark: SparkSession, path: str, page: int = 1, size: int = 10) -> DataFrame:
+    """``feed_page`` of the whole feed, from one or two files of ``store_feed``."""
+    return ranked_page(spark, f"{path}/feed", page, size, "last")
+
+
+def stored_facet_page(spark: SparkSession, path: str, page: int = 1, size: int = 20) -> DataFrame:
+    """``facet_page`` from the files of ``store_feed``."""
+    shown = ranked_page(spark, f"{path}/products", page, size, "first")
+    return shown.select("page", "pages", "row", "product", "items")
+
+
 # ------------------------------------------------------------ filter and search
 
 

@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinionmill import schema as S
+from opinionmill.operators.metrics import tally
 from opinionmill.operators.taxonomy import validate_categories
 from opinionmill.plans.scale import lookup_join
 from opinionmill.sources.commits import CommitLog, read_or_empty
 from opinionmill.sources.lines import numbered_lines
 from opinionmill.sources.reviews import Roles
 
+_CUBE = ("cache_key string, product string, category string, total bigint, pos bigint, neg bigint, "
+         "first_ord bigint, commit string")
 KEY_PATTERN = re.compile(r"[\w-]+")
 
 
@@ -147,6 +150,7 @@ class OpinionStore:
         self.root = root.rstrip("/")
         self.opinions_path = f"{self.root}/opinions"
         self.keys_path = f"{self.root}/keys"
+        self.cubes_path = f"{self.root}/cubes"
         self.history_path = f"{self.root}/history"
         self.log = CommitLog(spark, f"{self.root}/log")
 
@@ -172,8 +176,12 @@ class OpinionStore:
         (
             opinions.select(*cols, "cache_key")
             .write.partitionBy("cache_key").parquet(f"{self.opinions_path}/commit={commit}"))
-        keys = self._stored().where(F.col("commit") == commit).groupBy("cache_key").agg(
-            F.count(F.lit(1)).alias("rows"))
+        # counts of the new rows alone; they tell the keys and are merged by ``cube``
+        cubes = f"{self.cubes_path}/commit={commit}"
+        tally(self._stored().where(F.col("commit") == commit), "cache_key", "product", "category"
+              ).write.parquet(cubes)
+        keys = self.spark.read.schema("cache_key string, total bigint").parquet(cubes).groupBy(
+            "cache_key").agg(F.sum("total").alias("rows"))
         if cache_key is not None:
             named = self.spark.createDataFrame([(cache_key,)], "cache_key string")
             keys = named.join(keys, "cache_key", "left").fillna(0, "rows")
@@ -200,6 +208,17 @@ class OpinionStore:
         rows = self._stored().withColumn("_at", F.struct("commit", "cache_key"))
         return lookup_join(rows, current, "_at", "inner").drop("_at", "commit")
 
+    def cube(self) -> DataFrame:
+        """``opinion_cube`` of all stored tables, from the counts kept with each of them.
+
+        A write counts its own rows only; replaced and removed tables drop out with their
+        key. Metrics, rankings and the heatmap read this instead of the opinions.
+        """
+        current = self.keys().select(F.struct("commit", "cache_key").alias("_at"))
+        counts = read_or_empty(self.spark, self.cubes_path, _CUBE).withColumn(
+            "_at", F.struct("commit", "cache_key"))
+        return tally(lookup_join(counts, current, "_at", "inner"), "product", "category")
+
     def read(self, cache_key: str) -> DataFrame:
         """One stored result, from its own folder; without rows if there is none."""
         at = self.keys().where(F.col("cache_key") == cache_key).first()
@@ -295,6 +314,7 @@ class OpinionStore:
         old = self.log.entries().where("kind = 'write'").select("commit").join(live, "commit", "left_anti")
         n = 0
         for row in old.toLocalIterator():
+            self.log.delete(f"{self.cubes_path}/commit={row['commit']}")
             n += self.log.delete(f"{self.opinions_path}/commit={row['commit']}")
         self.spark.catalog.refreshByPath(self.opinions_path)
         return n

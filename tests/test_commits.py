@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinionmill import schema as S
+from opinionmill.operators import metrics
 from opinionmill.operators import taxonomy as tax
 from opinionmill.plans import extract
 from opinionmill.plans.uploads import analyse_upload
@@ -218,3 +219,30 @@ def test_stream_skips_what_a_batch_has_stored(spark, tmp_path):
     (tmp_path / "in" / "d.csv").write_text("comment\npin xấu\n", encoding="utf-8")
     assert stream() == ["a.csv", "b.csv", "c.csv"]
     assert analyse_upload(spark, str(tmp_path / "in" / "d.csv"), *args).reused
+
+
+def test_cube_follows_the_tables(spark, tmp_path, make_opinions):
+    """The merged counts always equal those of the opinions that stand."""
+    store = st.OpinionStore(spark, str(tmp_path))
+    taxonomy = tax.taxonomy_from_map(spark, {"Pin": ("pin",), "Loa": ("loa",)})
+    a = make_opinions([("A", "t", "Pin", "pos"), ("A", "u", "Pin", "neg"), ("B", "t", "Loa", "pos"), (None, "t", None, "neu")])
+    b = make_opinions([("A", "t", "Pin", "neg"), ("C", "t", "other", "pos")])
+
+    def same():
+        rows = [sorted(map(str, df.collect())) for df in (
+            store.cube(), metrics.opinion_cube(store.all()), metrics.kpi_metrics(store.cube()),
+            metrics.kpi_metrics(store.all()))]
+        assert rows[0] == rows[1] and rows[2] == rows[3]
+        return len(rows[0])
+
+    assert same() == 0
+    store.write(a, "a")
+    assert same() == 3
+    store.write(b, "b")
+    assert same() == 4
+    store.purge_stale(taxonomy)
+    assert same() == 3
+    store.write(a.limit(1), "a")
+    assert same() == 1
+    store.write(a.limit(0), "a")
+    assert same() == 0

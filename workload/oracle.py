@@ -680,6 +680,11 @@ ORACLE: dict[str, str] = {
     "write_opinions": with_(OPINIONS)
     + """select aspect_raw as cache_key, polarity, count(*) as n
         from opinions group by aspect_raw, polarity""",
+    "store_cube": with_(OPINIONS)
+    + f"""select product, category, {COUNTS} from opinions where aspect_raw <> 'medium'
+        group by product, category""",
+    "stored_page_deep": page_sql(type(SEARCH)(), 10**9),
+    "stored_facet_page": facet_sql(2),
     "write_nothing": with_(OPINIONS) + """select aspect_raw as cache_key, count(*) as n
         from opinions where aspect_raw <> 'promo' group by aspect_raw""",
     "analyse_upload": with_(

@@ -473,6 +473,23 @@ QUERIES |= {
 }
 
 
+def _stored_feed(spark, sf) -> str:
+    path = shared_path(spark, "feed")
+    fd.store_feed(fd.review_feed(fx.opinions(spark, sf)), path)
+    return path
+
+
+@query
+def stored_page_deep(spark, sf):
+    """The last page, read from the file it is in."""
+    return _flat(fd.stored_page(spark, _stored_feed(spark, sf), 10**9))
+
+
+@query
+def stored_facet_page(spark, sf):
+    return fd.stored_facet_page(spark, _stored_feed(spark, sf), 2)
+
+
 @query
 def dashboard_json(spark, sf):
     return dashboard.dashboard_sections(fx.opinions(spark, sf))
@@ -511,6 +528,16 @@ def write_opinions(spark, sf):
     return store.all().groupBy("cache_key", "polarity").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def store_cube(spark, sf):
+    """Counts merged from those of each table; two tables replaced, one of them by nothing."""
+    store = _store(spark, sf)
+    store.write(_keyed(spark, sf).where("aspect_raw = 'promo'").limit(5))
+    store.write(_keyed(spark, sf).where("aspect_raw = 'promo'"))
+    store.write(_keyed(spark, sf).where("false"), "medium")
+    return store.cube()
+
+
 @query
 def write_nothing(spark, sf):
     """An empty result replaces the rows stored under its key."""
