@@ -5,12 +5,17 @@ embeddings of the window are concatenated, pass a tanh layer, and a two-level
 softmax (class, then word of the class) gives a normalised probability. A
 document's score is the sum of the log-probabilities of all its tokens.
 
-The vocabulary is the ``TOP`` most frequent words of the whole corpus; all other
-words share ``RARE`` hashed entries. Training is local SGD: in each round every
-task starts from the same parameters, trains on positions of all its documents
-(one in ``EVERY``, other ones each round), and hands in its parameters weighted by
-the tokens it saw; Spark sums them. What is gathered thus grows with the input,
-what reaches the driver is one model. Biases start at the unigram distribution.
+The network's vocabulary is the ``TOP`` most frequent words of the whole corpus and
+``RARE`` hashed groups of all others. Such a word is scored as itself: the probability of
+its group there, times its share of the group's tokens in the corpus. These shares come
+from exact counts of every word, by a join on the words that documents have.
+
+Training is local SGD: in each round every task starts from the same parameters, trains on
+its share of the positions of all its documents (the rounds together on every position),
+and hands in its parameters as one row, weighted by the tokens it saw; Spark sums these
+rows in two steps. What is gathered thus grows with the input, what reaches the driver is
+one model. A task's documents, not the number of tasks, say how far a round gets. Biases
+start at the unigram distribution.
 
 Defined results: a null or blank text has no tokens and scores 0 with a null mean;
 repeated rows score alike; an empty table gives an empty result. Scores depend on
@@ -23,16 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinionmill.llm.tables import written
 from opinionmill.llm.wordarrays import Chunk, chunks, mix
 
 TOP, RARE = 4032, 64
 CLASSES, MEMBERS = 64, 64
 SIDE, WIDTH, HIDDEN = 2, 16, 32
-EVERY = 16
 ROUNDS = 2
+SUMS = 64
 BATCH = 8192
 RATE = 0.05
 _SHAPES = {
@@ -154,8 +161,8 @@ def _tokens(chunk: Chunk, words: Words) -> tuple[np.ndarray, np.ndarray]:
     return words.ids(chunk.hashes(starts, ends)), chunk.word_bounds(starts)
 
 
-def vocabulary(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the most frequent words, and token counts of all ids."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``h``, ``n``: hash and number of tokens of every word, written once."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(c.hashes(*c.words()), return_counts=True)
@@ -166,15 +173,38 @@ def vocabulary(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             n = np.bincount(at, np.concatenate([f[1] for f in found]), len(word)).astype(np.int64)
             yield pa.record_batch({"h": pa.array(word.view(np.int64)), "n": pa.array(n)})
 
-    per = texts.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    return written(texts.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(
+        F.sum("n").alias("n")), "word-counts")
+
+
+def vocabulary(per: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the most frequent words, and token counts of all ids."""
     top = per.orderBy(F.desc("n"), "h").limit(TOP).collect()
-    total = per.agg(F.sum("n")).first()[0] or 0
+    groups = per.groupBy(F.col("h").bitwiseAND(RARE - 1).alias("g")).agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(TOP + RARE)
     counts[: len(top)] = [r["n"] for r in top]
-    counts[TOP:] = max(0.0, total - counts[:TOP].sum()) / RARE
+    for r in groups:
+        counts[TOP + r["g"]] += r["n"]
+    for r in top:
+        counts[TOP + (r["h"] & (RARE - 1))] -= r["n"]
     return np.array([r["h"] for r in top], np.int64).view(np.uint64), counts
 
 
+def _summed(rows: DataFrame) -> DataFrame:
+    """Rows ``n``, ``v`` (packed doubles) added up, first ``SUMS`` at a time, then to one."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, np.zeros(SIZE)
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                n, total = n + k, total + np.frombuffer(v.as_buffer(), np.float64)
+        if n:
+            yield pa.record_batch({"n": pa.array([n]), "v": pa.array([total.tobytes()], pa.binary())})
+
+    for tasks in (SUMS, 1):
+        rows = rows.repartition(tasks).mapInArrow(add, "n bigint, v binary")
+    return rows
+
+
 def train(texts: DataFrame, top: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Parameters after ``ROUNDS`` rounds of local SGD over all documents."""
     sc, flat = texts.sparkSession.sparkContext, start(counts)
@@ -197,7 +227,7 @@ def train(texts: DataFrame, top: np.ndarray, counts: np.ndarray) -> np.ndarray:
                     ids, bounds = _tokens(chunk, words)
                     with np.errstate(over="ignore"):
                         place = mix(np.arange(len(ids), dtype=np.uint64) + np.uint64(len(ids)))
-                    pick = np.flatnonzero(place % np.uint64(EVERY) == turn)
+                    pick = np.flatnonzero(place % np.uint64(ROUNDS) == turn)
                     if not len(pick):
                         continue
                     held_w.append(contexts(ids, bounds)[pick])
@@ -209,24 +239,21 @@ def train(texts: DataFrame, top: np.ndarray, counts: np.ndarray) -> np.ndarray:
             if held:
                 seen += step()
             if seen:
-                yield pa.record_batch({
-                    "i": pa.array(np.arange(-1, SIZE), pa.int32()),
-                    "v": pa.array(np.append(seen, flat.astype(float) * seen))})
+                packed = (flat.astype(np.float64) * seen).tobytes()
+                yield pa.record_batch({"n": pa.array([seen]), "v": pa.array([packed], pa.binary())})
 
-        summed = texts.mapInArrow(local, "i int, v double").groupBy("i").agg(
-            F.sum("v").alias("v")).toArrow()
-        if not summed.num_rows:
+        found = _summed(texts.mapInArrow(local, "n bigint, v binary")).collect()
+        if not found:
             return flat
-        whole = np.zeros(SIZE + 1)
-        whole[summed["i"].to_numpy() + 1] = summed["v"].to_numpy()
-        flat = (whole[1:] / whole[0]).astype(np.float32)
+        flat = (np.frombuffer(found[0]["v"], np.float64) / found[0]["n"]).astype(np.float32)
     return flat
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_tokens, log_prob, mean_log_prob, unigram_log_prob`` of every row."""
     texts = docs.select(F.col(text).alias("text"))
-    top, counts = vocabulary(texts)
+    per = word_counts(texts)
+    top, counts = vocabulary(per)
     shared = docs.sparkSession.sparkContext.broadcast((train(texts, top, counts), top, counts))
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -234,23 +261,41 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         flat, top, counts = shared.value
         p, words = views(flat), Words(top)
         alone = np.log((counts + 0.5) / (counts + 0.5).sum())
+        row_number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for chunk in chunks(batch.column(1), fold=True):
-                ids, bounds = _tokens(chunk, words)
+                starts, ends = chunk.words()
+                hashes, bounds = chunk.hashes(starts, ends), chunk.word_bounds(starts)
+                ids = words.ids(hashes)
                 window, found = contexts(ids, bounds), np.zeros(len(ids))
                 for at in range(0, len(ids), 32768):
                     found[at: at + 32768] = log_probs(p, window[at: at + 32768], ids[at: at + 32768])
                 n = np.diff(bounds)
                 row = np.repeat(np.arange(chunk.rows), n)
                 total = np.bincount(row, found, chunk.rows).astype(float)
+                rare = ids >= TOP
+                cut = np.concatenate([[0], np.cumsum(np.bincount(row[rare], minlength=chunk.rows))])
                 yield pa.record_batch({
+                    "row": pa.array(row_number + np.arange(chunk.rows)),
                     "doc_id": batch.column(0).slice(chunk.first, chunk.rows),
-                    "n_tokens": pa.array(n, pa.int64()),
-                    "log_prob": pa.array(total),
-                    "mean_log_prob": pa.array(total / np.maximum(n, 1), mask=n == 0),
-                    "unigram_log_prob": pa.array(
-                        np.bincount(row, alone[ids], chunk.rows).astype(float))})
-
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_tokens bigint, log_prob double, mean_log_prob double, "
-             "unigram_log_prob double")
+                    "n_tokens": pa.array(n, pa.int64()), "net": pa.array(total),
+                    "alone": pa.array(np.bincount(row, alone[ids], chunk.rows).astype(float)),
+                    "rare": pa.ListArray.from_arrays(
+                        pa.array(cut, pa.int32()), pa.array(hashes[rare].view(np.int64)))})
+                row_number += chunk.rows
+
+    scored = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+        run, f"row bigint, doc_id {kind}, n_tokens bigint, net double, alone double, "
+             "rare array<bigint>"), "network-scores")
+    size = F.element_at(F.lit([float(max(c, 1)) for c in counts[TOP:]]),
+                        (F.col("h").bitwiseAND(RARE - 1) + 1).cast("int"))
+    # a word that is left is at most as frequent as the last of the top, so no key is hot
+    share = scored.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(
+        F.count(F.lit(1)).alias("k")).join(per, "h").groupBy("row").agg(
+        F.sum(F.col("k") * (F.log("n") - F.log(size))).alias("share"))
+    share_of = F.coalesce("share", F.lit(0.0))
+    log_prob = F.col("net") + share_of
+    return scored.join(share, "row", "left").select(
+        "doc_id", "n_tokens", log_prob.alias("log_prob"),
+        F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens")).alias("mean_log_prob"),
+        (F.col("alone") + share_of).alias("unigram_log_prob"))

@@ -187,11 +187,62 @@ def test_block_pruning_is_exact(monkeypatch):
         assert np.allclose(s[mine], [-x for x, _ in best], atol=2e-6) and len(best) == mine.sum()
 
 
-def test_likelihood(docs, none):
+def out_of_words(spark):
+    """How much lower a token of invented words scores than one of prose."""
+    draw = random.Random(8)
+    words = [f"w{min(int(draw.expovariate(0.002)), 3000)}" for _ in range(40_000)]
+    rows = [(i, " ".join(words[i * 400: i * 400 + 400])) for i in range(100)]
+    rows.append((100, " ".join(f"zz{draw.randrange(10**9)}" for _ in range(300))))
+    got = {r["doc_id"]: r["mean_log_prob"] for r in pseudo_likelihood.score_documents(
+        spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    return min(v for k, v in got.items() if k < 100) - got[100]
+
+
+def test_likelihood_of_one_document(spark):
+    """A score is the product of plain softmax probabilities, word by word."""
+    pl = pseudo_likelihood
+    draw = random.Random(4)
+    texts = [" ".join(f"w{int(draw.expovariate(0.0003))}" for _ in range(1000)) for _ in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    per = pl.word_counts(docs.select("text"))
+    top, counts = pl.vocabulary(per)
+    tokens = [w for t in texts for w in t.split()]
+    many = {w: tokens.count(w) for w in set(tokens)}
+    assert len(many) > pl.TOP and counts.sum() == len(tokens)
+    assert sorted(counts[: pl.TOP], reverse=True) == sorted(many.values(), reverse=True)[: pl.TOP]
+    p = pl.views(pl.train(docs.select("text"), top, counts))
+
+    def number(word):
+        chunk = next(chunks(pa.array([word])))
+        h = int(chunk.hashes(*chunk.words())[0])
+        at = np.flatnonzero(top == np.uint64(h))
+        return int(at[0]) if len(at) else pl.TOP + h % pl.RARE
+
+    def softmax(x):
+        return np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+
+    ids = {w: number(w) for w in many}
+    groups = {g: sum(n for w, n in many.items() if ids[w] == g) for g in set(ids.values())}
+    words = texts[5].split()
+    total = 0.0
+    for i, word in enumerate(words):
+        window = [ids[words[j]] if 0 <= j < len(words) else pl.TOP + pl.RARE for j in (i - 2, i - 1, i + 1, i + 2)]
+        hidden = np.tanh(np.concatenate([p["embed"][k] for k in window]) @ p["into"] + p["into_bias"])
+        group, member = divmod(ids[word], pl.MEMBERS)
+        chance = softmax(hidden @ p["classes"] + p["classes_bias"])[group]
+        chance *= softmax(hidden @ p["words"][group] + p["words_bias"][group])[member]
+        total += np.log(chance * many[word] / groups[ids[word]])
+    got = {r["doc_id"]: r for r in pl.score_documents(docs).collect()}[5]
+    assert got["n_tokens"] == 1000 and abs(got["log_prob"] - total) < 1e-3 * abs(total)
+    assert abs(got["mean_log_prob"] - total / 1000) < 1e-2
+
+
+def test_likelihood(docs, none, spark):
     got = {r["doc_id"]: r for r in pseudo_likelihood.score_documents(docs).collect()}
     assert got[1]["n_tokens"] == 0 and got[1]["log_prob"] == 0 and got[1]["mean_log_prob"] is None
     assert got[6]["n_tokens"] == 30_000 and got[6]["log_prob"] < 0
     assert pseudo_likelihood.score_documents(none).isEmpty()
+    assert out_of_words(spark) > 1
     flat = pseudo_likelihood.start(np.arange(pseudo_likelihood.TOP + pseudo_likelihood.RARE, dtype=float))
     window = np.zeros((4096, 4), np.int64)
     p = pseudo_likelihood.log_probs(pseudo_likelihood.views(flat), window, np.arange(4096))
