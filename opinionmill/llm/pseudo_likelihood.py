@@ -37,10 +37,11 @@ from opinionmill.llm.wordarrays import Chunk, chunks, mix
 
 TOP, RARE = 4032, 64
 CLASSES, MEMBERS = 64, 64
-SIDE, WIDTH, HIDDEN = 2, 16, 32
+SIDE, WIDTH, HIDDEN = 2, 8, 16
 ROUNDS = 2
 SUMS = 64
-BATCH = 8192
+PART = 1 << 17
+BATCH = 16384
 RATE = 0.05
 _SHAPES = {
     "embed": (TOP + RARE + 1, WIDTH), "into": (2 * SIDE * WIDTH, HIDDEN), "into_bias": (HIDDEN,),
@@ -100,23 +101,33 @@ def contexts(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """The softmax of each row, in place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def _log_softmax_at(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """One entry a row of the log-softmax; ``x`` is overwritten."""
+    x -= x.max(axis=1, keepdims=True)
+    chosen = x[np.arange(len(x)), place]
+    np.exp(x, out=x)
+    return chosen - np.log(x.sum(axis=1))
 
 
 def log_probs(p: dict[str, np.ndarray], window: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Log-probability of each token given its window."""
     hidden = np.tanh(p["embed"][window].reshape(len(ids), -1) @ p["into"] + p["into_bias"])
     group, member = ids // MEMBERS, ids % MEMBERS
-    out = _log_softmax(hidden @ p["classes"] + p["classes_bias"])[np.arange(len(ids)), group]
+    out = _log_softmax_at(hidden @ p["classes"] + p["classes_bias"], group)
     order = np.argsort(group, kind="stable")
     cut = np.searchsorted(group[order], np.arange(CLASSES + 1))
     for c in range(CLASSES):
         rows = order[cut[c]: cut[c + 1]]
         if len(rows):
-            inner = _log_softmax(hidden[rows] @ p["words"][c] + p["words_bias"][c])
-            out[rows] += inner[np.arange(len(rows)), member[rows]]
+            out[rows] += _log_softmax_at(hidden[rows] @ p["words"][c] + p["words_bias"][c], member[rows])
     return out
 
 
@@ -128,7 +139,7 @@ def train_step(flat: np.ndarray, square: np.ndarray, window: np.ndarray, ids: np
     x = p["embed"][window].reshape(n, -1)
     hidden = np.tanh(x @ p["into"] + p["into_bias"])
     group, member = ids // MEMBERS, ids % MEMBERS
-    miss = -np.exp(_log_softmax(hidden @ p["classes"] + p["classes_bias"]))
+    miss = -_softmax(hidden @ p["classes"] + p["classes_bias"])
     miss[np.arange(n), group] += 1
     g["classes"][...] = hidden.T @ miss
     g["classes_bias"][...] = miss.sum(0)
@@ -139,7 +150,7 @@ def train_step(flat: np.ndarray, square: np.ndarray, window: np.ndarray, ids: np
         rows = order[cut[c]: cut[c + 1]]
         if len(rows):
             h = hidden[rows]
-            miss = -np.exp(_log_softmax(h @ p["words"][c] + p["words_bias"][c]))
+            miss = -_softmax(h @ p["words"][c] + p["words_bias"][c])
             miss[np.arange(len(rows)), member[rows]] += 1
             g["words"][c] = h.T @ miss
             g["words_bias"][c] = miss.sum(0)
@@ -156,11 +167,6 @@ def train_step(flat: np.ndarray, square: np.ndarray, window: np.ndarray, ids: np
     flat += RATE * grad / np.sqrt(square + 1e-8)
 
 
-def _tokens(chunk: Chunk, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    starts, ends = chunk.words()
-    return words.ids(chunk.hashes(starts, ends)), chunk.word_bounds(starts)
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
     """``h``, ``n``: hash and number of tokens of every word, written once."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,94 +211,121 @@ def _summed(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def train(texts: DataFrame, top: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Parameters after ``ROUNDS`` rounds of local SGD over all documents."""
-    sc, flat = texts.sparkSession.sparkContext, start(counts)
+def _id_chunks(column: pa.BinaryArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, ids and row bounds of parts of about ``PART`` tokens of a packed column."""
+    n = len(column)
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset: column.offset + n + 1] // 2
+    data = column.buffers()[2]
+    data = np.frombuffer(data, np.int16) if data is not None and data.size else np.zeros(0, np.int16)
+    first = 0
+    while first < n:
+        last = int(np.searchsorted(bounds, bounds[first] + PART, side="right")) - 1
+        last = min(max(last, first + 1), n)
+        yield (first, data[bounds[first]: bounds[last]].astype(np.int64),
+               (bounds[first: last + 1] - bounds[first]).astype(np.int64))
+        first = last
+
+
+def train(encoded: DataFrame, counts: np.ndarray) -> np.ndarray:
+    """Parameters after ``ROUNDS`` rounds of local SGD over the packed ``ids``."""
+    sc, flat = encoded.sparkSession.sparkContext, start(counts)
     for turn in range(ROUNDS):
-        shared = sc.broadcast((flat, top))
+        shared = sc.broadcast(flat)
 
         def local(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
-            flat, words = shared.value[0].copy(), Words(shared.value[1])
+            flat = shared.value.copy()
             square, seen = np.zeros_like(flat), 0
-            held_w, held_i, held = [], [], 0
-
-            def step():
-                w, i = np.concatenate(held_w), np.concatenate(held_i)
-                for at in range(0, len(i), BATCH):
-                    train_step(flat, square, w[at: at + BATCH], i[at: at + BATCH])
-                return len(i)
-
             for batch in batches:
-                for chunk in chunks(batch.column(0), fold=True):
-                    ids, bounds = _tokens(chunk, words)
-                    with np.errstate(over="ignore"):
-                        place = mix(np.arange(len(ids), dtype=np.uint64) + np.uint64(len(ids)))
+                for _, ids, bounds in _id_chunks(batch.column(0)):
+                    place = mix(np.arange(len(ids), dtype=np.uint64) + np.uint64(len(ids)))
                     pick = np.flatnonzero(place % np.uint64(ROUNDS) == turn)
-                    if not len(pick):
-                        continue
-                    held_w.append(contexts(ids, bounds)[pick])
-                    held_i.append(ids[pick])
-                    held += len(pick)
-                    if held >= BATCH:
-                        seen += step()
-                        held_w, held_i, held = [], [], 0
-            if held:
-                seen += step()
+                    window = contexts(ids, bounds)[pick]
+                    # steps of one size, whatever the part's
+                    for part in np.array_split(np.arange(len(pick)), -(-len(pick) // BATCH) or 1):
+                        if len(part):
+                            train_step(flat, square, window[part], ids[pick[part]])
+                    seen += len(pick)
             if seen:
                 packed = (flat.astype(np.float64) * seen).tobytes()
                 yield pa.record_batch({"n": pa.array([seen]), "v": pa.array([packed], pa.binary())})
 
-        found = _summed(texts.mapInArrow(local, "n bigint, v binary")).collect()
+        found = _summed(encoded.select("ids").mapInArrow(local, "n bigint, v binary")).collect()
         if not found:
             return flat
         flat = (np.frombuffer(found[0]["v"], np.float64) / found[0]["n"]).astype(np.float32)
     return flat
 
 
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, log_prob, mean_log_prob, unigram_log_prob`` of every row."""
-    texts = docs.select(F.col(text).alias("text"))
-    per = word_counts(texts)
-    top, counts = vocabulary(per)
-    shared = docs.sparkSession.sparkContext.broadcast((train(texts, top, counts), top, counts))
+def encode(docs: DataFrame, doc_id: str, text: str, top: np.ndarray) -> DataFrame:
+    """The written rows ``row``, ``doc_id``, ``ids`` (packed 16-bit numbers of the tokens)
+    and, of words beyond the top, ``rare`` (distinct hashes) with ``times``."""
     kind = docs.schema[doc_id].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(top)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, top, counts = shared.value
-        p, words = views(flat), Words(top)
-        alone = np.log((counts + 0.5) / (counts + 0.5).sum())
-        row_number = TaskContext.get().partitionId() << 40
+        words, number = Words(shared.value), TaskContext.get().partitionId() << 40
         for batch in batches:
             for chunk in chunks(batch.column(1), fold=True):
                 starts, ends = chunk.words()
                 hashes, bounds = chunk.hashes(starts, ends), chunk.word_bounds(starts)
                 ids = words.ids(hashes)
-                window, found = contexts(ids, bounds), np.zeros(len(ids))
-                for at in range(0, len(ids), 32768):
-                    found[at: at + 32768] = log_probs(p, window[at: at + 32768], ids[at: at + 32768])
-                n = np.diff(bounds)
-                row = np.repeat(np.arange(chunk.rows), n)
-                total = np.bincount(row, found, chunk.rows).astype(float)
                 rare = ids >= TOP
-                cut = np.concatenate([[0], np.cumsum(np.bincount(row[rare], minlength=chunk.rows))])
+                row, h, k = _distinct(np.repeat(np.arange(chunk.rows), np.diff(bounds))[rare], hashes[rare])
+                cut = pa.array(np.searchsorted(row, np.arange(chunk.rows + 1)), pa.int32())
                 yield pa.record_batch({
-                    "row": pa.array(row_number + np.arange(chunk.rows)),
+                    "row": pa.array(number + np.arange(chunk.rows)),
                     "doc_id": batch.column(0).slice(chunk.first, chunk.rows),
-                    "n_tokens": pa.array(n, pa.int64()), "net": pa.array(total),
-                    "alone": pa.array(np.bincount(row, alone[ids], chunk.rows).astype(float)),
-                    "rare": pa.ListArray.from_arrays(
-                        pa.array(cut, pa.int32()), pa.array(hashes[rare].view(np.int64)))})
-                row_number += chunk.rows
-
-    scored = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, f"row bigint, doc_id {kind}, n_tokens bigint, net double, alone double, "
-             "rare array<bigint>"), "network-scores")
-    size = F.element_at(F.lit([float(max(c, 1)) for c in counts[TOP:]]),
-                        (F.col("h").bitwiseAND(RARE - 1) + 1).cast("int"))
-    # a word that is left is at most as frequent as the last of the top, so no key is hot
-    share = scored.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(
-        F.count(F.lit(1)).alias("k")).join(per, "h").groupBy("row").agg(
-        F.sum(F.col("k") * (F.log("n") - F.log(size))).alias("share"))
+                    "ids": pa.Array.from_buffers(pa.binary(), chunk.rows, [
+                        None, pa.py_buffer((bounds * 2).astype(np.int32)), pa.py_buffer(ids.astype(np.int16))]),
+                    "rare": pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64))),
+                    "times": pa.ListArray.from_arrays(cut, pa.array(k, pa.int32()))})
+                number += chunk.rows
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return written(rows.mapInArrow(
+        run, f"row bigint, doc_id {kind}, ids binary, rare array<bigint>, times array<int>"), "encoded")
+
+
+def _distinct(row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, word and count of each different word of a row, in row order."""
+    order = np.lexsort((hashes, row))
+    row, hashes = row[order], hashes[order]
+    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1]))[: len(row)])
+    return row[first], hashes[first], np.diff(np.append(first, len(row)))
+
+
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, log_prob, mean_log_prob, unigram_log_prob`` of every row."""
+    per = word_counts(docs.select(F.col(text).alias("text")))
+    top, counts = vocabulary(per)
+    encoded = encode(docs, doc_id, text, top)
+    shared = docs.sparkSession.sparkContext.broadcast((train(encoded, counts), counts))
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, counts = shared.value
+        p = views(flat)
+        alone = np.log((counts + 0.5) / (counts + 0.5).sum())
+        group_log = np.append(np.zeros(TOP), np.log(np.maximum(counts[TOP:], 1)))
+        for batch in batches:
+            for first, ids, bounds in _id_chunks(batch.column(2)):
+                window, found = contexts(ids, bounds), np.zeros(len(ids))
+                for at in range(0, len(ids), BATCH):
+                    found[at: at + BATCH] = log_probs(p, window[at: at + BATCH], ids[at: at + BATCH])
+                n = np.diff(bounds)
+                row = np.repeat(np.arange(len(n)), n)
+                yield pa.record_batch({
+                    "row": batch.column(0).slice(first, len(n)), "doc_id": batch.column(1).slice(first, len(n)),
+                    "n_tokens": pa.array(n, pa.int64()),
+                    "net": pa.array(np.bincount(row, found - group_log[ids], len(n)).astype(float)),
+                    "alone": pa.array(np.bincount(row, alone[ids] - group_log[ids], len(n)).astype(float))})
+
+    scored = encoded.select("row", "doc_id", "ids").mapInArrow(
+        run, f"row bigint, doc_id {kind}, n_tokens bigint, net double, alone double")
+    # what is missing of a rare word's share is its count, which is 1 for most of them; it
+    # is at most as frequent as the last of the top words, so no key is hot
+    share = encoded.select("row", F.inline(F.arrays_zip(F.col("rare").alias("h"), F.col("times").alias("k")))).join(
+        per.where("n > 1").hint("shuffle_hash"), "h").groupBy("row").agg(F.sum(F.col("k") * F.log("n")).alias("share"))
     share_of = F.coalesce("share", F.lit(0.0))
     log_prob = F.col("net") + share_of
     return scored.join(share, "row", "left").select(

@@ -210,7 +210,7 @@ def test_likelihood_of_one_document(spark):
     many = {w: tokens.count(w) for w in set(tokens)}
     assert len(many) > pl.TOP and counts.sum() == len(tokens)
     assert sorted(counts[: pl.TOP], reverse=True) == sorted(many.values(), reverse=True)[: pl.TOP]
-    p = pl.views(pl.train(docs.select("text"), top, counts))
+    p = pl.views(pl.train(pl.encode(docs, "doc_id", "text", top), counts))
 
     def number(word):
         chunk = next(chunks(pa.array([word])))
