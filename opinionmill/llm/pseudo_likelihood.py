@@ -88,16 +88,19 @@ class Words:
         return np.where(self.sorted[at] == hashes, self.order[at], rare)
 
 
-def contexts(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The window of each token, padded at the ends of its row."""
-    n = len(ids)
+def contexts(ids: np.ndarray, bounds: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """The window of each token, or of those ``at`` some places, padded at row ends."""
     size = np.diff(bounds)
     first, last = np.repeat(bounds[:-1], size), np.repeat(bounds[1:], size)
-    at, out = np.arange(n), np.full((n, 2 * SIDE), TOP + RARE, np.int64)
-    steps = [*range(-SIDE, 0), *range(1, SIDE + 1)]
-    for j, step in enumerate(steps):
-        inside = (at + step >= first) & (at + step < last)
-        out[inside, j] = ids[at[inside] + step]
+    if at is None:
+        at = np.arange(len(ids))
+    else:
+        first, last = first[at], last[at]
+    out = np.full((len(at), 2 * SIDE), TOP + RARE, np.int64)
+    for j, step in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):
+        place = at + step
+        inside = (place >= first) & (place < last)
+        out[inside, j] = ids[place[inside]]
     return out
 
 
@@ -239,11 +242,12 @@ def train(encoded: DataFrame, counts: np.ndarray) -> np.ndarray:
                 for _, ids, bounds in _id_chunks(batch.column(0)):
                     place = mix(np.arange(len(ids), dtype=np.uint64) + np.uint64(len(ids)))
                     pick = np.flatnonzero(place % np.uint64(ROUNDS) == turn)
-                    window = contexts(ids, bounds)[pick]
+                    window = contexts(ids, bounds, pick)
                     # steps of one size, whatever the part's
-                    for part in np.array_split(np.arange(len(pick)), -(-len(pick) // BATCH) or 1):
-                        if len(part):
-                            train_step(flat, square, window[part], ids[pick[part]])
+                    steps = max(1, round(len(pick) / BATCH))
+                    for a, b in zip(*(len(pick) * np.arange(k, steps + k) // steps for k in (0, 1)), strict=True):
+                        if a < b:
+                            train_step(flat, square, window[a:b], ids[pick[a:b]])
                     seen += len(pick)
             if seen:
                 packed = (flat.astype(np.float64) * seen).tobytes()
