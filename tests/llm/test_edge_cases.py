@@ -3,6 +3,8 @@
 import random
 
 import hashlib
+import math
+import zlib
 
 import duckdb
 import numpy as np
@@ -308,3 +310,40 @@ def test_line_edits_by_definition(spark):
     out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), count_as="gone")
     assert {r["doc_id"] for r in out.collect() if r["gone"]} == want
     assert 0 < len(want) < len(rows)
+
+
+def test_toxicity_scores_are_the_noisy_or_of_their_sentences():
+    bad, clean = "You are a rotten vuggle. ", "The mill stood by the river. "
+    texts = [(clean * (i % 5 + 1)).encode() for i in range(40)] + [
+        (clean * (i % 4) + bad + clean).encode() for i in range(40)]
+    w = toxicity.fit(texts, [0] * 40 + [1] * 40)
+
+    def alone(part: bytes) -> float:
+        return float(toxicity.score_chunk(next(chunks(pa.array([part], pa.large_binary()), fold=True)), w)[0][0])
+
+    bias = w[-1]
+    for text in {*texts, b"", b"a vuggle. a vuggle! the\nmill"}:
+        none = 1.0
+        for part in text.replace(b"!", b".").replace(b"\n", b".").split(b"."):
+            words = part.split()
+            if words:
+                # the words of a sentence add up, each taken from a sentence of its own
+                odds = sum(math.log(p / (1 - p)) - bias for p in map(alone, words)) + bias
+                none *= 1 - 1 / (1 + math.exp(-odds))
+        assert alone(text) == pytest.approx(1 - none, abs=1e-6)
+
+
+def test_toxicity_fits_on_one_row_an_id(spark):
+    docs = spark.createDataFrame(
+        [(i, f"quiet mill {i}") for i in range(12)] + [(3, "other text")] * 50 + [(3, None), (None, "x")],
+        "doc_id bigint, text string")
+    labels = spark.createDataFrame(
+        [(i, i % 2) for i in range(12)] + [(4, 1), (None, 1)], "doc_id bigint, toxic int")
+    rows = [tuple(r)[:2] for r in toxicity.fit_rows(docs, labels).collect()]
+    learnt = [i for i in range(12) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(rows) == sorted([(i, i % 2) for i in learnt] + ([(4, 1)] if 4 in learnt else []))
+    some = toxicity.fit_rows(docs, labels, limit=2)
+    assert some.groupBy("toxic").count().where("count > 2").isEmpty()
+    texts = sorted((r["doc_id"], r["toxic"], bytes(r["text"])) for r in toxicity.fit_rows(docs, labels).collect())
+    want = toxicity.fit([t for _, _, t in texts], [y for _, y, _ in texts])
+    assert np.allclose(toxicity.train(docs, labels), want)
