@@ -3,9 +3,12 @@
 A tagger factory returns a callable from a list of word lists to a list of
 ``(word_ids, logits)``: one entry per token, ``word_ids`` None for sentence
 markers, ``logits`` one value per label (O, B, I). A scorer factory returns a
-callable from a list of (sentence, term) pairs to a list of class indexes.
-Factories must be picklable; each Python worker builds the model once and feeds
-it slices of ``batch`` rows.
+callable from a list of (sentence, term) pairs to a list of class indexes. A
+segmenter factory returns a callable from a list of texts to a list of texts in
+which the parts of one word are joined by ``_``. Factories must be picklable; each
+Python worker builds the model once and feeds it slices of ``batch`` rows. What a
+tagger returns leaves the worker in pieces, cut by the length of the texts, so that
+a batch of long texts is never held with all its scores.
 """
 
 from __future__ import annotations
@@ -20,6 +23,29 @@ from pyspark.sql.functions import arrow_udf
 
 from opinionmill import schema as S
 from opinionmill.functions import tokens as tk
+from opinionmill.functions.once import computed
+
+
+#: Characters of the texts whose scores a worker holds at once; a longer text stands alone.
+RUN_CHARS = 1 << 20
+
+
+def _runs(most: int) -> Callable:
+    """A cutter of texts into consecutive runs of at most ``most`` characters."""
+    # defined inside so that workers receive it by value
+    def cut(texts: list) -> Iterator[list]:
+        run, size = [], 0
+        for text in texts:
+            more = len(text or "")
+            if run and size + more > most:
+                yield run
+                run, size = [], 0
+            run.append(text)
+            size += more
+        if run:
+            yield run
+
+    return cut
 
 
 def _per_process(model_factory: Callable) -> Callable:
@@ -43,7 +69,7 @@ def _per_process(model_factory: Callable) -> Callable:
 
 
 def _tagger_udf(model_factory: Callable, batch: int):
-    get_model = _per_process(model_factory)
+    get_model, runs = _per_process(model_factory), _runs(RUN_CHARS)
 
     # Defined inside so that workers receive the function by value.
     def tag(chunks: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -55,8 +81,8 @@ def _tagger_udf(model_factory: Callable, batch: int):
             ("logits", pyarrow.list_(pyarrow.float32())),
         ])
         model = get_model()
-        for chunk in chunks:
-            words = [(t or "").split() for t in chunk.to_pylist()]
+        for run in (run for chunk in chunks for run in runs(chunk.to_pylist())):
+            words = [(t or "").split() for t in run]
             rows = [i for i, w in enumerate(words) if w]
             lengths = numpy.zeros(len(words), numpy.int32)
             ids, logits, positions = [], [], []
@@ -100,7 +126,7 @@ def explode_tokens(df: DataFrame, key: str = "sent_id") -> DataFrame:
 
 
 def _word_scores_udf(model_factory: Callable, batch: int, max_len: int):
-    get_model = _per_process(model_factory)
+    get_model, runs = _per_process(model_factory), _runs(RUN_CHARS)
     room = max_len - 2  # without the two sentence markers
 
     def tag(chunks: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -111,8 +137,8 @@ def _word_scores_udf(model_factory: Callable, batch: int, max_len: int):
 
         kind = pyarrow.list_(pyarrow.list_(pyarrow.float32()))
         model = get_model()
-        for chunk in chunks:
-            words = [(t or "").split() for t in chunk.to_pylist()]
+        for run in (run for chunk in chunks for run in runs(chunk.to_pylist())):
+            words = [(t or "").split() for t in run]
             found = [[None] * len(w) for w in words]
             todo = deque((i, 0) for i, w in enumerate(words) if w)
             while todo:
@@ -150,6 +176,35 @@ def token_labels(text: str = "clean", logits: str = "word_logits") -> tuple[Colu
     return tk.split_words(F.col(text)), labels
 
 
+def _segmenter_udf(model_factory: Callable, batch: int):
+    get_model = _per_process(model_factory)
+
+    def segment(chunks: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import pyarrow
+
+        model = get_model()
+        for chunk in chunks:
+            texts = chunk.to_pylist()
+            rows = [i for i, t in enumerate(texts) if t and t.strip()]
+            for start in range(0, len(rows), batch):
+                part = rows[start:start + batch]
+                for i, text in zip(part, model([texts[i] for i in part]), strict=True):
+                    texts[i] = text
+            yield pyarrow.array(texts, pyarrow.string())
+
+    return arrow_udf(segment, "string")
+
+
+def segment_words(
+    df: DataFrame, model_factory: Callable, text: str = "clean", batch: int = 32
+) -> DataFrame:
+    """``df`` with the words of ``text`` segmented; null and blank texts stay as they are."""
+    rest = [c for c in df.columns if c != text]
+    marked = computed(df.withColumnRenamed(text, "__whole"), text,
+                      _segmenter_udf(model_factory, batch)(F.col("__whole")))
+    return marked.select(*[F.col(f"`{c}`") for c in [*rest, text]])
+
+
 def _scorer_udf(model_factory: Callable, batch: int):
     get_model = _per_process(model_factory)
 
@@ -213,6 +268,33 @@ def dictionary_tagger(heads: list[str], tails: list[str]) -> Callable:
     return factory
 
 
+def phrase_segmenter(phrases: list[str]) -> Callable:
+    """Segmenter factory: joins listed phrases, the longest first, from the left.
+
+    Case does not count, and the words of a phrase must be whole words.
+    """
+    def factory():
+        listed = {tuple(p.lower().split()) for p in phrases}
+        longest = max(map(len, listed), default=1)
+
+        def segment(batch):
+            out = []
+            for text in batch:
+                words, joined, at = text.split(), [], 0
+                keys = [w.lower() for w in words]
+                while at < len(words):
+                    size = next((n for n in range(min(longest, len(words) - at), 1, -1)
+                                 if tuple(keys[at:at + n]) in listed), 1)
+                    joined.append("_".join(words[at:at + size]))
+                    at += size
+                out.append(" ".join(joined))
+            return out
+
+        return segment
+
+    return factory
+
+
 def lexicon_scorer(positive: list[str], negative: list[str]) -> Callable:
     """Scorer factory: class 0 when negative words outnumber positive ones."""
     def factory():

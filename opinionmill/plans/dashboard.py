@@ -21,12 +21,14 @@ BOUNDED = ("metrics", "trend", "drivers", "worst_aspects", "best_products", "hea
 
 
 def dashboard_sections(
-    opinions: DataFrame, history: DataFrame | None = None
+    opinions: DataFrame, history: DataFrame | None = None,
+    live: tuple[str, DataFrame] | None = None,
 ) -> DataFrame:
     """All sections whole, as ``(section, place, key, json)`` rows.
 
     ``place`` orders the ranked sections; the unranked ones (heatmap, feed) are
-    ordered by ``key``. Counts come from one cube, so the opinion table is read
+    ordered by ``key``. ``live`` is a sentence just scored and what ``score_one`` found in
+    it: the text is the section ``live_text``, the findings are ``live``. Counts come from one cube, so the opinion table is read
     for the cube, the trend, the samples and the feed only.
     """
     cube = settle(m.opinion_cube(opinions))
@@ -67,13 +69,21 @@ def dashboard_sections(
     ]
     if history is not None:
         parts.append(rows("history", history.withColumn("place", F.col("seq"))))
+    if live is not None:
+        text, found = live
+        parts += [
+            rows("live_text", opinions.sparkSession.range(1).select(F.lit(text).alias("text"))),
+            rows("live", found, "aspect_raw")]
     return reduce(DataFrame.unionByName, parts)
 
 
-def export_dashboard(opinions: DataFrame, path: str, history: DataFrame | None = None) -> None:
+def export_dashboard(
+    opinions: DataFrame, path: str, history: DataFrame | None = None,
+    live: tuple[str, DataFrame] | None = None,
+) -> None:
     """Write the sections as JSON, one folder per section, any amount of rows."""
     (
-        dashboard_sections(opinions, history)
+        dashboard_sections(opinions, history, live)
         .write.mode("overwrite").partitionBy("section").json(path))
 
 

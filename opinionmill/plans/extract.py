@@ -21,8 +21,9 @@ from opinionmill.sources.reviews import clean_reviews, non_empty_reviews
 
 @dataclass(frozen=True)
 class Models:
-    """Tagger and scorer. Factories run in Python workers; without them a
-    dictionary (``heads`` / ``tails``) and a lexicon do the work in the JVM."""
+    """Tagger, scorer and word segmenter. Factories run in Python workers; without
+    them a dictionary (``heads`` / ``tails``) and a lexicon do the work in the JVM,
+    and words are what stands between spaces."""
 
     heads: tuple[str, ...] = ()
     tails: tuple[str, ...] = ()
@@ -30,6 +31,7 @@ class Models:
     negative: tuple[str, ...] = ()
     tagger: Callable | None = field(default=None, compare=False)
     scorer: Callable | None = field(default=None, compare=False)
+    segmenter: Callable | None = field(default=None, compare=False)
     batch: int = 32
 
 
@@ -44,7 +46,9 @@ def models_from_taxonomy(rows, positive=(), negative=()) -> Models:
 def tag_mentions(clean: DataFrame, models: Models) -> DataFrame:
     """One row per aspect span, with the position ``ord`` packed from the review's
     and the span's. A review stays one row until its spans are known, so
-    tagging and grouping need no shuffle."""
+    tagging and grouping need no shuffle. Sentences and terms are in segmented words."""
+    if models.segmenter is not None:
+        clean = scoring.segment_words(clean, models.segmenter, batch=models.batch)
     if models.tagger is None:
         spans = tk.marked_spans(tk.dictionary_marks(
             F.col("clean"), list(models.heads), list(models.tails)))
@@ -90,7 +94,7 @@ def extract_opinions(
     """The opinion table of ``reviews`` (ord, product, text, time_text).
 
     With ``clean`` False the text is tagged as it is. Uncategorised mentions
-    are dropped before scoring. A Python tagger runs once: its mentions are
+    are dropped before scoring. Python models run once: their mentions are
     settled, because fuzzy matching reads them twice. ``memo`` keeps fuzzy matches for
     later runs.
     """
@@ -101,7 +105,7 @@ def extract_opinions(
         ready = non_empty_reviews(
             spread_small(reviews, "ord").withColumn("clean", tx.strip_edges(blank)))
     mentions = tag_mentions(ready, models)
-    if models.tagger is not None and fuzzy:
+    if fuzzy and (models.tagger is not None or models.segmenter is not None):
         mentions = settle(mentions)
     categorised = build_pairs(normalize_aspects(
         mentions, taxonomy, blacklist, fuzzy=fuzzy,

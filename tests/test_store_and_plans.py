@@ -63,6 +63,26 @@ def test_extract_with_python_models(reviews, env):
     assert brief(extract.extract_opinions(reviews, taxonomy, blacklist, models)) == WANT
 
 
+def test_extract_with_segmenter(spark, env):
+    taxonomy, blacklist, m = env
+    seen = spark.createDataFrame(
+        [(0, "P", "Loa Ngoài xấu"), (1, "P", None), (2, "P", "  "), (3, "P", "loa")],
+        "ord bigint, product string, text string").withColumn("time_text", F.lit(""))
+    models = extract.Models(
+        heads=("loa_ngoài", "loa"), tails=(), positive=("tốt",), negative=("xấu",),
+        segmenter=scoring.phrase_segmenter(["loa ngoài", "ngoài xấu"]))
+    found = extract.tag_mentions(rv.clean_reviews(seen), models)
+    got = [tuple(r) for r in found.orderBy("ord").select("sentence", "aspect_raw", "term").collect()]
+    assert got == [("Loa_Ngoài xấu", "Loa Ngoài", "Loa_Ngoài"), ("loa", "loa", "loa")]
+    out = extract.extract_opinions(seen, taxonomy, blacklist, models)
+    got = [tuple(r) for r in out.orderBy("ord").select("category", "aspect_raw", "polarity").collect()]
+    assert got == [("Âm thanh", "Loa Ngoài", "neg"), ("Âm thanh", "loa", "pos")]
+    # an empty table, and columns of other names, pass
+    assert scoring.segment_words(seen.limit(0), models.segmenter, text="text").isEmpty()
+    assert scoring.segment_words(seen, models.segmenter, text="text").where(
+        "ord = 1 and text is null").count() == 1
+
+
 def test_score_one(spark, env):
     got = [tuple(r) for r in extract.score_one(spark, " loa xấu ", *env).collect()]
     assert got == [("Âm thanh", "loa", "neg")]
@@ -226,6 +246,12 @@ def test_dashboard(spark, tmp_path, make_opinions):
     feed = section("feed")
     assert [x["text"] for x in feed] == ['q"', "t1", "t2"]
     assert feed[1]["tags"] == [{"aspect": "Pin", "polarity": "pos"}]
+    found = ops.limit(1).select("category", "aspect_raw", "polarity")
+    live = dashboard.dashboard_sections(ops, live=("pin tốt", found)).where("section like 'live%'")
+    got = {r["section"]: json.loads(r["json"]) for r in live.collect()}
+    assert got["live_text"] == {"text": "pin tốt"} and got["live"]["category"] == found.first()[0]
+    nothing = dashboard.dashboard_sections(ops, live=("x", found.limit(0))).where("section like 'live%'")
+    assert [r["section"] for r in nothing.collect()] == ["live_text"]
     dashboard.export_dashboard(ops, str(tmp_path / "out"))
     feed = spark.read.json(str(tmp_path / "out" / "section=feed"))
     assert feed.count() == 3

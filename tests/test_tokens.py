@@ -109,6 +109,22 @@ def test_model_route_matches_dictionary(spark):
     assert by_model == {**by_dict, 4: long}
 
 
+def test_runs_hold_every_text_once(spark, monkeypatch):
+    texts = ["pin " * n for n in (0, 3, 200, 1, 90, 0, 40)] + [None, "camera sau"]
+    assert [t for run in scoring._runs(100)(texts) for t in run] == texts
+    assert all(len(run) == 1 or sum(len(t or "") for t in run) <= 100 for run in scoring._runs(100)(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, clean string").coalesce(1)
+    model = scoring.dictionary_tagger(["pin", "camera"], ["sau"])
+
+    def scores():
+        words = scoring.score_words(df, model, batch=2).orderBy("i").collect()
+        return words, scoring.score_tokens(df, model, batch=2).orderBy("i").collect()
+
+    whole = scores()
+    monkeypatch.setattr(scoring, "RUN_CHARS", 100)
+    assert scores() == whole
+
+
 def test_long_form_labels(spark):
     df = spark.createDataFrame([(0, "pin sạc nhanh")], "sent_id int, clean string")
     scored = scoring.score_tokens(df, scoring.dictionary_tagger(["pin", "nhanh"], []))

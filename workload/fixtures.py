@@ -30,6 +30,8 @@ MODELS = Models(
 NEAR_MODELS = Models(
     heads=("thatin", "retion", "antion", "hetion", "ention", "edtion", "thonea", "einer", "thtion"),
     tails=("the", "of", "and"), positive=MODELS.positive, negative=MODELS.negative)
+# Phrases that a segmenter makes one word; no second word begins another phrase.
+PHRASES = (*(f"{head} the" for head in MODELS.heads), "thing of", "that and")
 # A day on which every ledger entry of the fixtures was made.
 CLOCK = "2026-01-02 03:04:00"
 

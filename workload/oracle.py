@@ -516,6 +516,12 @@ ORACLE: dict[str, str] = {
           word_id, label from pieces
         union all select sent_id, 0, null, 'O' from ends
         union all select sent_id, last, null, 'O' from ends""",
+    "segment_words": with_(REVIEWS, CLEAN) + f""", words as (
+        select ord, i, w[i] as word, i > 1 and lower(w[i - 1] || ' ' || w[i]) in {strings(fx.PHRASES)} as joins
+        from (select ord, w, unnest(range(1, len(w) + 1)) as i
+              from (select ord, {split('clean')} as w from clean where length(clean) > 0)))
+        select ord, string_agg(case when i = 1 then '' when joins then '_' else ' ' end || word, '' order by i)
+          as segmented from words group by ord""",
     "tag_mentions": with_(REVIEWS, CLEAN, *MENTIONS[:3])
     + "select ord, product, aspect_raw from mentions",
     "build_pairs": with_(REVIEWS, CLEAN, TAXONOMY, *MENTIONS)

@@ -212,6 +212,13 @@ def score_tokens(spark, sf):
         "sent_id", "pos", "word_id", tk.label_name(tk.argmax(F.col("logits"))).alias("label"))
 
 
+@query
+def segment_words(spark, sf):
+    clean = rv.clean_reviews(fx.reviews(spark, sf)).select("ord", "clean")
+    return scoring.segment_words(clean, scoring.phrase_segmenter(fx.PHRASES)).select(
+        "ord", F.col("clean").alias("segmented"))
+
+
 def _mentions(spark, sf):
     return extract.tag_mentions(rv.clean_reviews(fx.reviews(spark, sf)), fx.MODELS)
 
