@@ -109,20 +109,21 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op2_topk_search"] = f"""with
-w as materialized (select doc_id, unnest(regexp_extract_all(
+d as materialized (select row_number() over () as rn, doc_id, text from documents where doc_id is not null),
+w as materialized (select rn, doc_id, unnest(regexp_extract_all(
   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-  '[^{_BLANK}]+')) as word from documents),
-tf as materialized (select doc_id, word, count(*) as tf from w group by all),
-n as materialized (select count(*)::double as docs, (select count(*) from w) / count(*) as mean from documents),
+  '[^{_BLANK}]+')) as word from d),
+tf as materialized (select rn, doc_id, word, count(*) as tf from w group by all),
+n as materialized (select count(*)::double as docs, (select count(*) from w) / count(*) as mean from d),
 df as materialized (select word, ln(1.0 + (any_value(docs) - count(*) + 0.5) / (count(*) + 0.5)) as idf
   from tf, n group by word),
-len as materialized (select doc_id, sum(tf) as dl from tf group by doc_id),
-asked as materialized (select doc_id as query_id, word, idf from tf join df using (word)
-  where doc_id % 50 = 0 qualify row_number() over (partition by doc_id order by tf * idf desc, word) <= {topk_search.TERMS}),
-hit as (select query_id, tf.doc_id, round(sum(idf * tf * {topk_search.K1 + 1} /
+len as materialized (select rn, sum(tf) as dl from tf group by rn),
+asked as materialized (select rn as asked_rn, doc_id as query_id, word, idf from tf join df using (word)
+  where doc_id % 50 = 0 qualify row_number() over (partition by rn order by tf * idf desc, word) <= {topk_search.TERMS}),
+hit as (select asked_rn, query_id, tf.rn, tf.doc_id, round(sum(idf * tf * {topk_search.K1 + 1} /
     (tf + {topk_search.K1} * (1 - {topk_search.B} + {topk_search.B} * dl / mean))), {topk_search.DIGITS}) as score
-  from asked join tf using (word) join len using (doc_id), n group by all)
-select query_id, row_number() over (partition by query_id order by score desc, doc_id)::int as rank, doc_id, score
+  from asked join tf using (word) join len using (rn), n group by all)
+select query_id, row_number() over (partition by asked_rn order by score desc, doc_id)::int as rank, doc_id, score
 from hit qualify rank <= 10"""
 
 

@@ -13,9 +13,12 @@ A query is the ``TERMS`` words of its row with the largest tf * idf, weighed ove
 the whole text. Queries are sent in groups of ``QUERY_GROUP`` (a bounded
 broadcast); further groups take further passes over the documents.
 
-Defined results: null and empty texts have no terms: as documents they are never
-found, as queries they give no rows; rows that share an id are ranked one by one;
-an empty table gives an empty result.
+Defined results: null and empty texts have no terms: as documents they count, but
+are never found, as queries they give no rows. Every row with an id is a document and,
+among the queries, a query of its own, whatever ids repeat: the hits of rows that share
+a query id stand beside each other with ranks of their own, those of equal rows are
+searched once and repeated. Rows without an id are neither counted, found nor asked. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 from opinionmill.llm.tables import written
 from opinionmill.llm.wordarrays import Chunk, chunks
 
+#: What tells queries apart: the id and 128 bits of the text, besides how often the row is there.
+QUERY = ["query_id", "text_a", "text_b", "copies"]
 K1, B = 1.2, 0.75
 TERMS = 16
 SHARD_TOKENS = 1 << 20
@@ -80,22 +85,30 @@ def corpus_statistics(texts: DataFrame) -> tuple[DataFrame, int, float]:
 
 
 def query_terms(queries: DataFrame, terms: DataFrame, n_docs: int, limit: int = TERMS) -> DataFrame:
-    """``query_id, h, idf`` of the heaviest terms of each query."""
+    """``QUERY``, ``h, idf, place`` of the heaviest terms of each query."""
+    # equal rows are one query; the copies of a row combine before the shuffle
+    apart = queries.select(
+        "query_id", F.xxhash64(F.lit(1), "text").alias("text_a"),
+        F.xxhash64(F.lit(2), "text").alias("text_b"), "text").groupBy(*QUERY[:3]).agg(
+        F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(1), fold=True):
+            for chunk in chunks(batch.column(4), fold=True):
                 row, h, tf, s, e = postings(chunk)
+                at = pa.array(row + chunk.first)
                 yield pa.record_batch({
-                    "query_id": batch.column(0).take(pa.array(row + chunk.first)),
+                    **{name: batch.column(i).take(at) for i, name in enumerate(QUERY)},
                     "h": pa.array(h.view(np.int64)), "tf": pa.array(tf, pa.int64()),
                     "word": pa.array([chunk.text(a, b) for a, b in zip(s, e, strict=True)], pa.binary())})
 
-    asked = queries.mapInArrow(run, "query_id bigint, h bigint, tf bigint, word binary")
+    asked = apart.select(*QUERY, "text").mapInArrow(
+        run, ", ".join(f"{c} bigint" for c in QUERY) + ", h bigint, tf bigint, word binary")
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = asked.join(terms, "h").withColumn("idf", idf).withColumn("w", F.col("tf") * F.col("idf"))
-    place = Window.partitionBy("query_id").orderBy(F.desc("w"), "word")
+    place = Window.partitionBy(*QUERY).orderBy(F.desc("w"), "word")
     return weighed.withColumn("place", F.row_number().over(place)).where(
-        F.col("place") <= limit).select("query_id", "h", "idf", "place")
+        F.col("place") <= limit).select(*QUERY, "h", "idf", "place")
 
 
 class Group:
@@ -190,11 +203,15 @@ class Shard:
         return query[keep], doc[keep], score[keep]
 
 
-def _search_group(docs: DataFrame, group: Group, mean: float, k: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(group)
+def _search_group(docs: DataFrame, rows: pa.Table, mean: float, k: int) -> DataFrame:
+    """``QUERY, docs, scores``: each shard's best of the queries in ``rows``, sorted by ``QUERY``."""
+    cells = np.stack([rows[c].to_numpy() for c in QUERY])
+    new = np.append(True, (cells[:, 1:] != cells[:, :-1]).any(axis=0))
+    asked = Group(np.cumsum(new) - 1, rows["h"].to_numpy(), rows["idf"].to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast((asked, cells[:, new]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = shared.value
+        group, named = shared.value
         held: list[tuple] = []
         tokens = n_docs = 0
 
@@ -205,7 +222,8 @@ def _search_group(docs: DataFrame, group: Group, mean: float, k: int) -> DataFra
             bounds = np.append(first, len(q)).astype(np.int32)
             lists = lambda x: pa.ListArray.from_arrays(pa.array(bounds), pa.array(x))
             return pa.record_batch({
-                "query_id": pa.array(group.ids[q[first]], pa.int64()), "docs": lists(d), "scores": lists(s)})
+                **{name: pa.array(named[i][q[first]]) for i, name in enumerate(QUERY)},
+                "docs": lists(d), "scores": lists(s)})
 
         for batch in batches:
             for chunk in chunks(batch.column(1), fold=True):
@@ -221,7 +239,8 @@ def _search_group(docs: DataFrame, group: Group, mean: float, k: int) -> DataFra
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "query_id bigint, docs array<bigint>, scores array<double>")
+    return docs.mapInArrow(
+        run, ", ".join(f"{c} bigint" for c in QUERY) + ", docs array<bigint>, scores array<double>")
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_id",
@@ -236,21 +255,22 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_
         F.col(doc_id).cast("bigint").alias("query_id"), F.col(text).alias("text"))
     stats, n_docs, mean = corpus_statistics(source.select("text"))
     chosen = written(query_terms(asked, stats, n_docs, terms), "query-terms")
-    ids = chosen.select("query_id").distinct().count()
+    ids = chosen.where("place = 1").count()
     groups = max(1, math.ceil(ids / QUERY_GROUP * 1.1)) if ids > QUERY_GROUP else 1
     found = []
     for g in range(groups):
-        mine = chosen.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g)
-        rows = mine.orderBy("query_id", "place").toArrow()  # about QUERY_GROUP * terms rows
+        mine = chosen.where(F.pmod(F.xxhash64(*QUERY), F.lit(groups)) == g)
+        rows = mine.orderBy(*QUERY, "place").toArrow()  # about QUERY_GROUP * terms rows
         if rows.num_rows:
-            group = Group(*(rows[c].to_numpy() for c in ("query_id", "h", "idf")))
-            found.append(_search_group(source, group, mean, k))
+            found.append(_search_group(source, rows, mean, k))
     if not found:
         return docs.sparkSession.createDataFrame(
             [], "query_id bigint, rank int, doc_id bigint, score double")
     best = reduce(DataFrame.union, found).select(
-        "query_id", F.explode(F.arrays_zip("docs", "scores")).alias("x")).select(
-        "query_id", F.col("x.docs").alias("doc_id"), F.col("x.scores").alias("score"))
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return best.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "doc_id", "score")
+        *QUERY, F.explode(F.arrays_zip("docs", "scores")).alias("x")).select(
+        *QUERY, F.col("x.docs").alias("doc_id"), F.col("x.scores").alias("score"))
+    place = Window.partitionBy(*QUERY).orderBy(F.desc("score"), "doc_id")
+    ranked = best.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    return ranked.select(
+        "query_id", "rank", "doc_id", "score",
+        F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy")).drop("copy")

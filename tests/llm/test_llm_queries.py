@@ -41,6 +41,17 @@ def test_with_sql(spark, con, name):
     same(queries.QUERIES[name](spark, SF), con.execute(queries.ORACLE[name]))
 
 
+def test_search_with_repeated_and_missing_ids(spark, tmp_path):
+    texts = ["mill river stone", "mill mill pond", "river river reed stone", "pond reed", "", None, "Mill stone Mill"]
+    ids = [50, 50, 1, None, 2, 100, 50, None, 3]
+    rows = [(ids[i % 9], texts[i % 7]) for i in range(63)] + [(50, "mill river stone")] * 2 + [(None, "mill")] * 3
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(
+        str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    same(queries.QUERIES["op2_topk_search"](spark, str(tmp_path)), c.execute(queries.ORACLE["op2_topk_search"]))
+
+
 def test_repeats_by_definition(spark, con, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP_BYTES", 100_000)
     rows = [(a, (b or "").encode()) for a, b in con.execute("select doc_id, text from documents").fetchall()]
