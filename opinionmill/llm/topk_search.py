@@ -7,7 +7,7 @@ documents into posting lists with the largest impact of every block of
 ``BLOCK_DOCS`` documents. A query's blocks are bounded by the sums of those
 maxima: the most promising are scored first and set the k-th best score, and of
 the others only those whose bound still reaches it are scored. The shards' best
-are merged; ties go to the smaller id. Scores are rounded to 6 decimals first.
+are merged in each task, then across tasks; ties go to the smaller id. Scores are rounded to 6 decimals first.
 
 A query is the ``TERMS`` words of its row with the largest tf * idf, weighed over
 the whole text. Queries are sent in groups of ``QUERY_GROUP`` (a bounded
@@ -204,7 +204,7 @@ class Shard:
 
 
 def _search_group(docs: DataFrame, rows: pa.Table, mean: float, k: int) -> DataFrame:
-    """``QUERY, docs, scores``: each shard's best of the queries in ``rows``, sorted by ``QUERY``."""
+    """``QUERY, docs, scores``: each task's best of the queries in ``rows``, sorted by ``QUERY``."""
     cells = np.stack([rows[c].to_numpy() for c in QUERY])
     new = np.append(True, (cells[:, 1:] != cells[:, :-1]).any(axis=0))
     asked = Group(np.cumsum(new) - 1, rows["h"].to_numpy(), rows["idf"].to_numpy())
@@ -214,10 +214,15 @@ def _search_group(docs: DataFrame, rows: pa.Table, mean: float, k: int) -> DataF
         group, named = shared.value
         held: list[tuple] = []
         tokens = n_docs = 0
+        # the best of all shards so far, at most k of each query
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             ids, lengths, doc, h, tf = (np.concatenate(x) for x in zip(*held, strict=True))
-            q, d, s = Shard(group, ids, lengths, doc, h, tf, mean).best(group, k)
+            more = Shard(group, ids, lengths, doc, h, tf, mean).best(group, k)
+            return Shard._top(*(np.concatenate(x) for x in zip(best, more, strict=True)), k)
+
+        def batch_of(q: np.ndarray, d: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
             first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
             bounds = np.append(first, len(q)).astype(np.int32)
             lists = lambda x: pa.ListArray.from_arrays(pa.array(bounds), pa.array(x))
@@ -234,10 +239,12 @@ def _search_group(docs: DataFrame, rows: pa.Table, mean: float, k: int) -> DataF
                 n_docs += chunk.rows
                 tokens += int(tf.sum())
                 if tokens >= SHARD_TOKENS:
-                    yield flush()
+                    best = flush()
                     held, tokens, n_docs = [], 0, 0
         if held:
-            yield flush()
+            best = flush()
+        if len(best[0]):
+            yield batch_of(*best)
 
     return docs.mapInArrow(
         run, ", ".join(f"{c} bigint" for c in QUERY) + ", docs array<bigint>, scores array<double>")
