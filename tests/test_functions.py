@@ -103,3 +103,9 @@ def test_bands(spark):
 def test_polarity_code(spark):
     got = column(spark, ["positive", "🔴 Tiêu cực", "🟢 Tích cực", "?", None], tx.polarity_code)
     assert got == ["pos", "neg", "pos", "neu", "neu"]
+
+
+def test_even_spaces(spark):
+    """Only runs other than a single U+0020 are replaced."""
+    texts = [*MESSY, "a b", " a  b ", "a \t b\n", "\u3000", "\n \n", " ", "", "a\u2003 b", " \x85 x"]
+    assert column(spark, [*texts, None], tx.even_spaces) == [*(re.sub(r"\s+", " ", t) for t in texts), None]

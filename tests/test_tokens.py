@@ -144,3 +144,16 @@ def test_scorer(spark):
     assert [r["label"] for r in scored.collect()] == ["positive", "negative", "positive"]
     direct = df.select(tk.lexicon_label(F.col("sentence"), ["tốt"], ["xấu"]).alias("l"))
     assert [r["l"] for r in direct.collect()] == ["positive", "negative", "positive"]
+
+
+def test_label_is_told_once_a_review(spark):
+    """Mentions of one review share its label, counted before they become rows."""
+    from opinionmill.plans import extract
+
+    models = extract.Models(heads=("pin", "loa"), positive=("tốt",), negative=("xấu",))
+    df = spark.createDataFrame(
+        [(0, "A", "x", "", "Pin xấu xấu loa tốt pin"), (1, "A", "x", "", "pin tốt"), (2, "A", "x", "", "xấu")],
+        "ord bigint, product string, text string, time_text string, clean string")
+    got = extract.tag_mentions(df, models)
+    assert sorted((r["ord"] >> 20, r["label"]) for r in got.collect()) == [
+        (0, "negative"), (0, "negative"), (0, "negative"), (1, "positive")]
