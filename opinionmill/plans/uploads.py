@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinionmill.operators.taxonomy import validate_categories
 from opinionmill.plans.extract import Models, extract_opinions
+from opinionmill.plans.scale import settle
 from opinionmill.sources import reviews as rv
 from opinionmill.sources.memo import TermMemo
 from opinionmill.sources.store import OpinionStore, file_key
@@ -63,7 +65,8 @@ def analyse_upload(
         known = store.history().where(F.col("hash") == key)
         rows = known.agg(F.max_by("rows", "seq")).first()[0] or 0
     else:
-        raw = rv.dedupe_rows(rv.drop_empty_rows(rv.read_reviews(spark, path)))
+        # read once: the rows are counted, extracted from, and read again by fuzzy matching
+        raw = settle(rv.dedupe_rows(rv.drop_empty_rows(rv.read_reviews(spark, path))))
         store.write(extract_opinions(
             rv.bind_roles(raw, roles), taxonomy, blacklist, models, fuzzy=fuzzy, memo=memo), key)
         rows, stored = raw.count(), store.read(key)
@@ -72,3 +75,49 @@ def analyse_upload(
         [(0, label, now or datetime.now(), rows, key)],
         "batch bigint, name string, ts timestamp, rows bigint, hash string"))
     return Upload(stored, key, reused)
+
+
+def analyse_new_uploads(
+    spark: SparkSession,
+    keys: dict[str, str],
+    roles: rv.Roles,
+    taxonomy: DataFrame,
+    blacklist: DataFrame,
+    models: Models,
+    store: OpinionStore,
+    fuzzy: bool = True,
+    memo: TermMemo | None = None,
+    now: datetime | None = None,
+) -> None:
+    """Analyse CSV files that the store does not hold, each as an upload of its own.
+
+    ``keys`` (some hundred at most) gives the key of each path, as from ``file_keys``. Files
+    with the same columns are read, cleaned, matched and stored together, in one pass
+    whatever their number; repeated rows count within a file only. The ledger gets an
+    entry for each, in the order of the paths. Nothing is stored if a file has not the
+    columns of ``roles``.
+    """
+    headers: dict[tuple[str, ...], list[str]] = {}
+    for path in sorted(keys):
+        headers.setdefault(tuple(rv.csv_columns(spark, unquote(path))), []).append(path)
+    inputs = []
+    for names, paths in headers.items():
+        column = next(f"_upload{i}" for i in range(len(names) + 1) if f"_upload{i}" not in names)
+        known = spark.createDataFrame([(p, keys[p]) for p in paths], f"path string, {column} string")
+        raw = rv.dedupe_rows(rv.drop_empty_rows(rv.read_each_csv(
+            spark, [unquote(p) for p in paths], list(names), known, column), (column,)))
+        rv.bind_roles(raw, roles)  # fails without the columns
+        inputs.append((raw, column, paths))
+    rows: dict[str, int] = {}
+    for raw, column, paths in inputs:
+        raw = settle(raw)
+        found = extract_opinions(
+            rv.bind_roles(raw, roles, keep=(column,)), taxonomy, blacklist, models, fuzzy=fuzzy,
+            memo=memo, keep=(column,))
+        store.write(found.withColumnRenamed(column, "cache_key"), [keys[p] for p in paths])
+        rows |= {r[column]: r["count"] for r in raw.groupBy(column).count().collect()}
+    at = now or datetime.now()
+    entries = [(i, unquote(path).rpartition("/")[2], at, rows.get(keys[path], 0), keys[path])
+               for i, path in enumerate(sorted(keys))]
+    store.append_history(spark.createDataFrame(
+        entries, "batch bigint, name string, ts timestamp, rows bigint, hash string"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinionmill.plans.scale import lookup_join
+from opinionmill.plans.scale import lookup_join, settle
 
 _PLACED = "n bigint, r0 bigint, r1 bigint, i0 boolean, i1 boolean, e0 boolean, e1 boolean"
 
@@ -91,25 +91,31 @@ def _placing(keep: int):
     return place
 
 
-def _range_offsets(placed: DataFrame) -> DataFrame:
-    """``path``, ``start``, ``inside``, ``lines``, ``records`` before each range.
-
-    The ranges of a file are folded in one row: some bytes for each range of it.
-    """
-    sums = placed.groupBy("path", "start").agg(
+def _range_sums(placed: DataFrame) -> DataFrame:
+    return placed.groupBy("path", "start").agg(
         F.max("n").alias("n"), F.max("r0").alias("r0"), F.max("r1").alias("r1"),
         F.max_by("e0", "n").alias("e0"), F.max_by("e1", "n").alias("e1"))
+
+
+def _range_offsets(sums: DataFrame) -> DataFrame:
+    """``path``, ``start``, ``inside``, ``lines``, ``records`` before each range, and how
+    many records are ``begun`` in it.
+
+    The ranges of a file are folded in one row: some bytes for each range of it. They are
+    settled, so that the files are read for them once, however often the lines are used.
+    """
     ranges = sums.groupBy("path").agg(F.array_sort(F.collect_list(
         F.struct("start", "n", "r0", "r1", "e0", "e1"))).alias("ranges"))
     zero = F.lit(0).cast("bigint")
-    entry = "array<struct<start:bigint,inside:boolean,lines:bigint,records:bigint>>"
+    entry = "array<struct<start:bigint,inside:boolean,lines:bigint,records:bigint,begun:bigint>>"
 
     def step(state: Column, x: Column) -> Column:
         def pick(outside: str, within: str) -> Column:
             return F.when(state["inside"], x[within]).otherwise(x[outside])
 
         now = F.struct(x["start"].alias("start"), state["inside"].alias("inside"),
-                       state["lines"].alias("lines"), state["records"].alias("records"))
+                       state["lines"].alias("lines"), state["records"].alias("records"),
+                       pick("r0", "r1").alias("begun"))
         return F.struct(
             pick("e0", "e1").alias("inside"), (state["lines"] + x["n"]).alias("lines"),
             (state["records"] + pick("r0", "r1")).alias("records"),
@@ -117,15 +123,17 @@ def _range_offsets(placed: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(False).alias("inside"), zero.alias("lines"), zero.alias("records"),
                      F.array().cast(entry).alias("out"))
-    return ranges.select("path", F.inline(F.aggregate("ranges", start, step, lambda s: s["out"])))
+    return settle(ranges.select(
+        "path", F.inline(F.aggregate("ranges", start, step, lambda s: s["out"]))))
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``path``, ``line`` (0, 1, … in its file), ``value``: every line between line feeds."""
     raw = _raw_lines(spark, path)
     none = [F.lit(False).alias(c) for c in ("ends", "turns", "blank")]
-    at = raw.select("path", "start", *none).mapInArrow(
-        _placing(2), f"path string, start bigint, {_PLACED}")
+    zero, no = F.lit(0).cast("bigint"), F.lit(False)
+    at = raw.groupBy("path", "start").agg(F.count(F.lit(1)).alias("n")).withColumns(
+        {"r0": zero, "r1": zero, "e0": no, "e1": no})  # lines alone, whatever is quoted
     rows = raw.select("path", "start", "value", *none).mapInArrow(
         _placing(3), f"path string, start bigint, value string, {_PLACED}")
     return _at_offsets(rows, _range_offsets(at)).select(
@@ -140,7 +148,15 @@ def _at_offsets(rows: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def quoted_records(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
-    """``path``, ``record`` (0, 1, … in its file), ``text``: records of quoted cells.
+    """``path``, ``record`` (0, 1, … in its file), ``text``, see ``records_of_files``."""
+    return records_of_files(spark, path, sep)[0]
+
+
+def records_of_files(
+    spark: SparkSession, path: str | list[str], sep: str = ","
+) -> tuple[DataFrame, DataFrame]:
+    """``path``, ``record`` (0, 1, … in its file), ``text``: records of quoted cells; and
+    the ``path`` of every file that holds any, told without another reading.
 
     Line breaks inside quotes belong to their cell. A quote is doubled inside quotes;
     a quote in the midst of an unquoted cell is a letter. Blank lines between records do
@@ -157,7 +173,9 @@ def quoted_records(spark: SparkSession, path: str | list[str], sep: str = ",") -
     def pick(name: str) -> Column:
         return F.when(F.col("inside"), F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
 
-    lines = _at_offsets(rows, _range_offsets(at)).select(
+    offsets = _range_offsets(_range_sums(at))
+    files = offsets.where("begun > 0").select("path").distinct()
+    lines = _at_offsets(rows, offsets).select(
         "path", (F.col("records") + pick("r") - 1).alias("record"),
         (F.col("lines") + F.col("n")).alias("line"), "value",
         pick("i").alias("begins_inside"), pick("e").alias("ends_inside"))
@@ -171,4 +189,4 @@ def quoted_records(spark: SparkSession, path: str | list[str], sep: str = ",") -
     found = lines.where(whole).select("path", "record", F.col("value").alias("text")).unionByName(joined)
     return found.withColumn("text", F.when(
         F.endswith("text", F.lit("\r")), F.expr("substring(text, 1, length(text) - 1)")
-    ).otherwise(F.col("text")))
+    ).otherwise(F.col("text"))), files
