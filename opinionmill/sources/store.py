@@ -156,21 +156,26 @@ class OpinionStore:
 
     # opinions
 
-    def write(self, opinions: DataFrame, cache_key: str | None = None) -> None:
-        """Store opinions; with ``cache_key`` None the frame brings the column.
+    def write(self, opinions: DataFrame, cache_key: str | list[str] | None = None) -> None:
+        """Store opinions; with ``cache_key`` None or a list the frame brings the column.
 
         Tables of the same keys are replaced, by an empty one too if ``cache_key`` names
         it. Rows stay where they were computed: one large input is written by many tasks.
+        Those of a list of keys are dealt by key, large ones cut, so that not every task
+        writes a file for every key.
         """
-        if cache_key is not None:
-            if not valid_key(cache_key):
-                raise ValueError("cache key may hold letters, digits, _ and - only")
+        named = [cache_key] if isinstance(cache_key, str) else cache_key or []
+        if not all(valid_key(k) for k in named):
+            raise ValueError("cache key may hold letters, digits, _ and - only")
+        if isinstance(cache_key, str):
             opinions = opinions.withColumn("cache_key", F.lit(cache_key))
         else:
             key = F.col("cache_key")
             opinions = opinions.withColumn("cache_key", F.when(
                 key.rlike("^[A-Za-z0-9_-]+$"), key).otherwise(F.raise_error(F.lit(
                     "cache key may hold letters, digits, _ and - only"))))
+            if named:
+                opinions = opinions.hint("rebalance", F.col("cache_key"))
         commit = uuid.uuid4().hex
         cols = [f.name for f in S.OPINIONS.fields]
         (
@@ -182,9 +187,9 @@ class OpinionStore:
               ).write.parquet(cubes)
         keys = self.spark.read.schema("cache_key string, total bigint").parquet(cubes).groupBy(
             "cache_key").agg(F.sum("total").alias("rows"))
-        if cache_key is not None:
-            named = self.spark.createDataFrame([(cache_key,)], "cache_key string")
-            keys = named.join(keys, "cache_key", "left").fillna(0, "rows")
+        if named:
+            listed = self.spark.createDataFrame([(k,) for k in named], "cache_key string")
+            keys = listed.join(keys, "cache_key", "full").fillna(0, "rows")
         keys.write.parquet(f"{self.keys_path}/commit={commit}")
         self.log.append(commit, "write", 0)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from opinionmill.plans.extract import Models, extract_opinions
-from opinionmill.plans.uploads import analyse_upload, file_keys
+from opinionmill.plans.uploads import analyse_new_uploads, file_keys
 from opinionmill.sources.reviews import Roles
 from opinionmill.sources.store import OpinionStore, valid_key
 
@@ -61,6 +61,7 @@ def score_uploads(
     are computed in one job and joined against the store, so that a file whose content
     was analysed before, in a batch run or under another name, is neither parsed nor
     stored again; of equal files that arrive together the first in name order is taken.
+    The new files of a micro-batch are analysed together, see ``analyse_new_uploads``.
     A batch replayed after a failure finds what it has stored already.
     """
     arrived = (
@@ -73,10 +74,10 @@ def score_uploads(
         keys = file_keys(batch.sparkSession, paths, roles).join(
             store.keys().select("cache_key"), "cache_key", "left_anti")
         new = keys.groupBy("cache_key").agg(F.min("path").alias("path"))
-        for row in sorted(new.collect(), key=lambda r: r["path"]):
-            analyse_upload(
-                batch.sparkSession, row["path"], roles, taxonomy, blacklist, models, store,
-                fuzzy=fuzzy)
+        found = {r["path"]: r["cache_key"] for r in new.collect()}
+        if found:
+            analyse_new_uploads(
+                batch.sparkSession, found, roles, taxonomy, blacklist, models, store, fuzzy=fuzzy)
 
     return (
         arrived.writeStream.foreachBatch(save)

@@ -246,3 +246,43 @@ def test_cube_follows_the_tables(spark, tmp_path, make_opinions):
     assert same() == 1
     store.write(a.limit(0), "a")
     assert same() == 0
+
+
+def test_files_of_a_batch_are_analysed_together(spark, tmp_path, monkeypatch):
+    """One extraction for all files with the same columns, each stored as on its own."""
+    taxonomy, blacklist = tax.taxonomy_from_map(spark, {"Pin": ("pin",)}), tax.blacklist_from_terms(spark)
+    models = extract.Models(heads=("pin",), positive=("tốt",), negative=("xấu",))
+    (tmp_path / "in").mkdir()
+    texts = {
+        "a%41 b": 'comment,product\n"pin\ntốt",A\n"pin\ntốt",A\n,\npin xấu,B\n', "b": "comment,product\npin xấu,B\n",
+        "c": "comment,product\n", "d": "product,comment,n\nA,pin tốt,\nA,pin tốt,7\n", "e": "comment,product\nloa,C\n"}
+    for name, text in texts.items():
+        (tmp_path / "in" / f"{name}.csv").write_text(text, encoding="utf-8")
+    args = (rv.Roles("comment", "product"), taxonomy, blacklist, models)
+    calls = []
+
+    def watched(*a, **k):
+        calls.append(1)
+        return extract.extract_opinions(*a, **k)
+
+    monkeypatch.setattr("opinionmill.plans.uploads.extract_opinions", watched)
+    store = st.OpinionStore(spark, str(tmp_path / "store"))
+    score_uploads(spark, str(tmp_path / "in"), *args, store, str(tmp_path / "progress")).awaitTermination()
+    assert len(calls) == 2  # two kinds of header
+    alone = st.OpinionStore(spark, str(tmp_path / "alone"))
+    for name in ("b", "c", "d", "e"):
+        analyse_upload(spark, str(tmp_path / "in" / f"{name}.csv"), *args, alone)
+    got, want = ([tuple(r) for r in s.all().orderBy("cache_key", "ord").collect()] for s in (store, alone))
+    assert set(want) <= set(got) and len(got) == len(want) + 2 == 5
+    ledger = [(r["seq"], r["name"], r["rows"]) for r in store.history().orderBy("seq").collect()]
+    assert ledger == [(1, "a%41 b.csv", 2), (2, "b.csv", 1), (3, "c.csv", 0), (4, "d.csv", 2), (5, "e.csv", 1)]
+    assert {r["cache_key"]: r["rows"] for r in alone.keys().collect()}.items() <= {
+        r["cache_key"]: r["rows"] for r in store.keys().collect()}.items()
+
+
+def test_rows_of_a_file_need_one_reading(spark, tmp_path):
+    """Offsets and files are settled; what uses the rows reads the file once more."""
+    (tmp_path / "x.csv").write_text("comment\n" + "pin\n" * 50, encoding="utf-8")
+    rows = rv.read_reviews(spark, str(tmp_path / "x.csv"))
+    plan = rows.where("comment = 'pin'")._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.count() == 50 and 1 <= plan.count("] text") <= 2  # whole lines, and pieces
