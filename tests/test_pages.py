@@ -38,3 +38,13 @@ def test_feed_pages(spark, tmp_path, make_opinions):
             sorted(map(str, fd.feed_page(feed, page=page).select("row", "text", "page", "pages").collect()))
         assert sorted(map(str, fd.stored_facet_page(spark, str(tmp_path), page).collect())) == \
             sorted(map(str, fd.facet_page(feed, page=page).collect()))
+
+
+def test_facet_is_counted_from_the_written_feed(spark, tmp_path, make_opinions, monkeypatch):
+    opinions = make_opinions([("A", "t", "Pin", "pos"), ("B", "u", "Pin", "neg"), (None, "v", None, "neu"), ("A", "w", "x", "pos")])
+    seen, counts = [], fd.product_facet_counts
+    monkeypatch.setattr(fd, "product_facet_counts", lambda feed: seen.append(feed) or counts(feed))
+    fd.store_feed(fd.review_feed(opinions), str(tmp_path))
+    assert seen[0].inputFiles() and all("/feed/rows/" in f for f in seen[0].inputFiles())
+    rows = [(r["product"], r["items"]) for r in fd.stored_facet_page(spark, str(tmp_path)).orderBy("row").collect()]
+    assert rows == [("A", 2), ("B", 1), (None, 1)]
