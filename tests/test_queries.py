@@ -46,3 +46,13 @@ def test_query(spark, con, name):
     cols = [d[0] for d in rel.description]
     assert sorted(cols) == sorted(df.columns)
     assert canon(rows, df.columns) == canon(rel.fetchall(), cols)
+
+
+def test_dashboard_joins_its_opinions_once(spark, monkeypatch):
+    """The sections read a stored table, and review texts are joined to narrow rows."""
+    from workload import queries
+
+    seen = []
+    monkeypatch.setattr(queries.dashboard, "dashboard_sections", lambda o: seen.append(o) or o)
+    QUERIES["dashboard_json"](spark, SF)
+    assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
