@@ -286,3 +286,13 @@ def test_rows_of_a_file_need_one_reading(spark, tmp_path):
     rows = rv.read_reviews(spark, str(tmp_path / "x.csv"))
     plan = rows.where("comment = 'pin'")._jdf.queryExecution().optimizedPlan().toString()
     assert rows.count() == 50 and 1 <= plan.count("] text") <= 2  # whole lines, and pieces
+
+
+def test_memo_takes_its_terms_once(spark, tmp_path):
+    """What is returned comes from the terms as written, not from the input again."""
+    (tmp_path / "terms").write_text("camerra\nzzz\n", encoding="utf-8")
+    terms = spark.read.text(str(tmp_path / "terms")).withColumnRenamed("value", "s")
+    got = TermMemo(spark, str(tmp_path / "memo")).categories(
+        terms, tax.taxonomy_from_map(spark, {"Camera": ("camera",)}))
+    assert [tuple(r) for r in got.collect()] == [("camerra", "Camera")]
+    assert got.inputFiles() and not any(f.endswith("/terms") for f in got.inputFiles())
