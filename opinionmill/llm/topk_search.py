@@ -9,6 +9,10 @@ maxima: the most promising are scored first and set the k-th best score, and of
 the others only those whose bound still reaches it are scored. The shards' best
 are merged in each task, then across tasks; ties go to the smaller id. Scores are rounded to 6 decimals first.
 
+Documents are dealt by hash to levels, the first of about ``FIRST_DOCS``, all up to a level
+``GROWTH`` times those before. A level hands out only what beats the k-th best of the
+levels before it, so that a query's rows grow with the number of levels, not of tasks.
+
 A query is the ``TERMS`` words of its row with the largest tf * idf, weighed over
 the whole text. Queries are sent in groups of ``QUERY_GROUP`` (a bounded
 broadcast); further groups take further passes over the documents.
@@ -26,10 +30,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinionmill.llm.tables import written
@@ -42,6 +48,7 @@ TERMS = 16
 SHARD_TOKENS = 1 << 20
 BLOCK_DOCS = 64
 QUERY_GROUP = 16_384
+FIRST_DOCS, FIRST_TASKS, GROWTH = 8192, 2, 8
 DIGITS = 6
 
 
@@ -149,8 +156,10 @@ class Shard:
         self.block_bounds = np.searchsorted(
             self.block_key, np.arange(len(group.terms) + 1) * self.blocks)
 
-    def best(self, group: Group, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query number, document id and score of every query's best ``k``."""
+    def best(self, group: Group, k: int, floor: np.ndarray | None = None
+             ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query number, document id and score of every query's best ``k``; those with less
+        than ``floor``, a score for each query, may be left out."""
         empty = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         n = np.diff(self.block_bounds)[group.term]
         entry = _spread(self.block_bounds[:-1][group.term], n)
@@ -165,20 +174,22 @@ class Shard:
         bound = np.add.reduceat(self.block_max[entry], first)
         per_cell = np.diff(np.append(first, len(cell)))
         owner = cell[first] // self.blocks
+        open_ = np.ones(len(first), bool) if floor is None else bound + 10.0 ** -DIGITS >= floor[owner]
         # round one: blocks with the largest bounds, k of each query at most
         rank = np.lexsort((-bound, owner))
         begin = np.searchsorted(owner, owner[rank])
         lead = np.zeros(len(first), bool)
         lead[rank] = np.arange(len(first)) - begin < k
+        lead &= open_
         q1, d1, s1 = self._score(entry, first, per_cell, owner, lead)
         q1, d1, s1 = self._top(q1, d1, s1, k)
         # the k-th best so far prunes the rest
         full = np.bincount(q1, minlength=len(group.ids))
         least = np.full(len(group.ids), -np.inf)
-        last = np.append(q1[1:] != q1[:-1], True)
+        last = np.append(q1[1:] != q1[:-1], True)[: len(q1)]
         least[q1[last]] = s1[last]
         least[full < k] = -np.inf
-        rest = ~lead & (bound + 10.0 ** -DIGITS >= least[owner])
+        rest = ~lead & open_ & (bound + 10.0 ** -DIGITS >= least[owner])
         q2, d2, s2 = self._score(entry, first, per_cell, owner, rest)
         return self._top(*(np.concatenate(x) for x in ((q1, q2), (d1, d2), (s1, s2))), k)
 
@@ -203,15 +214,34 @@ class Shard:
         return query[keep], doc[keep], score[keep]
 
 
-def _search_group(docs: DataFrame, rows: pa.Table, mean: float, k: int) -> DataFrame:
-    """``QUERY, docs, scores``: each task's best of the queries in ``rows``, sorted by ``QUERY``."""
-    cells = np.stack([rows[c].to_numpy() for c in QUERY])
-    new = np.append(True, (cells[:, 1:] != cells[:, :-1]).any(axis=0))
-    asked = Group(np.cumsum(new) - 1, rows["h"].to_numpy(), rows["idf"].to_numpy())
-    shared = docs.sparkSession.sparkContext.broadcast((asked, cells[:, new]))
+class Asked:
+    """A group of queries, shared with the tasks, and the names of its queries in order."""
+
+    def __init__(self, spark: SparkSession, rows: pa.Table) -> None:
+        cells = np.stack([rows[c].to_numpy() for c in QUERY])
+        new = np.append(True, (cells[:, 1:] != cells[:, :-1]).any(axis=0))
+        self.spark, self.named = spark, cells[:, new]
+        self.shared = spark.sparkContext.broadcast(
+            (Group(np.cumsum(new) - 1, rows["h"].to_numpy(), rows["idf"].to_numpy()), self.named))
+
+    def floors(self, last: DataFrame | None) -> Broadcast:
+        """Score and document of each query's ``last`` hit, for as many as have one."""
+        score, doc = np.full(self.named.shape[1], -np.inf), np.zeros(self.named.shape[1], np.int64)
+        if last is not None:
+            place = {name: i for i, name in enumerate(zip(*self.named.tolist(), strict=True))}
+            found = last.select(*QUERY, "doc_id", "score").toArrow()  # a row a query
+            at = [place[name] for name in zip(*(found[c].to_pylist() for c in QUERY), strict=True)]
+            score[at], doc[at] = found["score"].to_numpy(), found["doc_id"].to_numpy()
+        return self.spark.sparkContext.broadcast((score, doc))
+
+
+def _search_group(docs: DataFrame, asked: Asked, last: DataFrame | None, mean: float, k: int) -> DataFrame:
+    """``QUERY, docs, scores``: each task's best of the queries asked, sorted by ``QUERY``,
+    without those that do not come before the query's ``last``."""
+    shared, floors = asked.shared, asked.floors(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, named = shared.value
+        (group, named), (floor, floor_doc) = shared.value, floors.value
         held: list[tuple] = []
         tokens = n_docs = 0
         # the best of all shards so far, at most k of each query
@@ -219,8 +249,10 @@ def _search_group(docs: DataFrame, rows: pa.Table, mean: float, k: int) -> DataF
 
         def flush() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             ids, lengths, doc, h, tf = (np.concatenate(x) for x in zip(*held, strict=True))
-            more = Shard(group, ids, lengths, doc, h, tf, mean).best(group, k)
-            return Shard._top(*(np.concatenate(x) for x in zip(best, more, strict=True)), k)
+            q, d, s = Shard(group, ids, lengths, doc, h, tf, mean).best(group, k, floor)
+            ahead = (s > floor[q]) | (s == floor[q]) & (d < floor_doc[q])
+            return Shard._top(*(np.concatenate(x) for x in zip(
+                best, (q[ahead], d[ahead], s[ahead]), strict=True)), k)
 
         def batch_of(q: np.ndarray, d: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
             first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
@@ -250,6 +282,19 @@ def _search_group(docs: DataFrame, rows: pa.Table, mean: float, k: int) -> DataF
         run, ", ".join(f"{c} bigint" for c in QUERY) + ", docs array<bigint>, scores array<double>")
 
 
+def _levels(source: DataFrame, n_docs: int) -> list[DataFrame]:
+    """The documents in disjoint parts; all together up to each ``GROWTH`` times as many as
+    before. The first is small and searched by few tasks."""
+    if n_docs <= FIRST_DOCS:
+        return [source]
+    u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    cuts = [0]
+    while cuts[-1] < 1 << 40:
+        cuts.append(min(1 << 40, cuts[-1] * GROWTH or (1 << 40) * FIRST_DOCS // n_docs + 1))
+    parts = [source.where((u >= a) & (u < b)) for a, b in pairwise(cuts)]
+    return [parts[0].repartition(FIRST_TASKS), *parts[1:]]
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_id",
            text: str = "text", terms: int = TERMS) -> DataFrame:
     """``query_id, rank, doc_id, score``: the ``k`` best documents of each query.
@@ -264,20 +309,30 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_
     chosen = written(query_terms(asked, stats, n_docs, terms), "query-terms")
     ids = chosen.where("place = 1").count()
     groups = max(1, math.ceil(ids / QUERY_GROUP * 1.1)) if ids > QUERY_GROUP else 1
-    found = []
+    asked = []
     for g in range(groups):
         mine = chosen.where(F.pmod(F.xxhash64(*QUERY), F.lit(groups)) == g)
         rows = mine.orderBy(*QUERY, "place").toArrow()  # about QUERY_GROUP * terms rows
         if rows.num_rows:
-            found.append(_search_group(source, rows, mean, k))
-    if not found:
+            asked.append((g, Asked(docs.sparkSession, rows)))
+    if not asked:
         return docs.sparkSession.createDataFrame(
             [], "query_id bigint, rank int, doc_id bigint, score double")
-    best = reduce(DataFrame.union, found).select(
-        *QUERY, F.explode(F.arrays_zip("docs", "scores")).alias("x")).select(
-        *QUERY, F.col("x.docs").alias("doc_id"), F.col("x.scores").alias("score"))
     place = Window.partitionBy(*QUERY).orderBy(F.desc("score"), "doc_id")
-    ranked = best.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    ranked = None
+    for part in _levels(source, n_docs):
+        if ranked is not None:
+            ranked = written(ranked, "best-so-far")
+        found = []
+        for g, group in asked:
+            last = None if ranked is None else ranked.where(
+                (F.col("rank") == k) & (F.pmod(F.xxhash64(*QUERY), F.lit(groups)) == g))
+            found.append(_search_group(part, group, last, mean, k))
+        best = reduce(DataFrame.union, found).select(
+            *QUERY, F.explode(F.arrays_zip("docs", "scores")).alias("x")).select(
+            *QUERY, F.col("x.docs").alias("doc_id"), F.col("x.scores").alias("score"))
+        best = best if ranked is None else best.union(ranked.drop("rank"))
+        ranked = best.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
     return ranked.select(
         "query_id", "rank", "doc_id", "score",
         F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy")).drop("copy")

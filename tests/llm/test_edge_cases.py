@@ -189,6 +189,28 @@ def test_block_pruning_is_exact(monkeypatch):
         assert np.allclose(s[mine], [-x for x, _ in best], atol=2e-6) and len(best) == mine.sum()
 
 
+def test_search_hands_out_rows_by_levels(spark, monkeypatch):
+    """A query's rows do not grow with the tasks; ids repeat, texts are alike or equal."""
+    draw = random.Random(3)
+    texts = [" ".join(f"w{min(int(draw.expovariate(0.02)), 200)}" for _ in range(30)) for _ in range(900)]
+    rows = [(i % 1100 if i % 7 else None, texts[i % 900 if i % 5 else i % 40]) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(30)
+    asked = docs.where("doc_id % 50 = 0")
+    handed, group = [], topk_search._search_group
+
+    def spied(*args):
+        found = group(*args)
+        handed.append(found.selectExpr("coalesce(sum(size(docs)), 0)").first()[0])
+        return found
+
+    whole = sorted(tuple(r) for r in topk_search.search(docs, asked, k=4).collect())
+    monkeypatch.setattr(topk_search, "FIRST_DOCS", 100, raising=False)
+    monkeypatch.setattr(topk_search, "GROWTH", 3, raising=False)
+    monkeypatch.setattr(topk_search, "_search_group", spied)
+    assert sorted(tuple(r) for r in topk_search.search(docs, asked, k=4).collect()) == whole
+    assert sum(handed) <= asked.distinct().count() * 4 * 10  # 2 tasks, then 2 for each level
+
+
 def out_of_words(spark):
     """How much lower a token of invented words scores than one of prose."""
     draw = random.Random(8)
