@@ -96,14 +96,21 @@ def contexts(ids: np.ndarray, bounds: np.ndarray, at: np.ndarray | None = None)
         at = np.arange(len(ids))
     else:
         first, last = first[at], last[at]
-    out = np.full((len(at), 2 * SIDE), TOP + RARE, np.int64)
+    out = np.empty((len(at), 2 * SIDE), np.int64)
+    padded = np.concatenate([np.zeros(SIDE, ids.dtype), ids, np.zeros(SIDE, ids.dtype)])
+    before, after = at - first, last - 1 - at
     for j, step in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):
-        place = at + step
-        inside = (place >= first) & (place < last)
-        out[inside, j] = ids[place[inside]]
+        out[:, j] = padded.take(at + (step + SIDE))
+        out[np.flatnonzero(before < -step if step < 0 else after < step), j] = TOP + RARE
     return out
 
 
+def _by_class(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each token, tokens in class order, and where each class begins there."""
+    group = (ids // MEMBERS).astype(np.uint8)  # few bits sort by counting
+    return group, np.argsort(group, kind="stable"), np.append(0, np.cumsum(np.bincount(group, minlength=CLASSES)))
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     """The softmax of each row, in place."""
     x -= x.max(axis=1, keepdims=True)
@@ -122,15 +129,15 @@ def _log_softmax_at(x: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def log_probs(p: dict[str, np.ndarray], window: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Log-probability of each token given its window."""
-    hidden = np.tanh(p["embed"][window].reshape(len(ids), -1) @ p["into"] + p["into_bias"])
-    group, member = ids // MEMBERS, ids % MEMBERS
+    hidden = np.tanh(p["embed"].take(window, axis=0).reshape(len(ids), -1) @ p["into"] + p["into_bias"])
+    group, order, cut = _by_class(ids)
     out = _log_softmax_at(hidden @ p["classes"] + p["classes_bias"], group)
-    order = np.argsort(group, kind="stable")
-    cut = np.searchsorted(group[order], np.arange(CLASSES + 1))
+    hidden, member, inner = hidden[order], (ids % MEMBERS)[order], np.empty_like(out)
     for c in range(CLASSES):
-        rows = order[cut[c]: cut[c + 1]]
-        if len(rows):
-            out[rows] += _log_softmax_at(hidden[rows] @ p["words"][c] + p["words_bias"][c], member[rows])
+        a, b = cut[c: c + 2]
+        if a < b:
+            inner[a:b] = _log_softmax_at(hidden[a:b] @ p["words"][c] + p["words_bias"][c], member[a:b])
+    out[order] += inner
     return out
 
 
@@ -139,25 +146,25 @@ def train_step(flat: np.ndarray, square: np.ndarray, window: np.ndarray, ids: np
     p, n = views(flat), len(ids)
     grad = np.zeros_like(flat)
     g = views(grad)
-    x = p["embed"][window].reshape(n, -1)
+    x = p["embed"].take(window, axis=0).reshape(n, -1)
     hidden = np.tanh(x @ p["into"] + p["into_bias"])
-    group, member = ids // MEMBERS, ids % MEMBERS
+    group, order, cut = _by_class(ids)
     miss = -_softmax(hidden @ p["classes"] + p["classes_bias"])
     miss[np.arange(n), group] += 1
     g["classes"][...] = hidden.T @ miss
     g["classes_bias"][...] = miss.sum(0)
     back = miss @ p["classes"].T
-    order = np.argsort(group, kind="stable")
-    cut = np.searchsorted(group[order], np.arange(CLASSES + 1))
+    ordered, member, inner = hidden[order], (ids % MEMBERS)[order], np.empty_like(back)
     for c in range(CLASSES):
-        rows = order[cut[c]: cut[c + 1]]
-        if len(rows):
-            h = hidden[rows]
+        a, b = cut[c: c + 2]
+        if a < b:
+            h = ordered[a:b]
             miss = -_softmax(h @ p["words"][c] + p["words_bias"][c])
-            miss[np.arange(len(rows)), member[rows]] += 1
+            miss[np.arange(b - a), member[a:b]] += 1
             g["words"][c] = h.T @ miss
             g["words_bias"][c] = miss.sum(0)
-            back[rows] += miss @ p["words"][c].T
+            inner[a:b] = miss @ p["words"][c].T
+    back[order] += inner
     back *= 1 - hidden * hidden
     g["into"][...] = x.T @ back
     g["into_bias"][...] = back.sum(0)

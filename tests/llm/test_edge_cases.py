@@ -211,6 +211,25 @@ def test_search_hands_out_rows_by_levels(spark, monkeypatch):
     assert sum(handed) <= asked.distinct().count() * 4 * 10  # 2 tasks, then 2 for each level
 
 
+def test_windows_and_classes_of_tokens():
+    """Windows stop at row ends, for all tokens or some; classes are told in few bits."""
+    pl, rng = pseudo_likelihood, np.random.default_rng(5)
+    bounds = np.array([0, 0, 1, 3, 3, 7, 40, 40])
+    ids = rng.integers(0, pl.TOP + pl.RARE, 40)
+    none = pl.TOP + pl.RARE
+    steps = [*range(-pl.SIDE, 0), *range(1, pl.SIDE + 1)]
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    want = np.array([[ids[i + d] if bounds[row[i]] <= i + d < bounds[row[i] + 1] else none for d in steps]
+                     for i in range(40)])
+    some = np.array([0, 2, 3, 6, 7, 38, 39])
+    assert (pl.contexts(ids, bounds) == want).all() and (pl.contexts(ids, bounds, some) == want[some]).all()
+    assert pl.contexts(ids[:0], np.array([0, 0])).shape == (0, 2 * pl.SIDE)
+    group, order, cut = pl._by_class(ids)
+    assert group.itemsize == 1 and len(cut) == pl.CLASSES + 1
+    assert order.tolist() == sorted(range(40), key=lambda i: ids[i] // pl.MEMBERS)
+    assert all((group[order[cut[c]: cut[c + 1]]] == c).all() for c in range(pl.CLASSES))
+
+
 def out_of_words(spark):
     """How much lower a token of invented words scores than one of prose."""
     draw = random.Random(8)
