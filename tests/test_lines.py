@@ -90,3 +90,35 @@ def test_empty_file(spark, tmp_path):
     (tmp_path / "x").write_bytes(b"")
     assert lines.numbered_lines(spark, str(tmp_path / "x")).isEmpty()
     assert lines.quoted_records(spark, str(tmp_path / "x")).isEmpty()
+
+
+def test_records_inside_a_range_need_no_shuffle(spark, tmp_path):
+    """Lines of a cell are joined where they are read, over batches too; of records that
+    cross ranges only the pieces are shuffled."""
+    rows = [*random_rows(5), ["long", "\n".join(f"line {i}" for i in range(40)), "\n\n"]]
+    (tmp_path / "x.csv").write_bytes(table_text(rows, quoting=csv.QUOTE_ALL).encode())
+    want = [next(csv.reader(io.StringIO(t, newline=""))) for t in (table_text([r]) for r in rows)]
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.files.maxPartitionBytes",
+            "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for size in ("134217728", "300"):
+            for k, v in zip(keys, ("3", size, size), strict=True):
+                spark.conf.set(k, v)
+            found = lines.quoted_records(spark, str(tmp_path / "x.csv"))
+            got = [r["text"] for r in found.orderBy("record").collect()]
+            assert [next(csv.reader(io.StringIO(t + "\n", newline=""))) for t in got] == want
+            shuffled = "hashpartitioning" in found._jdf.queryExecution().executedPlan().toString()
+            assert shuffled == (size == "300")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_lines_keep_their_order_beyond_a_broadcast(spark, tmp_path, small_ranges, monkeypatch):
+    rows = random_rows(6)
+    (tmp_path / "x.csv").write_bytes(table_text(rows).encode())
+    want = [tuple(r) for r in lines.quoted_records(spark, str(tmp_path)).drop("path").orderBy("record").collect()]
+    monkeypatch.setattr(lines, "within", lambda df, most: False)
+    got = [tuple(r) for r in lines.quoted_records(spark, str(tmp_path)).drop("path").orderBy("record").collect()]
+    assert got == want and len(got) == len(rows)

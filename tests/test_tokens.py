@@ -3,6 +3,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from opinionmill.functions import text as tx
 from opinionmill.functions import tokens as tk
 from opinionmill.operators import scoring
 from opinionmill.operators import tokens as tok
@@ -157,3 +158,40 @@ def test_label_is_told_once_a_review(spark):
     got = extract.tag_mentions(df, models)
     assert sorted((r["ord"] >> 20, r["label"]) for r in got.collect()) == [
         (0, "negative"), (0, "negative"), (0, "negative"), (1, "positive")]
+
+
+def test_dictionary_spans(spark):
+    """Spans and label as from the marks, told from one splitting of the lowered text."""
+    heads, tails, lexicon = ["loa", "màn", "σας"], ["ngoài", "hình", "i̇n"], (["tốt"], ["xấu"])
+    texts = ["Loa Ngoài xấu", "LOA  ngoài\tMàn　hình tốt", "hình loa", "no head xấu", "loa xấu loa_x tốt màn",
+             "ΣΑΣ İn loa İN", "", " ", "\nloa\n\nngoài \r\n", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    want = {r["i"]: (r["s"] or [], r["l"] if r["s"] else None) for r in df.select(
+        "i", tk.marked_spans(tk.dictionary_marks(F.col("t"), heads, tails)).alias("s"),
+        tk.lexicon_label(F.col("t"), *lexicon).alias("l")).collect()}
+    assert len(want[1][0]) == 2 and want[1][1] == "positive" and len(want[5][0]) == 2 and want[3] == ([], None)
+
+    def found(rows, even):
+        told = tk.dictionary_spans(
+            F.col("t"), heads, tails, lambda low: tk.lexicon_label_of(low, *lexicon), even)
+        return {r["i"]: (r["x"]["spans"] or [], r["x"]["label"]) for r in rows.select("i", told.alias("x")).collect()}
+
+    assert found(df, False) == want
+    assert found(df.withColumn("t", tx.collapse_ws(F.col("t"))), True) == want
+    alone = df.select(tk.dictionary_spans(F.col("t"), heads, tails).alias("x")).collect()
+    assert [r["x"]["spans"] or [] for r in alone] == [want[i][0] for i in range(len(texts))]
+
+
+def test_cleaned_texts_are_read_for_spaces_once(spark):
+    from opinionmill.operators.taxonomy import blacklist_from_terms, taxonomy_from_map
+    from opinionmill.plans import extract
+
+    reviews = spark.createDataFrame(
+        [(0, "A", " loa　xấu  Loa ", "")], "ord bigint, product string, text string, time_text string")
+    models = extract.Models(heads=("loa",), positive=("tốt",), negative=("xấu",))
+    found = extract.extract_opinions(
+        reviews, taxonomy_from_map(spark, {"Âm": ("loa",)}), blacklist_from_terms(spark, ()), models, fuzzy=False)
+    assert [(r["review_text"], r["aspect_raw"], r["polarity"]) for r in found.orderBy("ord").collect()] == [
+        (" loa　xấu  Loa ", "loa", "neg"), (" loa　xấu  Loa ", "Loa", "neg")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(tx._WIDE_ODD_PATTERN) == 1
