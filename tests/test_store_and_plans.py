@@ -63,6 +63,64 @@ def test_extract_with_python_models(reviews, env):
     assert brief(extract.extract_opinions(reviews, taxonomy, blacklist, models)) == WANT
 
 
+@pytest.mark.parametrize("fuzzy", [False, True])
+def test_only_pairs_are_scored(spark, env, monkeypatch, fuzzy):
+    """Mentions without a category reach ``build_pairs``; what it drops is never labelled."""
+    given = {}
+
+    def watched(name):
+        step = getattr(extract, name)
+
+        def run(df, *more):
+            given[name] = df
+            return step(df, *more)
+
+        monkeypatch.setattr(extract, name, run)
+
+    watched("build_pairs")
+    watched("score_mentions")
+    df = spark.createDataFrame([(0, "P", "sạc xấu loa máy tốt xấu", ""), (1, "P", "sạc", "")], S.REVIEWS)
+    assert brief(extract.extract_opinions(df, *env, fuzzy=fuzzy)) == [(0, 1, "Âm thanh", "loa", "neg")]
+    found = sorted((r["ord"] >> 20, r["term"], r["category"]) for r in given["build_pairs"].collect())
+    assert found == [(0, "loa", "Âm thanh"), (0, "sạc", None), (1, "sạc", None)]
+    pairs = given["score_mentions"]
+    assert [(r["sentence"], r["term"], tuple(r["hits"])) for r in pairs.collect()] == [
+        ("sạc xấu loa máy tốt xấu", "loa", (1, 2))]
+    assert "label" not in pairs.columns
+
+
+def test_each_stage_of_extraction_counts(spark, monkeypatch):
+    """There are rows for which leaving any one stage out changes the opinions."""
+    taxonomy = tax.taxonomy_from_map(spark, {"Âm thanh": ("loa",), "Trầm": ("bass",)})
+    blacklist = tax.blacklist_from_terms(spark, ("loa cũ",))
+    models = extract.Models(
+        heads=("loa", "sạc"), tails=("cũ", "5", "bass"), positive=("tốt",), negative=("xấu",))
+    texts = ["<b>loa</b> tốt", "Loa cũ", "loa 5 bass", "sạc Loa xấu", "loa https://x.y/ xấu", "NaN"]
+    df = spark.createDataFrame([(i, "P", t, "") for i, t in enumerate(texts)], S.REVIEWS)
+
+    def found():
+        rows = extract.extract_opinions(df, taxonomy, blacklist, models, fuzzy=False).collect()
+        return {(r["ord"] >> 20, r["ord"] & 0xFFFFF, r["category"], r["aspect_raw"], r["polarity"]) for r in rows}
+
+    whole = [
+        (0, 0, "Âm thanh", "loa", "pos"), (2, 0, "Âm thanh", "loa 5 bass", "pos"),
+        (3, 1, "Âm thanh", "Loa", "neg"), (4, 0, "Âm thanh", "loa", "neg")]
+    assert sorted(found()) == whole
+
+    def same(x, *_):
+        return x
+
+    for at, stage, left_out in (
+        (extract, "clean_reviews", lambda r: r.withColumn("clean", F.col("text"))),
+        (extract.tx, "strip_spec_tail", same), (extract.tx, "canonical_aspect", same),
+        (tax, "drop_generic", same), (extract, "build_pairs", same),
+        (extract, "score_mentions", lambda p, _: p.withColumn("polarity", F.lit(S.POS))),
+    ):
+        with monkeypatch.context() as patch:
+            patch.setattr(at, stage, left_out)
+            assert found() != set(whole), stage
+
+
 def test_extract_with_segmenter(spark, env):
     taxonomy, blacklist, m = env
     seen = spark.createDataFrame(
